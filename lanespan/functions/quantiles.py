@@ -7,19 +7,18 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Two in the power of the number of comparisons made per row when a bucket is looked up.
+# A power of two: ten comparisons per row find the bucket.
 _BUCKETS = 1024
 
 
 def _bucket(value: Column, bounds: Column) -> Column:
     """Number of bounds not above ``value``, by binary search over the sorted array."""
-    found = F.lit(0)
-    step = _BUCKETS // 2
-    while step:
-        probe = found + step
-        found = F.when(F.get(bounds, probe - 1) <= value, probe).otherwise(found)
-        step //= 2
-    return found
+    halvings = F.array(*[F.lit(1 << i) for i in reversed(range(_BUCKETS.bit_length() - 1))])
+    return F.aggregate(
+        halvings,
+        F.lit(0),
+        lambda low, step: F.when(F.get(bounds, low + step - 1) <= value, low + step).otherwise(low),
+    )
 
 
 def exact_percentiles(
@@ -39,8 +38,8 @@ def exact_percentiles(
     if keys:
         placed = counted.join(cuts, list(keys))
     else:
-        one = F.lit(1).alias("_one")
-        placed = counted.select("*", one).join(cuts.select("*", one), "_one").drop("_one")
+        # Without keys the cut points are a single row, so broadcasting them is always safe.
+        placed = counted.join(F.broadcast(cuts))
     placed = placed.withColumn("_bucket", _bucket(F.col(value), F.col("_bounds"))).drop("_bounds")
 
     sizes = placed.groupBy(*keys, "_bucket").agg(F.sum("_c").alias("_size"), F.first("_n").alias("_n"))
