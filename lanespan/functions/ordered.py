@@ -69,20 +69,26 @@ def with_halo(
 
 
 def running_total(
-    df: DataFrame, keys: Sequence[str], pos: str, value: str, name: str, size: int = BLOCK
+    df: DataFrame, keys: Sequence[str], pos: str, totals: dict[str, str], size: int | None = BLOCK
 ) -> DataFrame:
-    """Inclusive running sum of an integer column within a key."""
-    rows = df.withColumn("_block", block_of(pos, size))
-    totals = rows.groupBy(*keys, "_block").agg(F.sum(value).alias("_t"))
-    earlier = _before(totals, keys, "_t", "_earlier").drop("_t")
+    """Inclusive running sums of integer columns within a key, as ``{new column: column}``.
+
+    With ``size=None`` the rows already carry the ``_block`` column of :func:`with_halo`, and its
+    partitioning is used again.
+    """
+    rows = df if size is None else df.withColumn("_block", block_of(pos, size))
+    sums = rows.groupBy(*keys, "_block").agg(*[F.sum(c).alias(f"_sum_{n}") for n, c in totals.items()])
+    for n in totals:
+        sums = _before(sums, keys, f"_sum_{n}", f"_before_{n}").drop(f"_sum_{n}")
     inside = (
         Window.partitionBy(*keys, "_block").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
     )
-    ranked = rows.withColumn("_inside", F.sum(value).over(inside))
-    joined = ranked.join(earlier, [*keys, "_block"])
-    return joined.withColumn(name, (F.col("_earlier") + F.col("_inside")).cast("long")).drop(
-        "_earlier", "_inside", "_block"
+    ranked = rows.withColumns({f"_in_{n}": F.sum(c).over(inside) for n, c in totals.items()})
+    joined = ranked.join(sums, [*keys, "_block"])
+    shifted = joined.withColumns(
+        {n: (F.col(f"_before_{n}") + F.col(f"_in_{n}")).cast("long") for n in totals}
     )
+    return shifted.drop("_block", *[f"_{part}_{n}" for n in totals for part in ("in", "before")])
 
 
 def even_width(df: DataFrame, column: str, rows_per_bucket: int = 1 << 16) -> int:
