@@ -99,22 +99,22 @@ def provenance_status(
     split: str,
     allow_unverified: bool = False,
 ) -> DataFrame:
-    """Per artifact: overlaps with the split, whether its provenance is complete, and the verdict.
+    """Per artifact: overlap_count with the split, whether its provenance is complete, and the verdict.
 
     ``artifacts`` has ``artifact_id``, ``provenance_complete`` and the array ``fields`` of recorded
     field names. An overlap is leakage even when unverified artifacts are allowed.
     """
-    overlaps = provenance_overlap(artifact_members, split_members, split).groupBy("artifact_id").agg(
-        F.count(F.lit(1)).alias("overlaps")
+    overlap_count = provenance_overlap(artifact_members, split_members, split).groupBy("artifact_id").agg(
+        F.count(F.lit(1)).alias("overlap_count")
     )
-    verdict = F.when(F.col("overlaps") > 0, "leakage").when(
+    verdict = F.when(F.col("overlap_count") > 0, "leakage").when(
         ~F.col("verified") & ~F.lit(allow_unverified), "incomplete provenance"
     )
     return (
-        artifacts.join(overlaps, "artifact_id", "left")
+        artifacts.join(overlap_count, "artifact_id", "left")
         .select(
             "artifact_id",
-            F.coalesce("overlaps", F.lit(0)).cast("long").alias("overlaps"),
+            F.coalesce("overlap_count", F.lit(0)).cast("long").alias("overlap_count"),
             complete_provenance().alias("verified"),
         )
         .withColumn("verdict", verdict)
