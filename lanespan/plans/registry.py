@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -21,8 +22,6 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
-def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
-    """Round computed doubles so both engines print the same value."""
-    from pyspark.sql import functions as F
-
-    return df.withColumns({c: F.round(c, digits) for c in columns})
+def rounded(df: DataFrame, *columns: str, digits: int = 6, shift: float = 0.0) -> DataFrame:
+    """Round computed doubles so both engines print the same value; ``shift`` avoids decimal ties."""
+    return df.withColumns({c: F.round(F.col(c) + F.lit(shift), digits) for c in columns})
