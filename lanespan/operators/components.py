@@ -19,10 +19,10 @@ from lanespan.functions.exprs import percent_of
 from lanespan.operators.runs import (
     FRAME,
     close_runs,
+    co_locate,
     complement_runs,
     gap_kernel,
     legacy_cleanup,
-    merge_runs,
     pixels_to_runs,
     row_keys,
     with_dims,
@@ -106,30 +106,49 @@ def hysteresis(
 # ---------------------------------------------------------------- statistics
 
 
+def _with_stats(labelled: DataFrame, dims: DataFrame, bottom_fraction: float) -> DataFrame:
+    """Spans with the totals of their component, from windows over one placement of the frame.
+
+    A column counts once per component: ordered by start, a lower span adds only the columns
+    beyond the reach of those before it.
+    """
+    c = F.col
+    lower = c("y") >= percent_of("_h", 1 - bottom_fraction)
+    spans = co_locate(with_dims(labelled, dims)).withColumn("_lower", lower)
+    whole = Window.partitionBy(*FRAME, "component")
+    sweep = Window.partitionBy(*FRAME, "component", "_lower").orderBy("x0", "x1", "y")
+    reach = F.max("x1").over(sweep.rowsBetween(Window.unboundedPreceding, -1))
+    start = F.greatest(c("x0"), F.coalesce(reach, F.lit(0)))
+    fresh = spans.withColumn("_start", start).withColumn(
+        "_n", F.when(c("_lower"), F.greatest(F.lit(0), c("x1") - c("_start"))).otherwise(0)
+    )
+    columns = F.sum("_n").over(whole)
+    places = F.sum(c("_n") * (c("_start") + c("x1") - 1) / 2).over(whole)
+    return fresh.withColumns(
+        {
+            "area": F.sum(c("x1") - c("x0")).over(whole).cast("long"),
+            "top": F.min("y").over(whole),
+            "bottom": F.max("y").over(whole),
+            "touches_lower": F.max("_lower").over(whole),
+            "lower_mean_x": F.when(columns > 0, places / columns),
+        }
+    ).drop("_start", "_n", "_lower")
+
+
 def component_stats(labelled: DataFrame, dims: DataFrame, bottom_fraction: float = 0.20) -> DataFrame:
     """Per component: area, rows spanned, contact with the lower band, and there the mean of
     the distinct columns it covers."""
-    spans = with_dims(labelled, dims)
-    lower = percent_of("_h", 1 - bottom_fraction)
-    size = F.col("x1") - F.col("x0")
-    base = spans.groupBy(*FRAME, "component").agg(
-        F.sum(size).cast("long").alias("area"),
-        F.min("y").alias("top"),
-        F.max("y").alias("bottom"),
-        F.max("_h").alias("height"),
-        F.max("_w").alias("width"),
-        F.max(F.col("y") >= lower).alias("touches_lower"),
-    )
-    columns = merge_runs(spans.filter(F.col("y") >= lower), [*FRAME, "component"])
-    mean_x = columns.groupBy(*FRAME, "component").agg(
-        (F.sum((F.col("x0") + F.col("x1") - 1) * size) / 2 / F.sum(size)).alias("lower_mean_x")
-    )
-    return base.join(mean_x, [*FRAME, "component"], "left")
+    names = ("area", "top", "bottom", "touches_lower", "lower_mean_x")
+    totals = _with_stats(labelled, dims, bottom_fraction).groupBy(*FRAME, "component")
+    return totals.agg(*[F.first(n).alias(n) for n in names])
 
 
 def fill_small_holes(runs: DataFrame, dims: DataFrame, max_hole_area: float = 0.004) -> DataFrame:
-    """Turn small background components that do not reach the border into road."""
-    holes = with_dims(label_components(complement_runs(runs, dims)), dims)
+    """Turn small background components that do not reach the border into road.
+
+    What remains of the background is kept, and road is everything else.
+    """
+    holes = co_locate(with_dims(label_components(complement_runs(runs, dims)), dims))
     area = F.sum(F.col("x1") - F.col("x0"))
     at_border = F.max(
         (F.col("y") == 0)
@@ -139,32 +158,36 @@ def fill_small_holes(runs: DataFrame, dims: DataFrame, max_hole_area: float = 0.
     )
     whole = Window.partitionBy(*FRAME, "component")
     limit = F.col("_h") * F.col("_w") * F.lit(float(max_hole_area))
-    small = (
-        holes.withColumns({"_area": area.over(whole), "_border": at_border.over(whole)})
-        .filter(~F.col("_border") & (F.col("_area") <= limit))
-        .select(*row_keys(), "x0", "x1")
+    background = holes.withColumns({"_area": area.over(whole), "_border": at_border.over(whole)}).filter(
+        F.col("_border") | (F.col("_area") > limit)
     )
-    return merge_runs(runs.select(*row_keys(), "x0", "x1").unionByName(small))
+    return complement_runs(background.select(*row_keys(), "x0", "x1"), dims)
+
 
+def _keep_best(spans: DataFrame, allowed: Column, score: Column) -> DataFrame:
+    """Keep each frame's highest-scoring component; on a tie the later component wins.
 
-def _keep_best(labelled: DataFrame, stats: DataFrame, score: Column) -> DataFrame:
-    """Keep each frame's highest-scoring component; on a tie the later component wins."""
-    best = stats.groupBy(*FRAME).agg(F.max(F.struct(score.alias("s"), F.col("component"))).alias("_b"))
-    chosen = best.select(*FRAME, F.col("_b.component").alias("component"))
-    return labelled.join(chosen, [*FRAME, "component"], "left_semi").select(*row_keys(), "x0", "x1")
+    ``spans`` are placed by frame and carry the totals of their component.
+    """
+    candidate = F.when(allowed, F.struct(score.alias("s"), F.col("component")))
+    best = F.max(candidate).over(Window.partitionBy(*FRAME))
+    chosen = spans.withColumn("_best", best).filter(F.col("_best.component") == F.col("component"))
+    return chosen.select(*row_keys(), "x0", "x1")
 
 
 def primary_component(
     labelled: DataFrame, dims: DataFrame, min_area: int, bottom_fraction: float = 0.42
 ) -> DataFrame:
     """Scanline policy: large, low components first (``area + 3 * row below the last``)."""
-    stats = with_dims(labelled, dims).groupBy(*FRAME, "component").agg(
-        F.sum(F.col("x1") - F.col("x0")).alias("area"),
-        (F.max("y") + 1).alias("below"),
-        F.max("_h").alias("_h"),
+    whole = Window.partitionBy(*FRAME, "component")
+    spans = co_locate(with_dims(labelled, dims)).withColumns(
+        {
+            "area": F.sum(F.col("x1") - F.col("x0")).over(whole),
+            "below": F.max("y").over(whole) + 1,
+        }
     )
     allowed = (F.col("area") >= min_area) & (F.col("below") >= percent_of("_h", 1 - bottom_fraction))
-    return _keep_best(labelled, stats.filter(allowed), F.col("area") + 3 * F.col("below"))
+    return _keep_best(spans, allowed, F.col("area") + 3 * F.col("below"))
 
 
 def default_min_area(height: int, width: int) -> int:
@@ -179,11 +202,11 @@ def origin_component(
 ) -> DataFrame:
     """Centerline policy: low, central and large components among those in the lower band."""
     c = F.col
-    stats = component_stats(labelled, dims, bottom_fraction)
-    least = F.greatest(F.lit(4.0), c("height") * c("width") * F.lit(float(min_component_area)))
-    offset = F.abs(c("lower_mean_x") - (c("width") - 1) / 2) / F.greatest(F.lit(1), c("width"))
-    score = 4 * c("bottom") / F.greatest(F.lit(1), c("height")) - offset + F.log1p(c("area").cast("double")) / 10
-    return _keep_best(labelled, stats.filter(c("touches_lower") & (c("area") >= least)), score)
+    spans = _with_stats(labelled, dims, bottom_fraction)
+    least = F.greatest(F.lit(4.0), c("_h") * c("_w") * F.lit(float(min_component_area)))
+    offset = F.abs(c("lower_mean_x") - (c("_w") - 1) / 2) / F.greatest(F.lit(1), c("_w"))
+    score = 4 * c("bottom") / F.greatest(F.lit(1), c("_h")) - offset + F.log1p(c("area").cast("double")) / 10
+    return _keep_best(spans, c("touches_lower") & (c("area") >= least), score)
 
 
 def primary_road(runs: DataFrame, dims: DataFrame, min_area: int) -> DataFrame:
@@ -202,17 +225,17 @@ def anchor_component(runs: DataFrame, anchors: DataFrame) -> DataFrame:
 
     ``anchors`` has ``ax, ay`` per frame; they may be null or fall on background.
     """
-    labelled = label_components(runs)
-    marked = labelled.join(anchors.select(*FRAME, "ax", "ay"), list(FRAME), "left").withColumn(
-        "_hit",
-        F.coalesce(
-            (F.col("y") == F.col("ay")) & (F.col("x0") <= F.col("ax")) & (F.col("ax") < F.col("x1")),
-            F.lit(False),
-        ),
+    c = F.col
+    places = anchors.select(*FRAME, "ax", "ay")
+    hit = (c("y") == c("ay")) & (c("x0") <= c("ax")) & (c("ax") < c("x1"))
+    whole = Window.partitionBy(*FRAME, "component")
+    spans = co_locate(label_components(runs).join(places, list(FRAME), "left")).withColumn(
+        "_hit", F.coalesce(hit, F.lit(False))
     )
-    stats = marked.groupBy(*FRAME, "component").agg(
-        F.max("_hit").alias("_hit"), F.sum(F.col("x1") - F.col("x0")).alias("area")
+    totals = spans.withColumns(
+        {"_hit": F.max("_hit").over(whole), "area": F.sum(c("x1") - c("x0")).over(whole)}
     )
-    rank = F.struct(F.col("_hit"), F.col("area"), (-F.col("component")).alias("first"))
-    best = stats.groupBy(*FRAME).agg(F.max_by("component", rank).alias("component"))
-    return labelled.join(best, [*FRAME, "component"], "left_semi").select(*row_keys(), "x0", "x1")
+    rank = F.struct(c("_hit").alias("hit"), c("area").alias("area"), (-c("component")).alias("first"))
+    best = F.max(rank).over(Window.partitionBy(*FRAME))
+    chosen = totals.withColumn("_best", best).filter(c("_best.first") == -c("component"))
+    return chosen.select(*row_keys(), "x0", "x1")

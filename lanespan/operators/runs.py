@@ -6,8 +6,9 @@ Raw spans may overlap and repeat without limit. The first step of every operator
 reduces them per (row, x), combined before the shuffle, so afterwards a row holds at most as
 many entries as it has pixels and a frame is bounded by its raster.
 
-Operators that chain several row steps place whole frames once with :func:`co_locate`; the
-windows that follow cluster on (frame, row) and reuse that placement.
+After that step whole frames are placed once with :func:`co_locate`; the windows and
+aggregates that follow cluster on the frame plus more columns and reuse that placement, so a
+chain of morphology costs one shuffle.
 """
 
 from __future__ import annotations
@@ -17,8 +18,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lanespan.functions.exprs import half_even
-
 FRAME = ("group", "frame_idx")
 
 
@@ -27,10 +26,16 @@ def row_keys(frame: Sequence[str] = FRAME) -> list[str]:
 
 
 def co_locate(runs: DataFrame, frame: Sequence[str] = FRAME) -> DataFrame:
-    """Bring each frame's spans to one partition, for chains of row operators."""
+    """Bring each frame's spans to one partition; Spark drops the step where they already are."""
     return runs.repartition(*frame)
 
 
+def with_dims(runs: DataFrame, dims: DataFrame, frame: Sequence[str] = FRAME) -> DataFrame:
+    """Spans with their frame size as ``_h`` and ``_w``."""
+    sizes = dims.select(*frame, F.col("height").alias("_h"), F.col("width").cast("int").alias("_w"))
+    return runs.join(sizes, list(frame))
+
+
 # ---------------------------------------------------------------- pixels to spans
 
 
@@ -65,27 +70,33 @@ def pixels_to_runs(
 # ---------------------------------------------------------------- union, overlay, complement
 
 
-def merge_runs(runs: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:
-    """Union of the spans on each row as disjoint, non-touching spans."""
-    keys = list(keys or row_keys())
-    widest = runs.filter(F.col("x1") > F.col("x0")).groupBy(*keys, "x0").agg(F.max("x1").alias("x1"))
+def _joined(starts: DataFrame, keys: Sequence[str], separate: Column | None = None) -> DataFrame:
+    """Join overlapping and touching spans that have distinct starts within ``keys``."""
     w = Window.partitionBy(*keys).orderBy("x0")
     reach = F.max("x1").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    starts = widest.withColumn("_new", F.when(reach >= F.col("x0"), 0).otherwise(1))
-    islands = starts.withColumn(
-        "_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    )
-    merged = islands.groupBy(*keys, "_island").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"))
-    return merged.drop("_island")
+    touching = reach >= F.col("x0")
+    if separate is not None:
+        touching = touching & ~separate
+    marked = starts.withColumn("_new", F.when(touching, 0).otherwise(1))
+    island = F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    merged = marked.withColumn("_island", island).groupBy(*keys, "_island")
+    return merged.agg(F.min("x0").alias("x0"), F.max("x1").alias("x1")).drop("_island")
 
 
-def overlay(layers: dict[str, DataFrame], keys: Sequence[str] | None = None) -> DataFrame:
+def merge_runs(runs: DataFrame, frame: Sequence[str] = FRAME) -> DataFrame:
+    """Union of the spans on each row as disjoint, non-touching spans."""
+    keys = row_keys(frame)
+    widest = runs.filter(F.col("x1") > F.col("x0")).groupBy(*keys, "x0").agg(F.max("x1").alias("x1"))
+    return _joined(co_locate(widest, frame), keys)
+
+
+def overlay(layers: dict[str, DataFrame], frame: Sequence[str] = FRAME) -> DataFrame:
     """Cut every row at all span ends; a boolean per layer tells where it is present.
 
     Span ends are summed per (row, x) before the shuffle, so raw overlapping spans are fine.
     Set operations on masks are filters on the result.
     """
-    keys = list(keys or row_keys())
+    keys = row_keys(frame)
     events = None
     for name, runs in layers.items():
         ends = F.explode(
@@ -103,7 +114,7 @@ def overlay(layers: dict[str, DataFrame], keys: Sequence[str] | None = None) ->
     summed = events.groupBy(*keys, "x0").agg(*[F.sum(f"_{n}").alias(f"_{n}") for n in layers])
     w = Window.partitionBy(*keys).orderBy("x0")
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    cut = summed.select(
+    cut = co_locate(summed, frame).select(
         *keys,
         "x0",
         F.lead("x0").over(w).alias("x1"),
@@ -123,37 +134,62 @@ def subtract_runs(a: DataFrame, b: DataFrame) -> DataFrame:
     return overlay({"a": a, "b": b}).filter("a and not b").drop("a", "b")
 
 
-def complement_runs(runs: DataFrame, dims: DataFrame, frame: Sequence[str] = FRAME) -> DataFrame:
-    """Background spans inside the frame. ``runs`` must be merged."""
+# ---------------------------------------------------------------- morphology
+#
+# Chains work on a canvas: the spans plus one empty border span ``[width, width)`` per image
+# row, all with the frame size. The border makes rows without road visible, so background
+# spans follow from a window alone, and the canvas never leaves its partition.
+
+
+def to_canvas(runs: DataFrame, dims: DataFrame, frame: Sequence[str] = FRAME) -> DataFrame:
+    """Merged spans and row borders of every frame in ``dims``."""
     keys = row_keys(frame)
-    borders = dims.select(
-        *frame,
-        F.explode(F.sequence(F.lit(0), F.col("height") - 1)).alias("y"),
-        F.col("width").cast("int").alias("x0"),
-        F.col("width").cast("int").alias("x1"),
+    size = [F.col("height").cast("int").alias("_h"), F.col("width").cast("int").alias("_w")]
+    borders = dims.select(*frame, F.explode(F.sequence(F.lit(0), F.col("height") - 1)).alias("y"), *size)
+    unknown = F.lit(None).cast("int")
+    spans = runs.select(*keys, "x0", "x1", unknown.alias("_h"), unknown.alias("_w"))
+    rows = spans.unionByName(
+        borders.select(*keys, F.col("_w").alias("x0"), F.col("_w").alias("x1"), "_h", "_w")
     )
-    rows = co_locate(runs.select(*keys, "x0", "x1").unionByName(borders), frame)
-    w = Window.partitionBy(*keys).orderBy("x0", "x1")
-    gap_start = F.coalesce(F.lag("x1").over(w), F.lit(0))
-    gaps = rows.select(*keys, gap_start.alias("_s"), F.col("x0").alias("x1"))
-    return gaps.withColumnRenamed("_s", "x0").filter(F.col("x1") > F.col("x0"))
+    whole = Window.partitionBy(*frame)
+    sized = co_locate(rows, frame).withColumns({n: F.max(n).over(whole) for n in ("_h", "_w")})
+    return sized.filter(F.col("_h").isNotNull())
 
 
-# ---------------------------------------------------------------- morphology
+def _is_border() -> Column:
+    return F.col("x0") == F.col("_w")
 
 
-def ellipse_kernel(size: int) -> list[tuple[int, int]]:
-    """Rows ``(dy, half width)`` of the discrete ellipse with an odd diameter."""
-    if size < 1 or size % 2 == 0:
-        raise ValueError("kernel size must be odd")
-    r = size // 2
-    return [(dy, round(r * (1 - dy * dy / (r * r)) ** 0.5) if r else 0) for dy in range(-r, r + 1)]
+def _inside(canvas: DataFrame) -> DataFrame:
+    return canvas.filter((F.col("y") >= 0) & (F.col("y") < F.col("_h")))
+
 
+def from_canvas(canvas: DataFrame) -> DataFrame:
+    return _inside(canvas).filter(~_is_border()).drop("_h", "_w")
 
-def _spread(runs: DataFrame, kernel: Sequence[tuple[int, int]], frame: Sequence[str]) -> DataFrame:
+
+def _flip(canvas: DataFrame, frame: Sequence[str]) -> DataFrame:
+    """Exchange road and background inside the frame."""
+    keys = row_keys(frame)
+    before = F.coalesce(F.lag("x1").over(Window.partitionBy(*keys).orderBy("x0")), F.lit(0))
+    border = F.struct(F.col("_w").alias("x0"), F.col("_w").alias("x1"))
+    gap = F.struct(F.col("_gap").alias("x0"), F.col("x0").alias("x1"))
+    open_gap = F.col("_gap") < F.col("x0")
+    parts = (
+        F.when(_is_border() & open_gap, F.array(gap, border))
+        .when(_is_border(), F.array(border))
+        .when(open_gap, F.array(gap))
+    )
+    flipped = _inside(canvas).withColumn("_gap", before).select(*keys, "_h", "_w", F.explode(parts).alias("_p"))
+    return flipped.select(*keys, "_p.x0", "_p.x1", "_h", "_w")
+
+
+def _grow(canvas: DataFrame, kernel: Sequence[tuple[int, int]], frame: Sequence[str]) -> DataFrame:
     """One dilation pass. Rows may leave the frame; a later pass can bring them back."""
-    steps = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(hw).alias("hw")) for dy, hw in kernel])
-    wide = runs.select(*frame, "y", "x0", "x1", "_h", "_w", F.explode(steps).alias("_k")).select(
+    keys = [*row_keys(frame), "_h", "_w"]
+    step = lambda dy, hw: F.struct(F.lit(dy).alias("dy"), F.lit(hw).alias("hw"))
+    steps = F.when(_is_border(), F.array(step(0, 0))).otherwise(F.array(*[step(*k) for k in kernel]))
+    wide = canvas.withColumn("_k", F.explode(steps)).select(
         *frame,
         (F.col("y") + F.col("_k.dy")).cast("int").alias("y"),
         F.greatest(F.lit(0), F.col("x0") - F.col("_k.hw")).cast("int").alias("x0"),
@@ -161,62 +197,73 @@ def _spread(runs: DataFrame, kernel: Sequence[tuple[int, int]], frame: Sequence[
         "_h",
         "_w",
     )
-    return merge_runs(wide, [*row_keys(frame), "_h", "_w"])
+    starts = wide.groupBy(*keys, "x0").agg(F.max("x1").alias("x1"))
+    return _joined(starts, keys, separate=_is_border())
 
 
-def _inside_rows(runs: DataFrame) -> DataFrame:
-    return runs.filter((F.col("y") >= 0) & (F.col("y") < F.col("_h"))).drop("_h", "_w")
+def _dilated(canvas: DataFrame, kernel, iterations: int, frame: Sequence[str]) -> DataFrame:
+    for _ in range(iterations):
+        canvas = _grow(canvas, kernel, frame)
+    return canvas
 
 
-def with_dims(runs: DataFrame, dims: DataFrame, frame: Sequence[str] = FRAME) -> DataFrame:
-    sizes = dims.select(*frame, F.col("height").alias("_h"), F.col("width").cast("int").alias("_w"))
-    return runs.join(sizes, list(frame))
+def _eroded(canvas: DataFrame, kernel, iterations: int, frame: Sequence[str]) -> DataFrame:
+    """Pixels outside the frame never remove anything: only background inside it grows."""
+    return _flip(_dilated(_flip(canvas, frame), kernel, iterations, frame), frame)
 
 
-def dilate_runs(
-    runs: DataFrame,
-    dims: DataFrame,
-    kernel: Sequence[tuple[int, int]],
-    iterations: int = 1,
-    frame: Sequence[str] = FRAME,
+def morphology(
+    runs: DataFrame, dims: DataFrame, steps: Sequence[tuple[str, Sequence[tuple[int, int]], int]], frame: Sequence[str] = FRAME
 ) -> DataFrame:
-    """Grow merged spans by a symmetric kernel, clipped to the frame."""
-    grown = co_locate(with_dims(runs, dims, frame), frame)
-    for _ in range(iterations):
-        grown = _spread(grown, kernel, frame)
-    return _inside_rows(grown)
+    """Apply ``(dilate | erode, symmetric kernel, iterations)`` steps to merged spans."""
+    apply = {"dilate": _dilated, "erode": _eroded}
+    canvas = to_canvas(runs, dims, frame)
+    for name, kernel, iterations in steps:
+        canvas = apply[name](canvas, kernel, iterations, frame)
+    return from_canvas(canvas)
 
 
-def erode_runs(
-    runs: DataFrame,
-    dims: DataFrame,
-    kernel: Sequence[tuple[int, int]],
-    iterations: int = 1,
-    frame: Sequence[str] = FRAME,
-) -> DataFrame:
-    """Shrink merged spans; pixels outside the frame never remove anything."""
-    outside = dilate_runs(complement_runs(runs, dims, frame), dims, kernel, iterations, frame)
-    return complement_runs(outside, dims, frame)
+def complement_runs(runs: DataFrame, dims: DataFrame, frame: Sequence[str] = FRAME) -> DataFrame:
+    """Background spans inside the frame. ``runs`` must be merged."""
+    return from_canvas(_flip(to_canvas(runs, dims, frame), frame))
 
 
-def open_runs(runs, dims, kernel, iterations: int = 1) -> DataFrame:
-    return dilate_runs(erode_runs(runs, dims, kernel, iterations), dims, kernel, iterations)
+def ellipse_kernel(size: int) -> list[tuple[int, int]]:
+    """Rows ``(dy, half width)`` of the discrete ellipse with an odd diameter."""
+    if size < 1 or size % 2 == 0:
+        raise ValueError("kernel size must be odd")
+    r = size // 2
+    return [(dy, round(r * (1 - dy * dy / (r * r)) ** 0.5) if r else 0) for dy in range(-r, r + 1)]
+
 
+def dilate_runs(runs: DataFrame, dims: DataFrame, kernel, iterations: int = 1) -> DataFrame:
+    return morphology(runs, dims, [("dilate", kernel, iterations)])
 
-def close_runs(runs, dims, kernel, iterations: int = 1) -> DataFrame:
-    return erode_runs(dilate_runs(runs, dims, kernel, iterations), dims, kernel, iterations)
+
+def erode_runs(runs: DataFrame, dims: DataFrame, kernel, iterations: int = 1) -> DataFrame:
+    return morphology(runs, dims, [("erode", kernel, iterations)])
+
+
+def open_runs(runs: DataFrame, dims: DataFrame, kernel, iterations: int = 1) -> DataFrame:
+    return morphology(runs, dims, [("erode", kernel, iterations), ("dilate", kernel, iterations)])
+
+
+def close_runs(runs: DataFrame, dims: DataFrame, kernel, iterations: int = 1) -> DataFrame:
+    return morphology(runs, dims, [("dilate", kernel, iterations), ("erode", kernel, iterations)])
 
 
 def legacy_cleanup(runs: DataFrame, dims: DataFrame) -> DataFrame:
     """Open once, then close twice, with the 5-pixel ellipse."""
     kernel = ellipse_kernel(5)
-    return close_runs(open_runs(runs, dims, kernel), dims, kernel, iterations=2)
+    steps = [("erode", kernel, 1), ("dilate", kernel, 1), ("dilate", kernel, 2), ("erode", kernel, 2)]
+    return morphology(runs, dims, steps)
 
 
 def smooth_runs(runs: DataFrame, dims: DataFrame) -> DataFrame:
     """Close, then open, with the 5-pixel ellipse."""
     kernel = ellipse_kernel(5)
-    return open_runs(close_runs(runs, dims, kernel), dims, kernel)
+    steps = [("dilate", kernel, 1), ("erode", kernel, 2), ("dilate", kernel, 1)]
+    return morphology(runs, dims, steps)
 
 
 def gap_kernel(height: int, width: int, close_gap: float = 0.025) -> list[tuple[int, int]]:
@@ -249,12 +296,12 @@ def inner_runs(
     runs: DataFrame, dims: DataFrame, radius: int, frame: Sequence[str] = FRAME
 ) -> DataFrame:
     """Pixels further than ``radius`` from background, counting everything outside as background."""
-    grown = co_locate(with_dims(complement_runs(runs, dims, frame), dims, frame), frame)
+    canvas = _flip(to_canvas(runs, dims, frame), frame)
     for kernel in box_steps(radius):
-        grown = _spread(grown, kernel, frame)
-    kept = with_dims(complement_runs(_inside_rows(grown), dims, frame), dims, frame)
+        canvas = _grow(canvas, kernel, frame)
+    kept = _flip(canvas, frame)
     r = F.lit(radius)
-    clipped = kept.filter((F.col("y") >= r) & (F.col("y") < F.col("_h") - r)).select(
+    clipped = kept.filter((F.col("y") >= r) & (F.col("y") < F.col("_h") - r) & ~_is_border()).select(
         *row_keys(frame),
         F.greatest(F.col("x0"), r).cast("int").alias("x0"),
         F.least(F.col("x1"), F.col("_w") - r).cast("int").alias("x1"),
@@ -384,7 +431,3 @@ def augment_runs(runs: DataFrame, plans: DataFrame) -> DataFrame:
     )
     window = window.filter((c("y") >= 0) & (c("y") < c("crop_h")) & (c("x1") > c("x0")))
     return kept.unionByName(scale_runs(window, "crop_h", "crop_w", "height", "width"))
-
-
-def half_even_share(width: Column, share: float) -> Column:
-    return half_even(width * F.lit(share))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lanespan.functions.exprs import probability_fault, ratio_or_null, ratio_or_one, stable_sigmoid
-from lanespan.operators.runs import FRAME, boundary_width, inner_runs, merge_runs, overlay, row_keys
+from lanespan.operators.runs import FRAME, boundary_width, inner_runs, merge_runs, overlay
 
 COUNTS = ("tp", "fp", "fn", "tn")
 
@@ -57,7 +57,7 @@ def frame_facts(
         for name, runs in layers.items():
             part = runs.select(*FRAME, F.lit(name).alias("layer"), "y", "x0", "x1")
             both = part if both is None else both.unionByName(part)
-        merged = merge_runs(both, row_keys(layered))
+        merged = merge_runs(both, layered)
         tags = F.explode(F.array(F.lit("p"), F.lit("t"))).alias("layer")
         inner = inner_runs(merged, dims.select("*", tags), boundary_radius, layered)
         for name in ("p", "t"):

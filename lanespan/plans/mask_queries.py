@@ -206,7 +206,7 @@ lower_x AS (SELECT "group", frame_idx, component, avg(x) AS lower_mean_x FROM (
 )
 def component_stats(spark, sf):
     stats = components.component_stats(label_components(spark, sf), v.mask_dims(spark, sf))
-    return rounded(stats, "lower_mean_x").drop("height", "width")
+    return rounded(stats, "lower_mean_x")
 
 
 @query(

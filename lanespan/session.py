@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: str = "8", memory: str = "12g") -> SparkSession:
@@ -26,14 +26,26 @@ def local_session(cpus: str = "8", memory: str = "12g") -> SparkSession:
     return spark
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder for tables a job writes and reads back.
+def _shared_base(spark: SparkSession) -> str:
+    """Shared storage of the cluster, as named in ``spark.checkpoint.dir``.
 
-    The cluster names its shared storage in ``spark.checkpoint.dir``; only a session
-    without that setting (a test on one machine) gets a temporary folder.
+    Only a session without that setting (a test on one machine) gets a temporary folder.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/lanespan/{name}-{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for tables a job writes and reads back."""
+    return f"{_shared_base(spark)}/lanespan/{name}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write an intermediate that several branches read, and continue from the written copy."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(_shared_base(df.sparkSession))
+    return df.checkpoint()
