@@ -24,7 +24,8 @@ def _bucket(value: Column, bounds: Column) -> Column:
 def exact_percentiles(
     df: DataFrame, keys: Sequence[str], value: str, probabilities: dict[str, float]
 ) -> DataFrame:
-    """One row per key with a linearly interpolated percentile per entry of ``probabilities``.
+    """One row per key with its count, mean, and an interpolated percentile per entry of
+    ``probabilities``.
 
     Equal values are counted first. A bounded sketch per key proposes cut points; counts per
     cut bucket are exact, so they tell which bucket holds each wanted rank, and only the rows
@@ -33,14 +34,15 @@ def exact_percentiles(
     counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
     levels = [i / _BUCKETS for i in range(1, _BUCKETS)]
     cuts = counted.groupBy(*keys).agg(
-        F.percentile_approx(value, levels, 2 * _BUCKETS).alias("_bounds"), F.sum("_c").alias("_n")
+        F.percentile_approx(value, levels, 2 * _BUCKETS).alias("_bounds"), F.sum("_c").alias("_n"),
+        (F.sum(F.col(value) * F.col("_c")) / F.sum("_c")).alias("_mean"),
     )
     if keys:
         placed = counted.join(cuts, list(keys))
     else:
         # Without keys the cut points are a single row, so broadcasting them is always safe.
         placed = counted.join(F.broadcast(cuts))
-    placed = placed.withColumn("_bucket", _bucket(F.col(value), F.col("_bounds"))).drop("_bounds")
+    placed = placed.drop("_mean").withColumn("_bucket", _bucket(F.col(value), F.col("_bounds"))).drop("_bounds")
 
     sizes = placed.groupBy(*keys, "_bucket").agg(F.sum("_c").alias("_size"), F.first("_n").alias("_n"))
     past = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -73,4 +75,6 @@ def exact_percentiles(
         lo, hi = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
         fraction = rank(p) - F.floor(rank(p))
         results.append((lo + (hi - lo) * fraction).alias(name))
-    return ordered.groupBy(*keys).agg(F.first("_n").alias("_n"), *picked).select(*keys, *results)
+    ranks = ordered.groupBy(*keys).agg(F.first("_n").alias("_n"), *picked).select(*keys, *results)
+    totals = cuts.select(*keys, F.col("_n").alias("n"), F.col("_mean").alias("mean"))
+    return totals.join(ranks, list(keys)) if keys else totals.join(F.broadcast(ranks))

@@ -86,7 +86,7 @@ def label_components(
     """8-connected components of merged spans as an extra ``component`` column."""
     keys = list(frame)
     columns = [*keys, "y", "x0", "x1", *carry]
-    placed = runs.select(*columns).repartition(*keys).sortWithinPartitions(*keys, "y", "x0")
+    placed = co_locate(runs.select(*columns), keys, heavy=True).sortWithinPartitions(*keys, "y", "x0")
     schema = T.StructType([*placed.schema.fields, T.StructField("component", T.IntegerType())])
     return placed.mapInPandas(lambda batches: _label_batches(batches, keys), schema)
 

@@ -25,8 +25,14 @@ def row_keys(frame: Sequence[str] = FRAME) -> list[str]:
     return [*frame, "y"]
 
 
-def co_locate(runs: DataFrame, frame: Sequence[str] = FRAME) -> DataFrame:
-    """Bring each frame's spans to one partition; Spark drops the step where they already are."""
+def co_locate(runs: DataFrame, frame: Sequence[str] = FRAME, heavy: bool = False) -> DataFrame:
+    """Bring each frame's spans to one partition; Spark drops the step where they already are.
+
+    Spans are few bytes but morphology and labelling multiply the work per byte, so a ``heavy``
+    chain keeps all shuffle partitions where size-based merging would leave cores idle.
+    """
+    if heavy:
+        return runs.repartition(int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions")), *frame)
     return runs.repartition(*frame)
 
 
@@ -93,35 +99,41 @@ def merge_runs(runs: DataFrame, frame: Sequence[str] = FRAME) -> DataFrame:
 def overlay(layers: dict[str, DataFrame], frame: Sequence[str] = FRAME) -> DataFrame:
     """Cut every row at all span ends; a boolean per layer tells where it is present.
 
-    Span ends are summed per (row, x) before the shuffle, so raw overlapping spans are fine.
-    Set operations on masks are filters on the result.
+    Set operations on masks are filters on the result. Raw overlapping spans are fine.
     """
-    keys = row_keys(frame)
-    events = None
+    tagged = None
     for name, runs in layers.items():
-        ends = F.explode(
-            F.array(
-                F.struct(F.col("x0").alias("x"), F.lit(1).alias("d")),
-                F.struct(F.col("x1").alias("x"), F.lit(-1).alias("d")),
-            )
-        )
-        part = runs.filter(F.col("x1") > F.col("x0")).select(*keys, ends.alias("_e")).select(
-            *keys,
-            F.col("_e.x").alias("x0"),
-            *[(F.col("_e.d") if other == name else F.lit(0)).alias(f"_{other}") for other in layers],
+        part = runs.select(*row_keys(frame), "x0", "x1", F.lit(name).alias("layer"))
+        tagged = part if tagged is None else tagged.unionByName(part)
+    return overlay_tagged(tagged, list(layers), frame)
+
+
+def overlay_tagged(tagged: DataFrame, names: Sequence[str], frame: Sequence[str] = FRAME) -> DataFrame:
+    """:func:`overlay` for spans that name their layer in the column ``layer``.
+
+    Span ends are summed per (row, x) before the shuffle, so copies never travel.
+    """
+    keys = row_keys(frame)
+    ends = F.explode(
+        F.array(
+            F.struct(F.col("x0").alias("x"), F.lit(1).alias("d")),
+            F.struct(F.col("x1").alias("x"), F.lit(-1).alias("d")),
         )
-        events = part if events is None else events.unionByName(part)
-    summed = events.groupBy(*keys, "x0").agg(*[F.sum(f"_{n}").alias(f"_{n}") for n in layers])
+    )
+    events = tagged.filter(F.col("x1") > F.col("x0")).select(*keys, "layer", ends.alias("_e"))
+    summed = events.groupBy(*keys, F.col("_e.x").alias("x0")).agg(
+        *[F.sum(F.when(F.col("layer") == n, F.col("_e.d")).otherwise(0)).alias(f"_{n}") for n in names]
+    )
     w = Window.partitionBy(*keys).orderBy("x0")
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     cut = co_locate(summed, frame).select(
         *keys,
         "x0",
         F.lead("x0").over(w).alias("x1"),
-        *[(F.sum(f"_{n}").over(upto) > 0).alias(n) for n in layers],
+        *[(F.sum(f"_{n}").over(upto) > 0).alias(n) for n in names],
     )
     anywhere = F.lit(False)
-    for n in layers:
+    for n in names:
         anywhere = anywhere | F.col(n)
     return cut.filter(F.col("x1").isNotNull() & anywhere)
 
@@ -152,7 +164,7 @@ def to_canvas(runs: DataFrame, dims: DataFrame, frame: Sequence[str] = FRAME) ->
         borders.select(*keys, F.col("_w").alias("x0"), F.col("_w").alias("x1"), "_h", "_w")
     )
     whole = Window.partitionBy(*frame)
-    sized = co_locate(rows, frame).withColumns({n: F.max(n).over(whole) for n in ("_h", "_w")})
+    sized = co_locate(rows, frame, heavy=True).withColumns({n: F.max(n).over(whole) for n in ("_h", "_w")})
     return sized.filter(F.col("_h").isNotNull())
 
 
@@ -314,12 +326,6 @@ def boundary_band(runs: DataFrame, dims: DataFrame, radius: int) -> DataFrame:
     return subtract_runs(runs, inner_runs(runs, dims, radius))
 
 
-def inner_outline(center: DataFrame, side: DataFrame, dims: DataFrame) -> DataFrame:
-    """Side pixels that touch the center zone, diagonals included."""
-    near = dilate_runs(merge_runs(center), dims, [(-1, 1), (0, 1), (1, 1)])
-    return merge_runs(intersect_runs(near, side))
-
-
 # ---------------------------------------------------------------- resizing and augmentation
 
 

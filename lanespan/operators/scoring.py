@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lanespan.functions.exprs import probability_fault, ratio_or_null, ratio_or_one, stable_sigmoid
-from lanespan.operators.runs import FRAME, boundary_width, inner_runs, merge_runs, overlay
+from lanespan.operators.runs import FRAME, boundary_width, inner_runs, merge_runs, overlay_tagged
 
 COUNTS = ("tp", "fp", "fn", "tn")
 
@@ -50,20 +50,19 @@ def frame_facts(
     layers of one table, so morphology and counting share their shuffles.
     """
     size = (F.col("x1") - F.col("x0")).cast("long")
-    layers = {"p": prediction, "t": truth}
+    columns = [*FRAME, "y", "x0", "x1"]
+    names = ["p", "t"]
+    tagged = prediction.select(*columns, F.lit("p").alias("layer")).unionByName(
+        truth.select(*columns, F.lit("t").alias("layer"))
+    )
     if boundary_radius is not None:
         layered = [*FRAME, "layer"]
-        both = None
-        for name, runs in layers.items():
-            part = runs.select(*FRAME, F.lit(name).alias("layer"), "y", "x0", "x1")
-            both = part if both is None else both.unionByName(part)
-        merged = merge_runs(both, layered)
-        tags = F.explode(F.array(F.lit("p"), F.lit("t"))).alias("layer")
-        inner = inner_runs(merged, dims.select("*", tags), boundary_radius, layered)
-        for name in ("p", "t"):
-            layers[name] = merged.filter(F.col("layer") == name)
-            layers[f"{name}_inner"] = inner.filter(F.col("layer") == name)
-    pieces = overlay(layers)
+        both = F.explode(F.array(F.lit("p"), F.lit("t"))).alias("layer")
+        tagged = merge_runs(tagged, layered)
+        inner = inner_runs(tagged, dims.select("*", both), boundary_radius, layered)
+        tagged = tagged.unionByName(inner.withColumn("layer", F.concat("layer", F.lit("_inner"))))
+        names += ["p_inner", "t_inner"]
+    pieces = overlay_tagged(tagged, names)
     p, t = F.col("p"), F.col("t")
 
     def pixels(condition: Column, name: str) -> Column:

@@ -27,17 +27,16 @@ def latency_summary(times: DataFrame, value: str = "ms", by: Sequence[str] = ())
 
     A group without any measurement is absent; with no groups an empty input raises.
     """
-    means = times.groupBy(*by).agg(F.avg(value).alias("mean_ms"), F.count(value).alias("frames"))
     ranks = exact_percentiles(times, by, value, {"median_ms": 0.5, "p95_ms": 0.95})
-    joined = means.join(ranks, list(by)) if by else means.join(F.broadcast(ranks), how="left")
+    n, mean = F.col("n"), F.col("mean")
     empty = F.raise_error(F.lit("no measured frames")).cast("long")
-    return joined.select(
+    return ranks.select(
         *by,
-        F.when(F.col("frames") > 0, F.col("frames")).otherwise(empty).alias("frames"),
-        "mean_ms",
+        (n if by else F.when(n > 0, n).otherwise(empty)).alias("frames"),
+        mean.alias("mean_ms"),
         "median_ms",
         "p95_ms",
-        (F.lit(1000.0) / F.nullif(F.col("mean_ms"), F.lit(0.0))).alias("fps"),
+        (F.lit(1000.0) / F.nullif(mean, F.lit(0.0))).alias("fps"),
     )
 
 

@@ -409,9 +409,7 @@ line_px AS (SELECT * FROM side_px INTERSECT SELECT * FROM near)""",
     ),
 )
 def inner_outline(spark, sf):
-    zoned = zone_runs(spark, sf)
-    _, dims = v.roads(spark, sf)
-    return runs.inner_outline(zoned.filter("zone = 'center'"), zoned.filter("zone = 'side'"), dims)
+    return zones.inner_outline(zone_runs(spark, sf))
 
 
 SPLITS = f"""next_span AS (SELECT *, lead(x0) OVER w AS nx0, lead(x1) OVER w AS nx1 FROM roads

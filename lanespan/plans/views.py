@@ -303,7 +303,7 @@ def roads(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
         F.expr("40 + s_suppkey % 60").alias("split_y"),
         F.expr("70 + s_suppkey * 7 % 120").alias("cx"),
         F.expr("18 + s_suppkey % 9").alias("half"),
-    )
+    ).repartition("group", "frame_idx")
     dims = base.select("group", "frame_idx", F.lit(ROAD_H).alias("height"), F.lit(ROAD_W).alias("width"))
     rows = base.withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(ROAD_H - 1))))
     forked = "kind <> 0 AND y < split_y"
