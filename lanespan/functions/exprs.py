@@ -126,7 +126,7 @@ def json_text(value: str | Column) -> Column:
             .when(code == 0x09, "\\t")
             .when(code == 0x08, "\\b")
             .when(code == 0x0C, "\\f")
-            .when((code >= 0x20) & (code <= 0x7F), F.chr(code))
+            .when((code >= 0x20) & (code <= 0x7E), F.chr(code))
             .otherwise(F.concat(F.lit("\\u"), F.lower(unit)))
         )
 
