@@ -141,7 +141,7 @@ def merge_members(prior_members: DataFrame, split_members: DataFrame, artifact_i
     return prior.unionByName(current).distinct()
 
 
-def merged_complete(prior: DataFrame | None, spark=None) -> bool:
+def merged_complete(prior: DataFrame | None) -> bool:
     """Complete only without a prior artifact, or with one whose own provenance is complete."""
     row = None if prior is None else prior.select(complete_provenance().alias("ok")).first()
     return True if row is None else bool(row.ok)

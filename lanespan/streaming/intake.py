@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from lanespan.operators.telemetry import dropped_frames, latest_frames
@@ -16,9 +15,12 @@ def camera_intake(frames: DataFrame, kept_path: str, ledger_path: str, checkpoin
     """
 
     def admit(batch: DataFrame, batch_id: int) -> None:
-        kept = latest_frames(batch, queue_size).withColumn("batch_id", F.lit(batch_id))
-        kept.write.mode("overwrite").parquet(f"{kept_path}/batch={batch_id}")
-        dropped_frames(batch, queue_size).write.mode("overwrite").parquet(f"{ledger_path}/batch={batch_id}")
+        batch.persist()
+        try:
+            latest_frames(batch, queue_size).write.mode("overwrite").parquet(f"{kept_path}/batch={batch_id}")
+            dropped_frames(batch, queue_size).write.mode("overwrite").parquet(f"{ledger_path}/batch={batch_id}")
+        finally:
+            batch.unpersist()
 
     return frames.writeStream.foreachBatch(admit).option("checkpointLocation", checkpoint)
 
