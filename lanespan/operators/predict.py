@@ -15,6 +15,15 @@ from lanespan.functions.exprs import stable_sigmoid
 BACKENDS = ("pytorch", "onnxruntime", "openvino")
 
 
+def pick_backend(factories: dict[str, Callable], name: str) -> Callable:
+    """Predictor factory registered under one of the known backend names."""
+    if name not in BACKENDS:
+        raise ValueError(f"backend must be one of {', '.join(BACKENDS)}")
+    if name not in factories:
+        raise ValueError(f"no predictor was supplied for {name}")
+    return factories[name]
+
+
 def input_fault(tensor: str, height: int, width: int, channels: int = 3):
     """A predictor accepts finite values of exactly one channels-first image."""
     values = F.col(tensor)

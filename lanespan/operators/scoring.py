@@ -8,7 +8,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lanespan.functions.exprs import probability_fault, ratio_or_null, ratio_or_one, stable_sigmoid
-from lanespan.operators.runs import FRAME, boundary_width, inner_runs, merge_runs, overlay_tagged
+from lanespan.operators.runs import (
+    FRAME,
+    boundary_width,
+    inner_runs,
+    merge_runs,
+    overlay_tagged,
+    pixels_to_runs,
+    restore_runs,
+)
 
 COUNTS = ("tp", "fp", "fn", "tn")
 
@@ -35,6 +43,20 @@ def to_probabilities(outputs: DataFrame, output_kind: str, values: str = "p") ->
     return outputs.withColumn(values, F.transform(values, stable_sigmoid))
 
 
+def predicted_runs(maps: DataFrame, plans: DataFrame, threshold: float = 0.55) -> DataFrame:
+    """Full-frame prediction spans of model output: check, threshold inclusively, restore.
+
+    ``maps`` holds canvas-sized ``p``; ``plans`` the letterbox ``plan`` per frame. A faulty map
+    stops the job, because scoring the rest would hide it.
+    """
+    if not 0 < threshold < 1:
+        raise ValueError("threshold must lie in (0, 1)")
+    fault = probability_fault("p", "height", "width")
+    refuse = F.raise_error(F.concat(F.lit("bad probability map: "), fault)).cast("array<double>")
+    checked = maps.withColumn("p", F.when(fault.isNull(), F.col("p").cast("array<double>")).otherwise(refuse))
+    return restore_runs(pixels_to_runs(checked, threshold).drop("peak"), plans)
+
+
 # ---------------------------------------------------------------- per-frame facts
 
 
@@ -218,6 +240,15 @@ def backend_metadata_agrees(left: dict, right: dict) -> bool:
     return all(left[n] == right[n] for n in names)
 
 
+def backend_pairs(expected: DataFrame, actual: DataFrame, left: dict, right: dict) -> DataFrame:
+    """Outputs of two backends side by side, refused when their models differ."""
+    if not backend_metadata_agrees(left, right):
+        raise ValueError("backends with different model or preprocessing metadata cannot be compared")
+    return expected.select(*FRAME, F.col("p").alias("expected")).join(
+        actual.select(*FRAME, F.col("p").alias("actual")), list(FRAME)
+    )
+
+
 def backend_parity(
     pairs: DataFrame, by: Sequence[str] = (), atol: float = 1e-5, rtol: float = 1e-4
 ) -> DataFrame:

@@ -8,7 +8,7 @@ from lanespan.operators import predict, runs, scoring, telemetry
 from lanespan.plans import views as v
 from lanespan.plans.mask_queries import ALL_PX, BOX3, PRED, TRUTH, eroded
 from lanespan.plans.registry import query, rounded
-from lanespan.plans.views import px
+from lanespan.plans.views import px, px_runs
 
 # ---------------------------------------------------------------- pixel metrics
 
@@ -252,6 +252,30 @@ def bad_probabilities(spark, sf):
     return scoring.bad_probabilities(maps)
 
 
+SMALL_PLAN = {
+    "original_height": 24, "original_width": 40, "roi_y": 4, "input_width": 8, "input_height": 8,
+    "left": 0, "top": 1, "content_width": 8, "content_height": 6,
+}
+
+
+@query(
+    "predicted_runs",
+    v.sql(
+        v.PROB_MAPS,
+        """big_px AS (SELECT "group", frame_idx, oy + 4 AS y, ox AS x
+  FROM map_px, (SELECT unnest(range(0, 20)) AS oy), (SELECT unnest(range(0, 40)) AS ox)
+  WHERE map_px.y = 1 + oy * 6 // 20 AND map_px.x = ox * 8 // 40 AND p >= 0.55)""",
+        px_runs("r", "big_px"),
+        body="SELECT * FROM r",
+    ),
+)
+def predicted_runs(spark, sf):
+    maps = v.prob_maps(spark, sf)
+    plan = F.struct(*[F.lit(n).alias(k) for k, n in SMALL_PLAN.items()])
+    plans = maps.select("group", "frame_idx", plan.alias("plan"))
+    return runs.merge_runs(scoring.predicted_runs(maps, plans, 0.55))
+
+
 @query(
     "backend_parity",
     v.sql(

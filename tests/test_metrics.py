@@ -128,6 +128,30 @@ def test_backend_parity(spark):
     meta = dict(input_width=1, input_height=1, roi_top=0.2, preprocess_version=1, architecture="a")
     assert scoring.backend_metadata_agrees(meta, dict(meta, extra=1))
     assert not scoring.backend_metadata_agrees(meta, dict(meta, roi_top=0.1))
+    maps = spark.createDataFrame([("g", 0, [0.5])], "group string, frame_idx long, p array<double>")
+    assert scoring.backend_pairs(maps, maps, meta, meta).count() == 1
+    with pytest.raises(ValueError, match="cannot be compared"):
+        scoring.backend_pairs(maps, maps, meta, dict(meta, input_width=2))
+    with pytest.raises(ValueError):
+        predict.pick_backend({}, "onnxruntime")
+    with pytest.raises(ValueError):
+        predict.pick_backend({"x": negative}, "x")
+
+
+def negative():
+    return lambda images: -images
+
+
+def test_predictions_are_thresholded_inclusively_and_restored(spark):
+    maps = spark.createDataFrame([("g", 0, 2, 2, [0.55, 0.54, 0.0, 1.0])], DIMS + ", p array<double>")
+    plan = dict(original_height=5, original_width=4, roi_y=1, input_width=2, input_height=2, left=0, top=0, content_width=2, content_height=2)
+    plans = maps.select("group", "frame_idx", F.struct(*[F.lit(v).alias(k) for k, v in plan.items()]).alias("plan"))
+    rows = scoring.predicted_runs(maps, plans).orderBy("y").collect()
+    assert [(r.y, r.x0, r.x1) for r in rows] == [(1, 0, 2), (2, 0, 2), (3, 2, 4), (4, 2, 4)]
+    with pytest.raises(Exception, match="bad probability map"):
+        scoring.predicted_runs(maps.withColumn("p", F.array(F.lit(2.0))), plans).collect()
+    with pytest.raises(ValueError):
+        scoring.predicted_runs(maps, plans, 1.0)
 
 
 def test_predictor_contract(spark):

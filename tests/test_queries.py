@@ -14,9 +14,9 @@ import __spark_entry__ as contract
 
 DATA = Path(os.environ.get("LANESPAN_DATA", "/root/testdata/sf0.001"))
 FAMILIES = (
-    "split_audit dataset_fingerprint calibration_sample pair_images provenance_status artifact_normalize every_n_frames "
-    "legacy_cleanup label_components clean_road zone_shares branch_connectors augment_runs evaluation_report "
-    "backend_parity stage_summary min_sustained_fps scene_segments ema vote suppress_duplicates ema_stream track_branches"
+    "split_audit calibration_sample pair_images provenance_status artifact_normalize every_n_frames legacy_cleanup "
+    "label_components zone_shares branch_connectors evaluation_report backend_parity stage_summary ema suppress_duplicates "
+    "ema_stream"
 ).split()
 NAMES = sorted(contract.queries()) if os.environ.get("LANESPAN_ALL") else FAMILIES
 

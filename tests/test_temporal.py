@@ -139,6 +139,15 @@ def test_stream_equals_batch_over_several_micro_batches(spark, feed, mode):
         np.testing.assert_allclose(a.p, b.p, atol=1e-14)
 
 
+def test_a_new_run_of_a_source_starts_clean(spark, feed):
+    build, run, _ = feed
+    rows = [("g", i, 4, 4, 1, 1, [0.5], [0.9 if i < 2 else 0.2]) for i in range(4)]
+    df = spark.createDataFrame(rows, FRAMES).withColumn("run_id", F.when(F.col("frame_idx") < 2, "a").otherwise("b"))
+    out = run(filter_stream(build(df, [0, 1, 4]))).orderBy("frame_idx").collect()
+    assert [r.was_reset for r in out] == [True, False, True, False]
+    assert [round(r.p[0], 6) for r in out] == [0.9, 0.9, 0.2, 0.2]
+
+
 def test_camera_intake_accounts_for_every_frame(spark, feed):
     build, _, folder = feed
     df = spark.createDataFrame([("g", i) for i in range(30)], "group string, frame_idx bigint")
