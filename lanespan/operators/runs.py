@@ -62,7 +62,9 @@ def pixels_to_runs(
     starts = F.filter(index, lambda i: on(i) & ((i % w == 0) | ~on(i - 1)))
     ends = F.filter(index, lambda i: on(i) & ((i % w == w - 1) | ~on(i + 1)))
     spans = maps.select(*keep, v.alias("_v"), w.alias("_w"), F.arrays_zip(starts.alias("s"), ends.alias("e")).alias("_z"))
-    one = spans.select(*keep, "_v", "_w", F.explode("_z").alias("_z"))
+    # explode_outer: a plain explode makes the optimizer copy the array expressions into a filter
+    # below, where they would be evaluated again for every element.
+    one = spans.select(*keep, "_v", "_w", F.explode_outer("_z").alias("_z")).filter(F.col("_z").isNotNull())
     s, e = F.col("_z.s"), F.col("_z.e")
     return one.select(
         *keep,
@@ -340,75 +342,106 @@ def scale_runs(
     dst_h: str | Column,
     dst_w: str | Column,
     extra: Sequence[str] = (),
+    always: Column | None = None,
 ) -> DataFrame:
-    """Nearest-neighbour resize: target pixel ``d`` shows source pixel ``floor(d*src/dst)``."""
+    """Nearest-neighbour resize: target pixel ``d`` shows source pixel ``floor(d*src/dst)``.
+
+    Spans that no target pixel shows disappear, except those marked by ``always``.
+    """
     sh, sw = (F.col(c) if isinstance(c, str) else c for c in (src_h, src_w))
     dh, dw = (F.col(c) if isinstance(c, str) else c for c in (dst_h, dst_w))
-    first = _ceil_div(F.col("y") * dh, sh)
-    last = _ceil_div((F.col("y") + 1) * dh, sh) - 1
+    keep = F.lit(False) if always is None else always
     sized = runs.select(
         *FRAME,
         *extra,
-        first.alias("_a"),
-        last.alias("_b"),
+        keep.alias("_always"),
+        _ceil_div(F.col("y") * dh, sh).alias("_a"),
+        (_ceil_div((F.col("y") + 1) * dh, sh) - 1).alias("_b"),
         _ceil_div(F.col("x0") * dw, sw).alias("x0"),
         _ceil_div(F.col("x1") * dw, sw).alias("x1"),
-    ).filter((F.col("_b") >= F.col("_a")) & (F.col("x1") > F.col("x0")))
-    return sized.select(*FRAME, *extra, F.explode(F.sequence("_a", "_b")).alias("y"), "x0", "x1")
+    )
+    shown = (F.col("_b") >= F.col("_a")) & (F.col("x1") > F.col("x0"))
+    rows = F.when(F.col("_always"), F.array(F.lit(0))).otherwise(F.sequence("_a", "_b"))
+    kept = sized.filter(shown | F.col("_always"))
+    return kept.select(*FRAME, *extra, F.explode(rows).alias("y"), "x0", "x1")
+
+
+# A span outside the shape its transform names is an error. The flag ``_ok`` travels with the span
+# past every filter and the job stops at the end, so the check does not depend on the order
+# in which the optimizer evaluates filters.
+
+
+def _planned(runs: DataFrame, plans: DataFrame, height: str, width: str) -> DataFrame:
+    """Spans with their frame's ``plan`` and the flag for lying inside ``plan.height x plan.width``."""
+    c = F.col
+    inside = (
+        (c("y") >= 0) & (c("y") < c(f"plan.{height}")) & (c("x0") >= 0) & (c("x1") <= c(f"plan.{width}"))
+    )
+    return runs.join(plans.select(*FRAME, "plan"), list(FRAME)).withColumn("_ok", inside)
 
 
-def _checked(runs: DataFrame, height: Column, width: Column) -> DataFrame:
-    inside = (F.col("y") >= 0) & (F.col("y") < height) & (F.col("x0") >= 0) & (F.col("x1") <= width)
-    message = F.lit("span outside the shape named by its transform")
-    return runs.withColumn("y", F.when(inside, F.col("y")).otherwise(F.raise_error(message).cast("int")))
+def _stop_outside(runs: DataFrame, y: Column, x0: Column, x1: Column) -> DataFrame:
+    stop = F.raise_error(F.lit("span outside the shape named by its transform")).cast("int")
+    return runs.select(
+        *FRAME,
+        F.when(F.col("_ok"), y).otherwise(stop).cast("int").alias("y"),
+        x0.cast("int").alias("x0"),
+        x1.cast("int").alias("x1"),
+    )
 
 
 def apply_mask(runs: DataFrame, plans: DataFrame) -> DataFrame:
     """Full-frame spans to model-canvas spans. ``plans`` holds ``plan`` per frame."""
-    t = lambda name: F.col(f"plan.{name}")
-    joined = _checked(
-        runs.join(plans.select(*FRAME, "plan"), list(FRAME)), t("original_height"), t("original_width")
-    )
-    roi = joined.filter(F.col("y") >= t("roi_y")).withColumn("y", (F.col("y") - t("roi_y")).cast("int"))
+    c = F.col
+    t = lambda name: c(f"plan.{name}")
+    joined = _planned(runs, plans, "original_height", "original_width")
+    roi = joined.filter((c("y") >= t("roi_y")) | ~c("_ok")).withColumn("y", c("y") - t("roi_y"))
     small = scale_runs(
-        roi, t("original_height") - t("roi_y"), t("original_width"), t("content_height"), t("content_width"), ["plan"]
+        roi,
+        t("original_height") - t("roi_y"),
+        t("original_width"),
+        t("content_height"),
+        t("content_width"),
+        ["plan", "_ok"],
+        ~c("_ok"),
     )
-    return small.select(
-        *FRAME,
-        (F.col("y") + t("top")).cast("int").alias("y"),
-        (F.col("x0") + t("left")).cast("int").alias("x0"),
-        (F.col("x1") + t("left")).cast("int").alias("x1"),
+    return _stop_outside(small, c("y") + t("top"), c("x0") + t("left"), c("x1") + t("left"))
+
+
+def _unpadded(runs: DataFrame, plans: DataFrame) -> DataFrame:
+    c = F.col
+    t = lambda name: c(f"plan.{name}")
+    cut = _planned(runs, plans, "input_height", "input_width").withColumns(
+        {
+            "y": c("y") - t("top"),
+            "x0": F.greatest(F.lit(0), c("x0") - t("left")),
+            "x1": F.least(t("content_width"), c("x1") - t("left")),
+        }
     )
+    inside = (c("y") >= 0) & (c("y") < t("content_height")) & (c("x1") > c("x0"))
+    return cut.filter(inside | ~c("_ok"))
 
 
 def unpad_runs(runs: DataFrame, plans: DataFrame) -> DataFrame:
     """Canvas spans to content spans; padding never becomes road."""
-    t = lambda name: F.col(f"plan.{name}")
-    joined = _checked(
-        runs.join(plans.select(*FRAME, "plan"), list(FRAME)), t("input_height"), t("input_width")
-    )
-    cut = joined.select(
-        *FRAME,
-        "plan",
-        (F.col("y") - t("top")).cast("int").alias("y"),
-        F.greatest(F.lit(0), F.col("x0") - t("left")).cast("int").alias("x0"),
-        F.least(t("content_width"), F.col("x1") - t("left")).cast("int").alias("x1"),
-    )
-    inside = (F.col("y") >= 0) & (F.col("y") < t("content_height")) & (F.col("x1") > F.col("x0"))
-    return cut.filter(inside).drop("plan")
+    return _stop_outside(_unpadded(runs, plans), F.col("y"), F.col("x0"), F.col("x1"))
 
 
 def restore_runs(runs: DataFrame, plans: DataFrame, already_unpadded: bool = False) -> DataFrame:
     """Canvas (or content) spans back to the full frame; rows above the crop stay background."""
-    t = lambda name: F.col(f"plan.{name}")
-    small = runs if already_unpadded else unpad_runs(runs, plans)
-    joined = _checked(
-        small.join(plans.select(*FRAME, "plan"), list(FRAME)), t("content_height"), t("content_width")
-    )
+    c = F.col
+    t = lambda name: c(f"plan.{name}")
+    small = _planned(runs, plans, "content_height", "content_width") if already_unpadded else _unpadded(runs, plans)
     big = scale_runs(
-        joined, t("content_height"), t("content_width"), t("original_height") - t("roi_y"), t("original_width"), ["plan"]
+        small,
+        t("content_height"),
+        t("content_width"),
+        t("original_height") - t("roi_y"),
+        t("original_width"),
+        ["plan", "_ok"],
+        ~c("_ok"),
     )
-    return big.select(*FRAME, (F.col("y") + t("roi_y")).cast("int").alias("y"), "x0", "x1")
+    return _stop_outside(big, c("y") + t("roi_y"), c("x0"), c("x1"))
 
 
 def augment_runs(runs: DataFrame, plans: DataFrame) -> DataFrame:

@@ -117,7 +117,9 @@ def smooth(
             lambda state: state["out"],
         ).alias("_out"),
     )
-    return folded.select(*SOURCE, F.explode("_out").alias("_o")).select(*SOURCE, "_o.*")
+    # explode_outer keeps the optimizer from repeating the fold in a filter below.
+    each = folded.select(*SOURCE, F.explode_outer("_out").alias("_o")).filter(F.col("_o").isNotNull())
+    return each.select(*SOURCE, "_o.*")
 
 
 def vote(

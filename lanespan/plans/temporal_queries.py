@@ -125,7 +125,8 @@ def branch_filter(spark, sf):
 )
 def suppress_duplicates(spark, sf):
     kept_rows = tracks.suppress_near_duplicates(v.observations(spark, sf))
-    return kept_rows.select("group", "frame_idx", F.explode("dets").alias("d")).select("group", "frame_idx", "d.det_idx")
+    each = kept_rows.select("group", "frame_idx", F.explode_outer("dets").alias("d")).filter("d IS NOT NULL")
+    return each.select("group", "frame_idx", "d.det_idx")
 
 
 def _tracked(spark, sf):

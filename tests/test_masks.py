@@ -241,6 +241,18 @@ def test_padding_never_becomes_road(spark, mask_table, to_masks):
     assert runs.restore_runs(spark.createDataFrame(spans_of(padding, 0), RUNS), plans).isEmpty()
 
 
+def test_spans_outside_their_shape_stop_the_job(spark):
+    dims = spark.createDataFrame([("g", 0, 36, 64)], DIMS)
+    plans = dims.select("group", "frame_idx", letterbox_plan("height", "width", 48, 32).alias("plan"))
+    for row in ((36, 0, 5), (-1, 0, 5), (5, -1, 5), (5, 60, 65)):
+        bad = spark.createDataFrame([("g", 0, *row)], RUNS)
+        for move in (runs.apply_mask, runs.unpad_runs, runs.restore_runs):
+            with pytest.raises(Exception, match="outside the shape"):
+                move(bad, plans).collect()
+        with pytest.raises(Exception, match="outside the shape"):
+            runs.restore_runs(bad, plans, already_unpadded=True).collect()
+
+
 def test_augmentation_keeps_masks_binary_and_negatives_empty(spark, mask_table, to_masks):
     rng = np.random.default_rng(5)
     made = [rng.random((24, 32)) < (0 if i % 3 == 0 else 0.6) for i in range(30)]
