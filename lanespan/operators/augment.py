@@ -100,27 +100,33 @@ def photometric_augment(frames: DataFrame, seed: int = 42, effects: Sequence[str
     channels interleaved). One pass over the array per frame, no explode."""
     c = F.col
     planned = photometric_plan(frames, seed, effects)
+    names = [n for n in planned.columns if n not in frames.columns]
     rows = F.greatest(c("height") - 1, F.lit(1))
 
-    def pixel(v: Column, i: Column) -> Column:
+    def pixel(v: Column, i: Column, plan: Column) -> Column:
         channel = i % c("channels")
         x = F.floor(i / c("channels")) % c("width")
         y = F.floor(i / (c("channels") * c("width")))
-        value = F.greatest(F.lit(0.0), F.least(F.lit(1.0), v / 255.0 * c("gain") + c("offset")))
-        value = F.pow(value, c("gamma"))
+        value = F.greatest(F.lit(0.0), F.least(F.lit(1.0), v / 255.0 * plan["gain"] + plan["offset"]))
+        value = F.pow(value, plan["gamma"])
         if "colour" in effects:
-            value = value * F.get("colour", channel % 3)
+            value = value * F.get(plan["colour"], channel % 3)
         if "noise" in effects:
-            value = value + c("sigma") * _normal(seed, i)
+            value = value + plan["sigma"] * _normal(seed, i)
         if "fog" in effects:
-            haze = c("fog") * (FOG_FAR + (FOG_NEAR - FOG_FAR) * y / rows)
-            value = value * (1 - haze) + F.get("tint", channel % 3) * haze
+            haze = plan["fog"] * (FOG_FAR + (FOG_NEAR - FOG_FAR) * y / rows)
+            value = value * (1 - haze) + F.get(plan["tint"], channel % 3) * haze
         if "spot" in effects:
-            away = F.pow(x - c("spot_x"), 2) + F.pow(y - c("spot_y"), 2)
-            value = value + c("spot_gain") * F.exp(-away / (2 * F.pow(c("spot_radius"), 2)))
+            away = F.pow(x - plan["spot_x"], 2) + F.pow(y - plan["spot_y"], 2)
+            value = value + plan["spot_gain"] * F.exp(-away / (2 * F.pow(plan["spot_radius"], 2)))
         return F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), value)) * 255).cast("int")
 
-    return planned.select(*frames.columns, F.transform("pixels", pixel).alias("augmented"))
+    # The plan enters as the element of a one-item array: it is drawn once per frame, whereas
+    # plain columns would be merged into the lambda and drawn again for every pixel.
+    augmented = F.transform(
+        F.array(F.struct(*names)), lambda plan: F.transform("pixels", lambda v, i: pixel(v, i, plan))
+    )
+    return planned.select(*frames.columns, F.get(augmented, F.lit(0)).alias("augmented"))
 
 
 def _normal(seed: int, i: Column) -> Column:

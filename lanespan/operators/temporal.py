@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lanespan.functions.ordered import BLOCK, block_of, running_total, with_halo, with_position
+from lanespan.functions.ordered import block_of, running_total, with_halo, with_position
 from lanespan.operators.components import hysteresis
 from lanespan.operators.runs import pixels_to_runs
 
@@ -175,6 +175,3 @@ def temporal_filter(
     if mode == "none":
         return hysteresis(sized(frames), low, high)
     raise ValueError("mode must be ema, legacy or none")
-
-
-__all__ = ["BLOCK", "consecutive", "memory_of", "scene_segments", "smooth", "temporal_filter", "vote"]

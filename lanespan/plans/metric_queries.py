@@ -365,8 +365,8 @@ def drop_warmup(spark, sf):
     ),
 )
 def latency_summary(spark, sf):
-    timed = v.timed_events(spark, sf)
-    return rounded(telemetry.latency_summary(timed, "ms", ["stage"]), "mean_ms", "median_ms", "p95_ms", "fps")
+    events = v.table(spark, sf, "events").select(v.stage_of("event_type").alias("stage"), F.col("value").alias("ms"))
+    return rounded(telemetry.latency_summary(events, "ms", ["stage"]), "mean_ms", "median_ms", "p95_ms", "fps")
 
 
 @query(

@@ -62,17 +62,20 @@ FRAMES_SEQ = """frames_seq AS (
 STAGE_OF = {"click": "read", "error": "prepare", "purchase": "inference", "signup": "temporal", "view": "render"}
 
 
+def stage_of(event_type: str) -> Column:
+    return F.create_map(*[F.lit(x) for pair in STAGE_OF.items() for x in pair])[F.col(event_type)]
+
+
 def timed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
     rows = events.select(
         (F.col("user_id") % 10).alias("run_id"), micros(events).alias("us"), "event_id", "event_type", "value"
     )
     placed = _positions(rows, ["run_id"], "_pos")
-    stage = F.create_map(*[F.lit(x) for pair in STAGE_OF.items() for x in pair])
     return placed.select(
         "run_id",
         F.floor(F.col("_pos") / 4).cast("long").alias("frame_seq"),
-        stage[F.col("event_type")].alias("stage"),
+        stage_of("event_type").alias("stage"),
         (F.col("value") / 1000).alias("seconds"),
         (F.col("us") / 1e6).alias("t"),
         F.col("value").alias("ms"),
