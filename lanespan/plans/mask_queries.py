@@ -181,7 +181,7 @@ P_LABELS = (v.MASKS, PRED, P_RUNS, components_sql("p_runs", "lab"))
 
 @query(
     "label_components",
-    v.sql(*P_LABELS, body='SELECT "group", frame_idx, y, x0, x1, component FROM lab', recursive=True),
+    v.sql(*P_LABELS, body='SELECT "group", frame_idx, y, x0, x1, component::INT AS component FROM lab', recursive=True),
 )
 def label_components(spark, sf):
     return components.label_components(pred(spark, sf))
@@ -199,7 +199,7 @@ lower_x AS (SELECT "group", frame_idx, component, avg(x) AS lower_mean_x FROM (
     v.sql(
         *P_LABELS,
         STATS,
-        body="""SELECT "group", frame_idx, component, area::BIGINT AS area, top, bottom, touches_lower,
+        body="""SELECT "group", frame_idx, component::INT AS component, area::BIGINT AS area, top, bottom, touches_lower,
   round(lower_mean_x, 6) AS lower_mean_x FROM stats LEFT JOIN lower_x USING ("group", frame_idx, component)""",
         recursive=True,
     ),
@@ -372,7 +372,7 @@ def nearest_full_span(spark, sf):
     return zones.nearest_full_span(*v.roads(spark, sf))
 
 
-@query("zone_runs", v.sql(v.ROADS, FULL, ZONED, body="SELECT * FROM zoned"))
+@query("zone_runs", v.sql(v.ROADS, FULL, ZONED, body='SELECT "group", frame_idx, y, x0::INT AS x0, x1::INT AS x1, zone FROM zoned'))
 def zone_runs(spark, sf):
     return zones.zone_runs(*v.roads(spark, sf))
 

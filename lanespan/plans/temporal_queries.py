@@ -172,7 +172,8 @@ stepped AS (SELECT *, coalesce(abs(thumb - lag(thumb) OVER (PARTITION BY "group"
 
 def _event_stream(spark, sf):
     schema = v.table(spark, sf, "events").schema
-    return stream_frames(spark, schema, sf, glob="events.parquet")
+    # A pattern matches the table whether it is one file or a folder of files.
+    return stream_frames(spark, schema, f"{sf}/event[s].parquet")
 
 
 def _live_frames(spark, sf):

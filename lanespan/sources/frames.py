@@ -12,12 +12,9 @@ def stream_frames(
     path: str,
     file_format: str = "parquet",
     files_per_trigger: int = 16,
-    glob: str | None = None,
 ) -> DataFrame:
     """Frames appended to a folder, a bounded number of files per micro-batch."""
     reader = (
         spark.readStream.format(file_format).schema(schema).option("maxFilesPerTrigger", files_per_trigger)
     )
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
     return reader.load(path)
