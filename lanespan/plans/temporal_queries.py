@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lanespan.operators import temporal, tracks
 from lanespan.plans import views as v
 from lanespan.plans.registry import query
-from lanespan.session import shared_folder
+from lanespan.session import materialize, shared_folder
 from lanespan.sources.frames import stream_frames
 from lanespan.streaming.intake import camera_intake, lossless_intake, run_to_end
 from lanespan.streaming.temporal import filter_stream
@@ -257,9 +257,17 @@ def camera_stream(spark, sf):
 
 @query("track_stream")
 def track_stream_query(spark, sf):
-    """Tracks from a stream of written observations, equal to the batch result."""
+    """Tracks from a stream of observations arriving week by week, equal to the batch result.
+
+    A week is written after the one before and a source's week is one file, so files in arrival
+    order hold each source's frames in order, however many a micro-batch takes.
+    """
     folder = shared_folder(spark, "observations")
-    observed = tracks.suppress_near_duplicates(v.observations(spark, sf)).withColumn("run_id", F.lit("live"))
-    observed.write.parquet(f"{folder}/in")
-    live = stream_frames(spark, observed.schema, f"{folder}/in", files_per_trigger=1000)
+    observed = materialize(
+        tracks.suppress_near_duplicates(v.observations(spark, sf)).withColumn("run_id", F.lit("live"))
+    )
+    for first in range(0, 31, 8):
+        week = observed.filter(F.col("frame_idx").between(first, first + 7))
+        week.repartition("group").write.mode("append").parquet(f"{folder}/in")
+    live = stream_frames(spark, observed.schema, f"{folder}/in", files_per_trigger=64)
     return _through_stream(spark, track_stream(live), "tracks").select(*TRACK_COLUMNS, "main_id")
