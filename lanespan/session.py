@@ -29,9 +29,12 @@ def local_session(cpus: str = "8", memory: str = "12g") -> SparkSession:
 def _shared_base(spark: SparkSession) -> str:
     """Shared storage of the cluster, as named in ``spark.checkpoint.dir``.
 
-    Only a session without that setting (a test on one machine) gets a temporary folder.
+    Only a session on one machine (``local``) may lack that setting and gets a temporary folder; a cluster's executors
+    and driver do not see each other's.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not base:
         base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", base)
