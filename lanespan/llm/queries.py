@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanespan.llm import bpe, decontaminate, exact_dedup, quality, simhash
+from lanespan.llm import bpe, decontaminate, exact_dedup, language, quality, sequences, sharding, simhash, toxicity
 from lanespan.llm.common import documents
 from lanespan.session import shared_folder
 
@@ -22,6 +22,10 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(documents(spark, sf_dir), benchmark_items(spark, sf_dir))
 
@@ -54,11 +58,19 @@ FROM doc_words LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)
 """
 
 
+def op3_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequences.encode_and_read(documents(spark, sf_dir))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.near_groups(documents(spark, sf_dir))
     return groups.select("doc_id", simhash.hex_fingerprint().alias("fingerprint"), "component_id")
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(documents(spark, sf_dir)).drop("spans")
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = exact_dedup.DigestIndex(spark, shared_folder(spark, "digest-index"))
     rows = index.add(documents(spark, sf_dir))
@@ -76,6 +88,10 @@ FROM d WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id)
 """
 
 
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(documents(spark, sf_dir))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(documents(spark, sf_dir), labels(spark, sf_dir))
 
@@ -85,9 +101,13 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_toxicity": op1_toxicity,
     "op2_decontaminate": op2_decontaminate,
+    "op3_sequences": op3_sequences,
     "op4_simhash": op4_simhash,
+    "op6_language": op6_language,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_sharding": op8_sharding,
     "op9_quality": op9_quality,
     "op10_bpe": op10_bpe,
 }
