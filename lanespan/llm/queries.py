@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanespan.llm import bpe, decontaminate, exact_dedup, language, quality, sequences, sharding, simhash, toxicity
+from lanespan.llm import bpe, decontaminate, exact_dedup, language, quality, sequences, sharding, simhash, suffixes, toxicity
 from lanespan.llm.common import documents
 from lanespan.session import shared_folder
 
@@ -67,6 +67,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", simhash.hex_fingerprint().alias("fingerprint"), "component_id")
 
 
+def op5_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(documents(spark, sf_dir)).drop("kept")
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(documents(spark, sf_dir)).drop("spans")
 
@@ -105,6 +109,7 @@ QUERIES: dict[str, Query] = {
     "op2_decontaminate": op2_decontaminate,
     "op3_sequences": op3_sequences,
     "op4_simhash": op4_simhash,
+    "op5_suffixes": op5_suffixes,
     "op6_language": op6_language,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_sharding": op8_sharding,
