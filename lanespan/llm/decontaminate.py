@@ -42,11 +42,11 @@ def _lookup(rows: DataFrame, table: DataFrame, n: int, on: list[str], how: str)
     return rows.join(F.broadcast(table) if n <= BROADCAST_ROWS else table, on, how)
 
 
-def _grams(size: int, step: int) -> Column:
+def _grams(size: int, step: int, column: str = "words") -> Column:
     """Hashes of the word runs of a size, every ``step`` words."""
-    count = F.floor((F.size("words") - size) / F.lit(step)).cast("int")
-    starts = F.when(F.size("words") >= size, F.sequence(F.lit(0), count)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.xxhash64(F.slice("words", i * step + 1, size)))
+    count = F.floor((F.size(column) - size) / F.lit(step)).cast("int")
+    starts = F.when(F.size(column) >= size, F.sequence(F.lit(0), count)).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.xxhash64(F.slice(column, i * step + 1, size)))
 
 
 def scan(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -63,12 +63,7 @@ def scan(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
         return rows, rows.select("doc_id", "text_key", F.lit(0).alias("pos"), F.lit(0).alias("size"), F.lit("").alias("item_id")).filter("false")
     windows = stored(windows.distinct(), "windows")
     blocks = sorted({(size + 1) // 2 for size in sizes})
-    parts = [
-        windows.filter(F.floor((F.col("size") + 1) / 2) == b).select(
-            F.explode(F.transform(F.sequence(F.lit(1), F.col("size") - b + 1), lambda i, b=b: F.xxhash64(F.slice("gram", i, b)))).alias("h")
-        )
-        for b in blocks
-    ]
+    parts = [windows.filter(F.floor((F.col("size") + 1) / 2) == b).select(F.explode(_grams(b, 1, "gram")).alias("h")) for b in blocks]
     first = parts[0]
     for part in parts[1:]:
         first = first.union(part)
@@ -135,9 +130,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "document
     gone = gone.groupBy("doc_id", "text_key").agg(F.collect_set("word").alias("gone")).alias("h")
     inside = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
     outside = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
-    joined = d.join(gone, same, "left").withColumn("__pieces", F.when(F.col("gone").isNotNull(), F.regexp_extract_all("d.text", F.lit(f"({inside}+{outside}*)"), 1)))
-    left = F.array_except(F.sequence(F.lit(0), F.size("__pieces") - 1), F.col("gone"))
+    joined = d.join(gone, same, "left").withColumn("__pieces", F.when(F.col("h.gone").isNotNull(), F.regexp_extract_all("d.text", F.lit(f"({inside}+{outside}*)"), 1)))
+    left = F.array_except(F.sequence(F.lit(0), F.size("__pieces") - 1), F.col("h.gone"))
     lead = F.regexp_extract("d.text", f"^{outside}*", 0)
     kept = F.concat(lead, F.array_join(F.transform(left, lambda i: F.element_at("__pieces", i + 1)), ""))
-    text = F.when(F.col("gone").isNull(), F.col("d.text")).otherwise(kept).alias("text")
+    text = F.when(F.col("h.gone").isNull(), F.col("d.text")).otherwise(kept).alias("text")
     return joined.select(*[text if c == "text" else F.col(f"d.`{c}`") for c in docs.columns])

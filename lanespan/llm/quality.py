@@ -40,21 +40,23 @@ class Network:
     def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Probability of each document; an empty one is a document of padding."""
         blocks, first = _blocks(data, offsets)
-        maxima = self.block_maxima(blocks)
+        maxima = self.block_maxima(blocks, first[1:] - 1)
         chunk, owner = _chunks(first)
         pooled = np.maximum.reduceat(maxima[chunk.ravel()], np.arange(0, chunk.size, CHUNK))
         n = np.bincount(owner, minlength=len(offsets) - 1)
         mean = np.add.reduceat(pooled, np.r_[0, np.cumsum(n)[:-1]]) / n[:, None]
         return 1 / (1 + np.exp(-np.clip(mean @ self.out + self.shift, -30, 30)))
 
-    def block_maxima(self, blocks: np.ndarray) -> np.ndarray:
-        """Largest response of each filter in each block; the window at a block's end reaches into the next one."""
+    def block_maxima(self, blocks: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Largest response of each filter in each block; windows at a block's end reach into the next one, but not over a document's ``last``."""
         spread = self.bytes_[blocks]
         positions = (len(blocks) - (WIDTH - STRIDE)) // STRIDE
         item = spread.itemsize * DEPTH
         views = np.lib.stride_tricks.as_strided(spread, (positions, WIDTH * DEPTH), (item * STRIDE, spread.itemsize))
         response = np.ascontiguousarray(views) @ self.filters
-        return np.maximum(response.reshape(-1, BLOCK // STRIDE, FILTERS).max(axis=1) + self.bias, 0)
+        response = response.reshape(-1, BLOCK // STRIDE, FILTERS)
+        response[last, 1 - WIDTH // STRIDE :] = -np.inf
+        return np.maximum(response.max(axis=1) + self.bias, 0)
 
 
 def _blocks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
