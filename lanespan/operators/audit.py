@@ -140,8 +140,8 @@ def require_clean(samples: DataFrame, require_negatives: bool = True) -> None:
         ("group leakage", group_leakage(samples)),
         ("overlapping sample path", path_reuse(samples)),
         ("content leakage", content_leakage(samples)),
-        ("unknown split", samples.filter(~F.col("split").isin(*SPLITS))),
-        ("blank group", samples.filter(~F.col("group").rlike(r"(?U)\S"))),
+        ("unknown split", samples.filter(~F.coalesce(F.col("split").isin(*SPLITS), F.lit(False)))),
+        ("blank group", samples.filter(~F.coalesce(F.col("group").rlike(r"(?U)\S"), F.lit(False)))),
     ]
     for name, rows in checks:
         hit = rows.first()
@@ -154,28 +154,10 @@ def require_clean(samples: DataFrame, require_negatives: bool = True) -> None:
 
 # ---------------------------------------------------------------- fingerprints
 
-MAX_EXACT_RECORDS = 2_000_000
-
-
 def _record() -> Column:
     return json_row(["split", "group", "image_hash", "mask_hash"])
 
 
-def dataset_fingerprint(samples: DataFrame, max_records: int = MAX_EXACT_RECORDS) -> DataFrame:
-    """SHA-256 of the JSON list of all sorted sample records.
-
-    The definition hashes one string, which only one task can do, so the number of records is
-    checked first; a larger manifest has to use :func:`dataset_digest`.
-    """
-    n = samples.count()
-    if n > max_records:
-        raise ValueError(f"{n} records exceed {max_records}; use dataset_digest")
-    order = F.struct("split", "group", "image_hash", "mask_hash", _record().alias("text"))
-    body = F.array_join(F.transform(F.sort_array(F.collect_list(order)), lambda r: r["text"]), ", ")
-    listed = F.concat(F.lit("["), body, F.lit("]"))
-    return samples.agg(F.sha2(F.encode(listed, "utf-8"), 256).alias("dataset_fingerprint"))
-
-
 def dataset_digest(samples: DataFrame) -> DataFrame:
     """Order-independent content digest for manifests of any size.
 

@@ -18,6 +18,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lanespan.functions.exprs import probability_fault
+
 FRAME = ("group", "frame_idx")
 
 
@@ -45,13 +47,22 @@ def with_dims(runs: DataFrame, dims: DataFrame, frame: Sequence[str] = FRAME) ->
 # ---------------------------------------------------------------- pixels to spans
 
 
+def checked_map(values: str = "p", height: str = "height", width: str = "width") -> Column:
+    """The probabilities of a map, or an error where they are no map of that size."""
+    fault = probability_fault(values, height, width)
+    refuse = F.raise_error(F.concat(F.lit("bad probability map: "), fault)).cast("array<double>")
+    return F.when(fault.isNull(), F.col(values).cast("array<double>")).otherwise(refuse)
+
+
 def pixels_to_runs(
     maps: DataFrame, threshold: float, values: str = "p", keep: Sequence[str] = FRAME
 ) -> DataFrame:
     """Maximal row spans with ``value >= threshold``; ``peak`` is the largest value inside.
 
-    Works inside each row of the table (no explode to pixels, no shuffle).
+    Works inside each row of the table (no explode to pixels, no shuffle). A map of the wrong size, with a value that is not finite or
+    outside [0, 1] is an error.
     """
+    maps = maps.withColumn(values, checked_map(values))
     v, w = F.col(values), F.col("width")
     last = F.size(v) - 1
 

@@ -91,14 +91,20 @@ def frame_facts(
         return F.sum(F.when(condition, size).otherwise(0)).alias(name)
 
     sums = [pixels(p & t, "tp"), pixels(p & ~t, "fp"), pixels(~p & t, "fn")]
+    reach = [F.min("y").alias("_y0"), F.max("y").alias("_y1"), F.min("x0").alias("_x0"), F.max("x1").alias("_x1")]
     if boundary_radius is not None:
         bp, bt = p & ~F.col("p_inner"), t & ~F.col("t_inner")
         sums += [pixels(bp & bt, "boundary_intersection"), pixels(bp | bt, "boundary_union")]
-    counted = pieces.groupBy(*FRAME).agg(*sums)
-    names = [c for c in counted.columns if c not in FRAME]
-    filled = dims.join(counted, list(FRAME), "left").select(
+    counted = pieces.groupBy(*FRAME).agg(*sums, *reach)
+    names = [c for c in counted.columns if c not in FRAME and not c.startswith("_")]
+    # A frame of unknown size or a span outside its frame would make every score wrong.
+    outside = (F.col("_y0") < 0) | (F.col("_x0") < 0) | (F.col("_y1") >= F.col("height")) | (F.col("_x1") > F.col("width"))
+    fault = F.when(F.col("height").isNull() | F.col("width").isNull(), "frame without dims").when(outside, "span outside its frame")
+    refuse = F.raise_error(F.concat(fault, F.lit(": "), F.col("group"), F.lit(" "), F.col("frame_idx"))).cast("long")
+    size_of = (F.col("height") * F.col("width")).cast("long")
+    filled = dims.join(counted, list(FRAME), "full").select(
         *FRAME,
-        (F.col("height") * F.col("width")).cast("long").alias("pixels"),
+        F.when(fault.isNull(), size_of).otherwise(refuse).alias("pixels"),
         *[F.coalesce(F.col(n), F.lit(0)).cast("long").alias(n) for n in names],
     )
     negative = (F.col("tp") + F.col("fn")) == 0
@@ -186,10 +192,18 @@ def evaluation_report(
 
 
 def compare_runs(baseline: DataFrame, candidate: DataFrame) -> DataFrame:
-    """Frame facts of two models on the same frames, side by side."""
+    """Frame facts of two models on the same frames, side by side; a frame that one model lacks is an error."""
     left = baseline.select(*FRAME, *[F.col(c).alias(f"baseline_{c}") for c in COUNTS])
     right = candidate.select(*FRAME, *[F.col(c).alias(f"candidate_{c}") for c in COUNTS])
-    return left.join(right, list(FRAME))
+    return _both(left, right, "baseline_tp", "candidate_tp")
+
+
+def _both(left: DataFrame, right: DataFrame, mine: str, theirs: str) -> DataFrame:
+    """Join of two tables that must hold the same frames."""
+    lone = F.col(mine).isNull() | F.col(theirs).isNull()
+    refuse = F.raise_error(F.concat(F.lit("only one side has frame "), F.col("group"), F.lit(" "), F.col("frame_idx")))
+    joined = left.join(right, list(FRAME), "full")
+    return joined.withColumn("group", F.when(lone, refuse.cast("string")).otherwise(F.col("group")))
 
 
 def comparison_scores(joined: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -244,15 +258,17 @@ def backend_pairs(expected: DataFrame, actual: DataFrame, left: dict, right: dic
     """Outputs of two backends side by side, refused when their models differ."""
     if not backend_metadata_agrees(left, right):
         raise ValueError("backends with different model or preprocessing metadata cannot be compared")
-    return expected.select(*FRAME, F.col("p").alias("expected")).join(
-        actual.select(*FRAME, F.col("p").alias("actual")), list(FRAME)
-    )
+    return _both(expected.select(*FRAME, F.col("p").alias("expected")), actual.select(*FRAME, F.col("p").alias("actual")), "expected", "actual")
 
 
 def backend_parity(
     pairs: DataFrame, by: Sequence[str] = (), atol: float = 1e-5, rtol: float = 1e-4
 ) -> DataFrame:
-    """Largest error, mean of the frame means, and whether every value is within tolerance."""
+    """Largest error, mean of the frame means, and whether every value is within tolerance.
+
+    Outputs of different lengths and a comparison of no outputs at all are errors.
+    """
+    pairs = pairs.withColumn("expected", _as_long_as("expected", "actual"))
     differences = F.zip_with("expected", "actual", lambda e, a: F.abs(e.cast("double") - a))
     within = F.zip_with(
         "expected",
@@ -265,14 +281,24 @@ def backend_parity(
         (F.aggregate("_d", F.lit(0.0), lambda s, v: s + v) / F.size("_d")).alias("mean_error"),
         F.forall(within, lambda ok: ok).alias("within"),
     )
+    frames = F.count(F.lit(1))
+    if not by:
+        frames = F.when(frames > 0, frames).otherwise(F.raise_error(F.lit("no outputs to compare")).cast("long"))
     return facts.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("frames"),
+        frames.alias("frames"),
         F.max("max_error").alias("max_abs_error"),
         F.avg("mean_error").alias("mean_abs_error"),
         F.bool_and("within").alias("within_tolerance"),
     )
 
 
+def _as_long_as(column: str, other: str) -> Column:
+    """The array, or an error where it is null, empty or not as long as the other."""
+    same = F.coalesce((F.size(column) == F.size(other)) & (F.size(column) > 0), F.lit(False))
+    kind = "array<double>"
+    return F.when(same, F.col(column).cast(kind)).otherwise(F.raise_error(F.lit(f"{column} and {other} differ in shape")).cast(kind))
+
+
 def sample_loss(logits: str = "logit", targets: str = "target") -> Column:
     """Mean binary cross-entropy on logits plus the smoothed Dice loss of one sample."""
     terms = F.zip_with(
@@ -290,7 +316,8 @@ def sample_loss(logits: str = "logit", targets: str = "target") -> Column:
 def segmentation_loss(samples: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Sample-weighted mean loss, independent of how samples were batched."""
     return (
-        samples.select(*by, sample_loss().alias("_loss"))
+        samples.withColumn("logit", _as_long_as("logit", "target"))
+        .select(*by, sample_loss().alias("_loss"))
         .groupBy(*by)
         .agg(F.count(F.lit(1)).alias("samples"), F.avg("_loss").alias("loss"))
     )

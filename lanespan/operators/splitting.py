@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lanespan.functions.exprs import SPLITS, seeded_key
@@ -13,17 +13,20 @@ RATIOS = (0.70, 0.15, 0.15)
 CALIBRATION_RANGE = (200, 500)
 
 
-def apportion(n: int) -> tuple[int, int, int]:
-    """Groups per split for ``n`` groups; every split gets at least one."""
-    if n < 3:
-        raise ValueError("at least three independent groups are required")
-    sizes = [max(1, int(n * share)) for share in RATIOS]
-    for _ in range(max(0, sum(sizes) - n)):
-        sizes[sizes.index(max(sizes))] -= 1
-    for _ in range(max(0, n - sum(sizes))):
-        shortfall = [n * share - size for share, size in zip(RATIOS, sizes)]
-        sizes[shortfall.index(max(shortfall))] += 1
-    return tuple(sizes)
+def cuts(n: Column) -> tuple[Column, Column]:
+    """Where the second and the third split begin among ``n`` groups in order; fewer than three groups are an error.
+
+    Whole shares first, one group at least. Of the at most two groups then left, the first goes where most of its share is missing, to
+    the training split on a tie, and the second to the next split; with three groups the training split gives one up.
+    """
+    train, validation, test = (F.greatest(F.lit(1), F.floor(n * F.lit(share))) for share in RATIOS)
+    left = n - train - validation - test
+    train_first = n * F.lit(RATIOS[0]) - train >= n * F.lit(RATIOS[1]) - validation
+    more = F.when(left < 0, left).when((left > 0) & train_first, 1).otherwise(0)
+    second = F.when((left > 0) & ~train_first, 1).when((left > 1) & train_first, 1).otherwise(0)
+    refuse = F.raise_error(F.lit("at least three independent groups are required")).cast("long")
+    begin = F.when(n >= 3, train + more).otherwise(refuse)
+    return begin, begin + validation + second
 
 
 def shuffle_groups(samples: DataFrame, seed: int = 42) -> DataFrame:
@@ -37,15 +40,12 @@ def shuffle_groups(samples: DataFrame, seed: int = 42) -> DataFrame:
 
 
 def assign_groups(samples: DataFrame, seed: int = 42) -> DataFrame:
-    """Split of every group. Only the number of groups reaches the driver."""
+    """Split of every group. Nothing is computed before the result is; the number of groups is one row beside them."""
     groups = shuffle_groups(samples, seed)
-    train, validation, _ = apportion(samples.select("group").distinct().count())
-    split = (
-        F.when(F.col("pos") < train, SPLITS[0])
-        .when(F.col("pos") < train + validation, SPLITS[1])
-        .otherwise(SPLITS[2])
-    )
-    return groups.select("group", split.alias("split"))
+    total = samples.agg(F.countDistinct("group").alias("_n"))
+    second, third = cuts(F.col("_n"))
+    split = F.when(F.col("pos") < second, SPLITS[0]).when(F.col("pos") < third, SPLITS[1]).otherwise(SPLITS[2])
+    return groups.crossJoin(F.broadcast(total)).select("group", split.alias("split"))
 
 
 def apply_split(samples: DataFrame, assignment: DataFrame) -> DataFrame:
@@ -54,11 +54,12 @@ def apply_split(samples: DataFrame, assignment: DataFrame) -> DataFrame:
     return samples.join(assignment, "group")
 
 
-def round_robin_sample(samples: DataFrame, count: int = 200, seed: int = 42) -> DataFrame:
+def round_robin_sample(samples: DataFrame, count: int = 200, seed: int = 42, allow_short: bool = False) -> DataFrame:
     """Training frames for calibration, one per group and round, without repeated contents.
 
     The round of a frame is its place in its group's seeded order; a repeated content uses up
-    the turn. Places come from digest buckets, so no group is sorted in one task.
+    the turn. Places come from digest buckets, so no group is sorted in one task. Fewer than ``count``
+    contents are an error unless ``allow_short``.
     """
     low, high = CALIBRATION_RANGE
     if not low <= count <= high:
@@ -67,10 +68,19 @@ def round_robin_sample(samples: DataFrame, count: int = 200, seed: int = 42) ->
     placed = with_position(train, ["group"], ["_key", "image"], F.substring("_key", 1, 4), "round")
     turn = F.struct("round", seeded_key(seed, "group").alias("group_key"), "group", "image")
     first = placed.groupBy("image_hash").agg(F.min(turn).alias("_turn"))
+    chosen = first.orderBy("_turn").limit(count)
+    found = chosen.agg(F.count(F.lit(1)).alias("_found"))
+    short = F.raise_error(F.concat(F.lit(f"need {count} unique training images, found "), F.col("_found"))).cast("string")
+    # The count stands on the left, so that an empty sample is refused as well.
     return (
-        first.orderBy("_turn")
-        .limit(count)
-        .select(F.col("_turn.group").alias("group"), F.col("_turn.image").alias("image"), "image_hash", "_turn.round")
+        found.join(chosen, F.lit(True), "left")
+        .select(
+            F.when((F.col("_found") == count) | F.lit(allow_short), F.col("_turn.group")).otherwise(short).alias("group"),
+            F.col("_turn.image").alias("image"),
+            "image_hash",
+            "_turn.round",
+        )
+        .filter(F.lit(not allow_short) | F.col("image_hash").isNotNull())
     )
 
 

@@ -1,21 +1,20 @@
 """Temporal state over ordered frames: scene resets, smoothing, voting.
 
 Frames carry ``group, frame_idx, height, width, p_height, p_width, thumb, p``; ``frame_idx`` (or
-another column named by ``pos``) counts frames consecutively within a source, see
-:func:`consecutive`. A source is cut into blocks, and each block sees enough frames of the block
-before it, so sources of any length spread over tasks and each map is shuffled once.
+another column named by ``pos``) counts frames consecutively within a source from any number on, see
+:func:`consecutive`; a gap is an error. A source is cut into blocks, and each block sees enough frames of the block
+before it, so sources of any length spread over tasks.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lanespan.functions.ordered import block_of, running_total, with_halo, with_position
 from lanespan.operators.components import hysteresis
-from lanespan.operators.runs import pixels_to_runs
+from lanespan.operators.runs import checked_map, pixels_to_runs
+from lanespan.session import materialize
 
 SOURCE = ("group",)
 # Frames per block where whole maps are held together in memory.
@@ -32,13 +31,16 @@ def _resets(window: Window, pos: str, threshold: float) -> Column:
     """True at the first frame, on a change of shape, or when the thumbnail moved too far."""
     if not 0 < threshold <= 1:
         raise ValueError("scene threshold must lie in (0, 1]")
+    before = F.lag(pos).over(window)
+    gap = F.raise_error(F.concat(F.lit("frame numbers have a gap before "), F.col(pos))).cast("boolean")
+    first = F.when(before.isNull(), True).when(F.col(pos) - before != 1, gap).otherwise(False)
     previous = F.lag("thumb").over(window)
     change = F.zip_with("thumb", previous, lambda a, b: F.abs(a.cast("double") - b.cast("double")))
     mean = F.aggregate(change, F.lit(0.0), lambda s, v: s + v) / F.size("thumb")
     reshaped = F.lit(False)
     for name in _SHAPE:
         reshaped = reshaped | (F.col(name) != F.lag(name).over(window))
-    return F.coalesce((F.col(pos) == 0) | reshaped | (mean > threshold), F.lit(False))
+    return F.coalesce(first | reshaped | (mean > threshold), F.lit(False))
 
 
 def scene_segments(frames: DataFrame, threshold: float = 0.25, pos: str = "frame_idx") -> DataFrame:
@@ -51,13 +53,6 @@ def scene_segments(frames: DataFrame, threshold: float = 0.25, pos: str = "frame
     return total.select(*SOURCE, "frame_idx", "was_reset", "segment")
 
 
-def memory_of(alpha: float) -> int:
-    """Frames after which an earlier value weighs less than a double can resolve."""
-    if not 0 < alpha <= 1:
-        raise ValueError("alpha must lie in (0, 1]")
-    return 1 if alpha == 1 else max(1, math.ceil(53 * math.log(2) / -math.log(1 - alpha)))
-
-
 def smooth(
     frames: DataFrame,
     alpha: float = 0.70,
@@ -67,12 +62,14 @@ def smooth(
 ) -> DataFrame:
     """Exponential smoothing of ``p`` per pixel, restarted at every scene reset.
 
-    A block starts its fold ``memory_of(alpha)`` frames early: what came before those frames
-    is below double precision, so blocks are independent.
+    The recurrence is linear, so a block acts on the map before it as "weigh by a factor and add a map": the map is the
+    block's own fold from zero, the factor is zero after a reset. These pairs are combined over 1, 2, 4, ... blocks until
+    each block has the map it starts from; then every block is folded once more from there.
     """
-    back = memory_of(alpha) + 1
-    size = max(block, back)
-    spread, w, home = with_halo(frames, SOURCE, pos, back, size)
+    if not 0 < alpha <= 1:
+        raise ValueError("alpha must lie in (0, 1]")
+    checked = frames.withColumn("p", checked_map("p", "p_height", "p_width"))
+    spread, w, home = with_halo(checked, SOURCE, pos, 1, block)
     flagged = spread.select(
         "_block",
         *SOURCE,
@@ -80,22 +77,49 @@ def smooth(
         "frame_idx",
         *_SHAPE,
         _resets(w, pos, scene_threshold).alias("was_reset"),
-        F.col("p").cast("array<double>").alias("p"),
+        "p",
         home.alias("_home"),
-    )
-    row = F.struct("_pos", "was_reset", "_home", "frame_idx", *_SHAPE, "p")
+    ).filter("_home")
+    row = F.struct("_pos", "was_reset", "frame_idx", *_SHAPE, "p")
     rows = flagged.groupBy(*SOURCE, "_block").agg(F.sort_array(F.collect_list(row)).alias("_rows"))
     none = F.lit(None).cast("array<double>")
+
+    def mixed(r: Column, last: Column) -> Column:
+        weighed = F.zip_with(r["p"], last, lambda now, before: alpha * now + (1 - alpha) * before)
+        from_zero = F.transform(r["p"], lambda now: alpha * now)
+        return F.when(r["was_reset"], r["p"]).when(last.isNull(), from_zero).otherwise(weighed)
+
+    def end(state: Column, r: Column) -> Column:
+        factor = F.when(r["was_reset"], F.lit(0.0)).otherwise(state["factor"] * (1 - alpha))
+        return F.struct(mixed(r, state["map"]).alias("map"), factor.alias("factor"))
+
+    start = F.struct(none.alias("map"), F.lit(1.0).alias("factor"))
+    effect = F.aggregate("_rows", start, end)
+    ends = materialize(rows.select(*SOURCE, "_block", effect.alias("_e")).select(*SOURCE, "_block", "_e.*"))
+    longest = ends.groupBy(*SOURCE).agg((F.max("_block") - F.min("_block")).alias("n")).agg(F.max("n")).first()[0] or 0
+    step = 1
+    while step <= longest:
+        earlier = ends.select(*SOURCE, (F.col("_block") + step).alias("_block"), F.col("map").alias("_map"), F.col("factor").alias("_factor"))
+        joined = ends.join(earlier, [*SOURCE, "_block"], "left")
+        added = F.zip_with("map", "_map", lambda own, before: own + F.col("factor") * before)
+        # After a reset the maps may differ in size, and nothing of the earlier one is left.
+        reaches = F.col("_map").isNotNull() & (F.col("factor") != 0)
+        ends = materialize(
+            joined.select(
+                *SOURCE,
+                "_block",
+                F.when(reaches, added).otherwise(F.col("map")).alias("map"),
+                (F.col("factor") * F.coalesce("_factor", F.lit(1.0))).alias("factor"),
+            )
+        )
+        step *= 2
+    entered = ends.select(*SOURCE, (F.col("_block") + 1).alias("_block"), F.col("map").alias("_last"))
     done = F.array().cast(
         "array<struct<frame_idx:bigint,height:int,width:int,p_height:int,p_width:int,was_reset:boolean,p:array<double>>>"
     )
 
-    def step(state: Column, r: Column) -> Column:
-        mixed = F.zip_with(r["p"], state["last"], lambda now, before: alpha * now + (1 - alpha) * before)
-        return F.struct(F.when(r["was_reset"] | state["last"].isNull(), r["p"]).otherwise(mixed).alias("last"))
-
     def collect(state: Column, r: Column) -> Column:
-        last = step(state, r)["last"]
+        last = mixed(r, state["last"])
         out = F.struct(
             r["frame_idx"].cast("long").alias("frame_idx"),
             *[r[n].cast("int").alias(n) for n in _SHAPE],
@@ -104,18 +128,9 @@ def smooth(
         )
         return F.struct(last.alias("last"), F.concat(state["out"], F.array(out)).alias("out"))
 
-    # Frames of the halo only warm up the state; the block's own frames are kept.
-    warm = F.aggregate(
-        F.filter("_rows", lambda r: ~r["_home"]), F.struct(none.alias("last")), step
-    )
-    folded = rows.select(*SOURCE, "_rows", warm["last"].alias("_last")).select(
+    folded = rows.join(entered, [*SOURCE, "_block"], "left").select(
         *SOURCE,
-        F.aggregate(
-            F.filter("_rows", lambda r: r["_home"]),
-            F.struct(F.col("_last").alias("last"), done.alias("out")),
-            collect,
-            lambda state: state["out"],
-        ).alias("_out"),
+        F.aggregate("_rows", F.struct(F.col("_last").alias("last"), done.alias("out")), collect, lambda state: state["out"]).alias("_out"),
     )
     # explode_outer keeps the optimizer from repeating the fold in a filter below.
     each = folded.select(*SOURCE, F.explode_outer("_out").alias("_o")).filter(F.col("_o").isNotNull())
@@ -135,6 +150,7 @@ def vote(
     since the scene began. Returns the map of 0/1 as ``p``."""
     if not 1 <= confirmed <= window:
         raise ValueError("votes needed must lie between one and the window")
+    frames = frames.withColumn("p", checked_map("p", "p_height", "p_width"))
     on = F.transform("p", lambda v: F.when(v >= threshold, 1).otherwise(0))
     size = max(block, window)
     spread, w, home = with_halo(frames, SOURCE, pos, window, size)

@@ -8,7 +8,9 @@ from lanespan.functions import exprs
 from lanespan.operators import audit, provenance, splitting, training
 from lanespan.plans import views as v
 from lanespan.plans.registry import query
-from lanespan.sources.files import extract_every_n, extraction_ledger
+from lanespan.session import shared_folder
+from lanespan.sources.files import extract_every_n, extraction_ledger, scan_manifest
+from lanespan.sources.sinks import write_manifest
 
 SPLIT = (v.SAMPLES, v.ASSIGNED)
 
@@ -104,16 +106,23 @@ def path_reuse(spark, sf):
 RECORD = """'["' || split || '", "' || "group" || '", "' || image_hash || '", "' || mask_hash || '"]'"""
 
 
+# Copies of a document lie in several groups; a clean manifest has each content once.
 @query(
-    "dataset_fingerprint",
+    "manifest_roundtrip",
     v.sql(
         *SPLIT,
-        body=f"""SELECT sha256('[' || string_agg({RECORD}, ', ' ORDER BY split, "group", image_hash, mask_hash) || ']')
-  AS dataset_fingerprint FROM split_samples""",
+        body="""SELECT split, "group", image, mask FROM split_samples
+QUALIFY row_number() OVER (PARTITION BY image_hash ORDER BY split, "group", image) = 1""",
     ),
 )
-def dataset_fingerprint(spark, sf):
-    return audit.dataset_fingerprint(split_samples(spark, sf))
+def manifest_roundtrip(spark, sf):
+    samples = split_samples(spark, sf)
+    order = ["split", "group", "image"]
+    rest = [c for c in samples.columns if c not in (*order, "image_hash")]
+    once = samples.groupBy("image_hash").agg(F.min(F.struct(*order, *rest)).alias("_s")).select("image_hash", "_s.*")
+    out = shared_folder(spark, "manifest")
+    write_manifest(once, out, require_negatives=False)
+    return scan_manifest(spark, out).drop("pos")
 
 
 @query(
@@ -160,7 +169,8 @@ ORDER BY round, sha256('42|' || "group"), "group", image LIMIT 200""",
     ),
 )
 def calibration_sample(spark, sf):
-    return splitting.round_robin_sample(split_samples(spark, sf), 200, 42)
+    # The smallest tables hold fewer contents than a calibration needs.
+    return splitting.round_robin_sample(split_samples(spark, sf), 200, 42, allow_short=True)
 
 
 # ---------------------------------------------------------------- pairing

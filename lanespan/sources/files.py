@@ -10,6 +10,7 @@ from lanespan.functions.exprs import SPLITS, is_image_path, valid_extraction_gro
 GROUPS_SCHEMA = "groups array<struct<group:string, images_dir:string, masks_dir:string>>"
 _SAMPLES = "array<struct<image:string, mask:string, group:string>>"
 MANIFEST_SCHEMA = "version bigint, splits struct<" + ", ".join(f"{s}:{_SAMPLES}" for s in SPLITS) + ">"
+MANIFEST_ROWS = "split string, pos bigint, group string, image string, mask string"
 _PROVENANCE = (
     "training_groups array<string>, validation_groups array<string>, training_image_hashes array<string>, "
     "validation_image_hashes array<string>, dataset_fingerprint string, provenance_complete boolean, "
@@ -83,7 +84,16 @@ def discover_files(spark: SparkSession, groups: DataFrame) -> DataFrame:
 
 
 def scan_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Samples of a split document as ``(split, pos, group, image, mask)`` with resolved paths."""
+    """Samples of a split document as ``(split, pos, group, image, mask)`` with resolved paths.
+
+    A path that does not end in ``.json`` is a manifest written by :func:`lanespan.sources.sinks.write_manifest`: rows of
+    any number instead of one document.
+    """
+    if not path.endswith(".json"):
+        rows = spark.read.schema(MANIFEST_ROWS).json(path)
+        known = F.when(F.col("split").isin(*SPLITS), F.col("split"))
+        split = F.coalesce(known, F.raise_error(F.concat(F.lit("unknown split: "), F.coalesce("split", F.lit("null")))).cast("string"))
+        return _checked_samples(rows.withColumn("split", split), F.lit(None).cast("string"))
     raw = spark.read.schema(MANIFEST_SCHEMA).json(path, multiLine=True)
     base = _folder(F.col("_metadata.file_path"))
     head = raw.select("version", *[F.col(f"splits.{s}").isNotNull().alias(s) for s in SPLITS]).first()
@@ -96,16 +106,22 @@ def scan_manifest(spark: SparkSession, path: str) -> DataFrame:
     rows = raw.select(base.alias("base"), split.alias("s")).select(
         "base", "s.split", F.posexplode("s.rows").alias("pos", "r")
     )
-    bad = (
-        F.col("r.image").isNull() | F.col("r.mask").isNull() | ~F.coalesce(F.col("r.group").rlike(r"\S"), F.lit(False))
-    )
+    return _checked_samples(rows.select("split", "pos", "r.group", "r.image", "r.mask", "base"), F.col("base"))
+
+
+def _checked_samples(rows: DataFrame, base: Column) -> DataFrame:
+    """Samples with paths below ``base`` (null: as they are); a blank image, mask or group is an error."""
+    good = F.lit(True)
+    for name in ("image", "mask", "group"):
+        good = good & F.coalesce(F.col(name).rlike(r"\S"), F.lit(False))
     message = F.lit("each sample needs image, mask and a non-empty group")
+    place = lambda c: F.when(base.isNull(), F.col(c)).otherwise(_resolve(F.col(c), base)).alias(c)
     return rows.select(
         "split",
         "pos",
-        F.when(~bad, F.col("r.group")).otherwise(F.raise_error(message).cast("string")).alias("group"),
-        _resolve(F.col("r.image"), F.col("base")).alias("image"),
-        _resolve(F.col("r.mask"), F.col("base")).alias("mask"),
+        F.when(good, F.col("group")).otherwise(F.raise_error(message).cast("string")).alias("group"),
+        place("image"),
+        place("mask"),
     )
 
 

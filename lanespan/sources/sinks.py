@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from lanespan.functions.ordered import with_position
 from lanespan.operators.audit import require_clean
 
 
@@ -23,24 +25,36 @@ def _rename(spark: SparkSession, source: str, target: str) -> None:
 def write_manifest(samples: DataFrame, path: str, require_negatives: bool = True) -> DataFrame:
     """Write the split samples next to ``path``, audit what was written, then rename.
 
-    Readers of ``path`` never see a manifest that failed its audit.
+    Readers of ``path`` never see a manifest that failed its audit. The rows are those of
+    :func:`lanespan.sources.files.scan_manifest`, ``pos`` is the place inside the split, and the audited columns follow.
     """
     spark = samples.sparkSession
     staging = f"{path.rstrip('/')}.staging-{uuid.uuid4().hex}"
-    samples.write.json(staging)
-    written = spark.read.schema(samples.schema).json(staging)
+    keyed = samples.drop("pos").withColumn("_key", F.sha2(F.concat_ws("|", "group", "image", "mask"), 256))
+    placed = with_position(keyed, ["split"], ["_key", "image", "mask"], F.substring("_key", 1, 4)).drop("_key")
+    placed.write.json(staging)
+    written = spark.read.schema(placed.schema).json(staging)
     require_clean(written, require_negatives)
     _rename(spark, staging, path)
-    return spark.read.schema(samples.schema).json(path)
+    return spark.read.schema(placed.schema).json(path)
+
+
+def _finite(value: Column, kind: T.DataType, name: str) -> Column:
+    """The value, or an error where a number anywhere inside is NaN or infinite."""
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        bad = F.isnan(value) | (F.abs(value) == float("inf"))
+        return F.when(bad, F.raise_error(F.lit(f"{name} is not finite")).cast(kind)).otherwise(value)
+    if isinstance(kind, T.StructType):
+        inside = [_finite(value[f.name], f.dataType, f"{name}.{f.name}").alias(f.name) for f in kind.fields]
+        return F.when(value.isNotNull(), F.struct(*inside))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda v: _finite(v, kind.elementType, f"{name}[]"))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(value, lambda _, v: _finite(v, kind.valueType, f"{name}{{}}"))
+    return value
 
 
 def write_report(report: DataFrame, path: str) -> None:
-    """Write a report as JSON; NaN and infinities are refused, existing reports are kept."""
-    checked = report
-    for field in report.schema.fields:
-        if field.dataType.typeName() in ("double", "float"):
-            value = F.col(field.name)
-            bad = F.isnan(value) | (F.abs(value) == float("inf"))
-            refuse = F.raise_error(F.lit(f"{field.name} is not finite")).cast("double")
-            checked = checked.withColumn(field.name, F.when(bad, refuse).otherwise(value))
+    """Write a report as JSON; NaN and infinities at any depth are refused, existing reports are kept."""
+    checked = report.select(*[_finite(F.col(f"`{f.name}`"), f.dataType, f.name).alias(f.name) for f in report.schema.fields])
     checked.write.mode("errorifexists").json(path)

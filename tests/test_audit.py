@@ -1,7 +1,7 @@
 """Audit, splits, provenance and training history on small tables."""
 
 import hashlib
-import json
+import math
 import random
 
 import pytest
@@ -54,6 +54,8 @@ def no_negatives(rows):
         (no_negatives, "no negative"),
         (lambda rows: rows.__delitem__(slice(4, 6)), "empty split"),
         (put(1, 1, "  "), "blank group"),
+        (put(1, 1, None), "blank group"),
+        (put(1, 0, None), "unknown split"),
     ],
 )
 def test_manifest_faults(table, change, message):
@@ -66,7 +68,7 @@ def test_negatives_can_be_optional_and_copies_inside_a_split_are_allowed(table):
     audit.require_clean(table(put(1, 4, "htrip00")))
 
 
-def test_fingerprint_equals_json_digest(spark):
+def test_digest_does_not_depend_on_order(spark):
     rows = [
         ("train", 'é"\\\n', "h1", "k"),
         ("train", "поездка 😀", "h2", "k"),
@@ -74,11 +76,7 @@ def test_fingerprint_equals_json_digest(spark):
         ("test", "plain-1.x", "h3", "k"),
         ("test", "plain-1.x", "h3", "k"),
     ]
-    expected = hashlib.sha256(json.dumps(sorted(list(r) for r in rows)).encode()).hexdigest()
     df = spark.createDataFrame(rows, "split string, group string, image_hash string, mask_hash string")
-    assert audit.dataset_fingerprint(df).first()[0] == expected
-    with pytest.raises(ValueError, match="dataset_digest"):
-        audit.dataset_fingerprint(df, max_records=3)
     digest = audit.dataset_digest(df).first()
     assert digest == audit.dataset_digest(df.orderBy(F.rand()).repartition(3)).first()
     assert digest != audit.dataset_digest(df.limit(4)).first() and digest.records == 5
@@ -153,14 +151,24 @@ def test_group_names(spark):
 # ---------------------------------------------------------------- splits
 
 
-def test_apportion_known_sizes():
-    assert splitting.apportion(20) == (14, 3, 3)
-    assert splitting.apportion(3) == (1, 1, 1)
-    for n in range(3, 200):
-        sizes = splitting.apportion(n)
-        assert sum(sizes) == n and min(sizes) >= 1
-    with pytest.raises(ValueError, match="three"):
-        splitting.apportion(2)
+def test_cuts_of_known_sizes(spark):
+    def naive(n):
+        sizes = [max(1, math.floor(n * share)) for share in splitting.RATIOS]
+        if sum(sizes) > n:
+            sizes[0] -= 1
+        missing = sorted(range(3), key=lambda k: (sizes[k] - n * splitting.RATIOS[k], k))
+        for k in missing[: n - sum(sizes)]:
+            sizes[k] += 1
+        return sizes
+
+    numbers = spark.range(3, 400).withColumnRenamed("id", "n")
+    second, third = splitting.cuts(F.col("n"))
+    for r in numbers.select("n", second.alias("a"), third.alias("b")).collect():
+        assert [r.a, r.b - r.a, r.n - r.b] == naive(r.n)
+    assert naive(20) == [14, 3, 3] and naive(3) == [1, 1, 1]
+    few = spark.createDataFrame([("a",), ("b",)], "group string")
+    with pytest.raises(Exception, match="three"):
+        splitting.assign_groups(few).collect()
 
 
 def test_split_is_by_group_and_reproducible(spark):
@@ -202,7 +210,9 @@ def test_round_robin_sample_equals_sequential_rule(spark):
     for bad in (100, 501):
         with pytest.raises(ValueError):
             splitting.round_robin_sample(df, bad)
-    short = splitting.round_robin_sample(df, 400, 7)
+    with pytest.raises(Exception, match="unique training images"):
+        splitting.round_robin_sample(df, 400, 7).collect()
+    short = splitting.round_robin_sample(df, 400, 7, allow_short=True)
     with pytest.raises(Exception, match="need 400 unique"):
         splitting.calibration_provenance(short, 400, 7, "f").collect()
 

@@ -347,7 +347,7 @@ def test_zone_center_share_and_bounds(mask_table):
     share = zones.zone_shares(zoned).first().center_share
     assert abs(share - 0.70) < 0.03
     with pytest.raises(ValueError):
-        zones.Zones(0.2, 0.7, 0.2)
+        zones.zone_runs(table, dims, 1.2)
 
 
 def test_persistent_split_and_connectors(mask_table):

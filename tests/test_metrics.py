@@ -244,3 +244,27 @@ def test_camera_keeps_newest_and_counts_drops(spark):
 def test_accounting_rules(spark, row, fault):
     names = "source_mode string, frames_read int, frames_processed int, frames_written int, expected int, interrupted boolean, has_output boolean, output_frames int, source_fps double, output_fps double"
     assert spark.createDataFrame([row], names).select(telemetry.accounting_fault()).first()[0] == fault
+
+
+def test_sizes_and_frames_have_to_agree(spark):
+    kind = "group string, frame_idx bigint, expected array<double>, actual array<double>"
+    fine = ("g", 0, [0.1, 0.2], [0.1, 0.2])
+    for bad in ([0.1, 0.2], [0.1]), ([], []), ([0.1], None):
+        with pytest.raises(Exception, match="differ in shape"):
+            scoring.backend_parity(spark.createDataFrame([fine, ("g", 1, *bad)], kind)).collect()
+    with pytest.raises(Exception, match="no outputs"):
+        scoring.backend_parity(spark.createDataFrame([], kind)).collect()
+    loss = spark.createDataFrame([([0.1, 0.2], [1.0, 0.0]), ([0.1, 0.2], [1.0])], "logit array<double>, target array<double>")
+    with pytest.raises(Exception, match="differ in shape"):
+        scoring.segmentation_loss(loss).collect()
+    dims = spark.createDataFrame([("g", 0, 4, 4)], DIMS)
+    inside = spark.createDataFrame([("g", 0, 1, 0, 2)], RUNS)
+    for wrong, message in ((("g", 0, 7, 0, 9), "outside"), (("g", 0, 1, 0, 5), "outside"), (("g", 3, 1, 0, 2), "without dims")):
+        table = spark.createDataFrame([wrong], RUNS)
+        for args in ((table, inside), (inside, table)):
+            with pytest.raises(Exception, match=message):
+                scoring.frame_facts(*args, dims).collect()
+    one = scoring.frame_facts(inside, inside, dims)
+    two = scoring.frame_facts(inside, inside, dims.union(spark.createDataFrame([("g", 1, 4, 4)], DIMS)))
+    with pytest.raises(Exception, match="only one side"):
+        scoring.compare_runs(one, two).collect()

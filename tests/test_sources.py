@@ -6,6 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from lanespan.functions import exprs
 from lanespan.operators import audit, splitting
 from lanespan.sources import files, sinks
 
@@ -53,9 +54,10 @@ def test_manifest_scan(spark, tmp_path):
         path.write_text(json.dumps(bad))
         with pytest.raises(ValueError, match="version 1"):
             files.scan_manifest(spark, str(path))
-    path.write_text(json.dumps(document(splits={**document()["splits"], "test": [{"image": "x", "mask": "y", "group": " "}]})))
-    with pytest.raises(Exception, match="non-empty group"):
-        files.scan_manifest(spark, str(path)).collect()
+    for bad in ({"image": "x", "mask": "y", "group": " "}, {"image": " ", "mask": "y", "group": "g"}, {"image": "x", "mask": "", "group": "g"}):
+        path.write_text(json.dumps(document(splits={**document()["splits"], "test": [bad]})))
+        with pytest.raises(Exception, match="non-empty group"):
+            files.scan_manifest(spark, str(path)).collect()
 
 
 def test_manifest_is_published_only_after_its_audit(spark, tmp_path):
@@ -70,6 +72,11 @@ def test_manifest_is_published_only_after_its_audit(spark, tmp_path):
     assert sinks.write_manifest(split, out, require_negatives=False).count() == 24
     with pytest.raises(FileExistsError):
         sinks.write_manifest(split, out, require_negatives=False)
+    back = files.scan_manifest(spark, out).collect()
+    assert sorted((r.split, r.group, r.image, r.mask) for r in back) == sorted((r.split, r.group, r.image, r.mask) for r in split.collect())
+    for name in exprs.SPLITS:
+        places = sorted(r.pos for r in back if r.split == name)
+        assert places == list(range(len(places)))
 
 
 def test_report_refuses_nan(spark, tmp_path):
@@ -78,6 +85,12 @@ def test_report_refuses_nan(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "ok")).first().a == 1.0
     with pytest.raises(Exception, match="not finite"):
         sinks.write_report(df.withColumn("b", F.lit(float("nan"))), str(tmp_path / "bad"))
+    deep = F.array(F.struct(F.create_map(F.lit("k"), F.lit(float("inf"))).alias("m")))
+    with pytest.raises(Exception, match="not finite"):
+        sinks.write_report(df.withColumn("b", deep), str(tmp_path / "deep"))
+    fine = F.array(F.struct(F.create_map(F.lit("k"), F.lit(2.0)).alias("m")))
+    sinks.write_report(df.withColumn("b", fine), str(tmp_path / "fine"))
+    assert spark.read.json(str(tmp_path / "fine")).first().b[0].m.k == 2.0
     with pytest.raises(Exception, match="(?i)exist"):
         sinks.write_report(df, str(tmp_path / "ok"))
 

@@ -26,7 +26,13 @@ def test_hysteresis_keeps_the_seeded_block(spark):
     df = spark.createDataFrame([("g", 0, 20, 30, p.ravel().tolist())], DIMS + ", p array<double>")
     kept = hysteresis(df).agg(F.sum(F.col("x1") - F.col("x0"))).first()[0]
     assert kept == 60
-    assert pixels_to_runs(df.withColumn("p", F.array().cast("array<double>")), 0.5).isEmpty()
+    nan = float("nan")
+    for bad in ([], [nan] * 600, [0.1] * 599, [1.5] * 600):
+        wrong = df.withColumn("p", F.array(*[F.lit(v) for v in bad]).cast("array<double>"))
+        with pytest.raises(Exception, match="bad probability map"):
+            pixels_to_runs(wrong, 0.5).collect()
+        with pytest.raises(Exception, match="bad probability map"):
+            hysteresis(wrong).collect()
     with pytest.raises(ValueError):
         hysteresis(df, 0.7, 0.6)
 
@@ -63,7 +69,41 @@ def test_smoothing_is_independent_of_blocks(spark, alpha):
     rows = temporal.smooth(df, alpha, block=16).orderBy("frame_idx").collect()
     assert [r.frame_idx for r in rows] == list(range(len(maps)))
     assert [r.was_reset for r in rows] == reset.tolist()
-    np.testing.assert_allclose([r.p for r in rows], expected, rtol=0, atol=1e-14)
+    np.testing.assert_allclose([r.p for r in rows], expected, rtol=1e-12)
+
+
+@pytest.mark.parametrize("alpha", [0.01, 0.7, 1.0])
+def test_smoothing_keeps_all_history(spark, alpha):
+    n = 1200
+    maps = np.zeros((n, 2))
+    maps[0], maps[5, 1] = 1.0, 0.5
+    thumbs = np.zeros((n, 2), np.float32)
+    rows = [(g, i + first, h, 10, 1, len(p), *rest) for g, first in (("g", 0), ("late", 100)) for _, i, h, _, _, _, *rest in frame_rows(thumbs, maps, np.zeros(n, bool)) for p in [rest[1]]]
+    found = temporal.smooth(spark.createDataFrame(rows, FRAMES), alpha).orderBy("frame_idx").collect()
+    expected, last = [], maps[0]
+    for i, p in enumerate(maps):
+        last = p if i == 0 else alpha * p + (1 - alpha) * last
+        expected.append(last)
+    for group in ("g", "late"):
+        own = [r for r in found if r.group == group]
+        assert [r.was_reset for r in own] == [True] + [False] * (n - 1)
+        got = np.array([r.p for r in own])
+        exact = np.array(expected)
+        kept = exact > 1e-290
+        np.testing.assert_allclose(got[kept], exact[kept], rtol=1e-9)
+        assert (got[~kept] <= 1e-289).all()
+
+
+def test_gaps_and_bad_maps_are_refused(spark):
+    thumbs, maps, resized = sequence(40)
+    good = spark.createDataFrame(frame_rows(thumbs, maps, resized), FRAMES)
+    gap = good.filter("frame_idx <> 7")
+    bad = good.withColumn("p", F.when(F.col("frame_idx") == 9, F.array(F.lit(float("nan")))).otherwise(F.col("p")))
+    for run in (temporal.smooth, temporal.vote):
+        with pytest.raises(Exception, match="gap before 8"):
+            run(gap).collect()
+        with pytest.raises(Exception, match="bad probability map"):
+            run(bad).collect()
 
 
 def test_votes_and_scenes_are_independent_of_blocks(spark):
