@@ -9,8 +9,8 @@ from lanespan.plans import views as v
 from lanespan.plans.registry import query
 from lanespan.session import materialize, shared_folder
 from lanespan.sources.frames import stream_frames
-from lanespan.streaming.intake import camera_intake, lossless_intake, run_to_end
-from lanespan.streaming.temporal import filter_stream
+from lanespan.streaming.intake import camera_intake, camera_totals, lossless_intake, run_to_end
+from lanespan.streaming.temporal import filter_stream, span_intake
 from lanespan.streaming.tracks import track_stream
 
 SCENES = """changed AS (SELECT *, coalesce(abs(thumb - lag(thumb) OVER (PARTITION BY "group" ORDER BY frame_idx)) > 0.25, true) AS was_reset
@@ -170,10 +170,23 @@ ARRIVED = """arrived AS (SELECT 'trip' || user_id AS "group", event_id AS frame_
 stepped AS (SELECT *, coalesce(abs(thumb - lag(thumb) OVER (PARTITION BY "group" ORDER BY n)) > 0.25, true) AS was_reset FROM arrived)"""
 
 
+CHUNKS = 4
+
+
 def _event_stream(spark, sf):
-    schema = v.table(spark, sf, "events").schema
-    # A pattern matches the table whether it is one file or a folder of files.
-    return stream_frames(spark, schema, f"{sf}/event[s].parquet")
+    """Events in the order of arrival, whatever files the table has.
+
+    Later events are written after earlier ones, and a source's part of a chunk is one file; a stream reads older files first.
+    """
+    events = v.table(spark, sf, "events")
+    folder = shared_folder(spark, "arrivals")
+    low, high = events.agg(F.min("event_id"), F.max("event_id")).first()
+    width = ((high or 0) - (low or 0)) // CHUNKS + 1
+    for k in range(CHUNKS):
+        begin = (low or 0) + k * width
+        chunk = events.filter(F.col("event_id").between(begin, begin + width - 1))
+        chunk.repartition("user_id").write.mode("append").parquet(folder)
+    return stream_frames(spark, events.schema, folder, files_per_trigger=64)
 
 
 def _live_frames(spark, sf):
@@ -227,6 +240,21 @@ def vote_stream(spark, sf):
     return _one_pixel(_through_stream(spark, voted, "vote"))
 
 
+@query("ema_spans_stream", v.sql(v.FRAMES_SEQ, SCENES, EMA, body=kept("ema WHERE s >= 0.65"), recursive=True))
+def ema_spans_stream(spark, sf):
+    """Road spans out of the stream, equal to those of the batch."""
+    folder = shared_folder(spark, "frames")
+    frames = materialize(v.frames_seq(spark, sf).withColumn("run_id", F.lit("live")))
+    last = frames.agg(F.max("frame_idx")).first()[0] or 0
+    width = last // CHUNKS + 1
+    for begin in range(0, last + 1, width):
+        chunk = frames.filter(F.col("frame_idx").between(begin, begin + width - 1))
+        chunk.repartition("group").write.mode("append").parquet(f"{folder}/in")
+    live = stream_frames(spark, frames.schema, f"{folder}/in", files_per_trigger=64)
+    run_to_end(span_intake(filter_stream(live), f"{folder}/out", f"{folder}/checkpoint"))
+    return spark.read.parquet(f"{folder}/out").drop("batch")
+
+
 @query(
     "lossless_stream",
     v.sql(ARRIVED, body='SELECT "group", frame_idx, round(p, 6) AS p FROM arrived'),
@@ -249,10 +277,7 @@ def camera_stream(spark, sf):
     kept_path, ledger_path = f"{folder}/kept", f"{folder}/ledger"
     frames = _live_frames(spark, sf).select("group", "frame_idx")
     run_to_end(camera_intake(frames, kept_path, ledger_path, f"{folder}/checkpoint"))
-    newest = spark.read.parquet(kept_path).groupBy("group").agg(F.max("frame_idx").alias("newest"))
-    counts = ("frames_read", "frames_processed", "frames_dropped")
-    ledger = spark.read.parquet(ledger_path).groupBy("group").agg(*[F.sum(c).alias(c) for c in counts])
-    return ledger.join(newest, "group")
+    return camera_totals(spark.read.parquet(kept_path), spark.read.parquet(ledger_path))
 
 
 @query("track_stream")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from lanespan.operators.telemetry import dropped_frames, latest_frames
@@ -25,6 +26,17 @@ def camera_intake(frames: DataFrame, kept_path: str, ledger_path: str, checkpoin
     return frames.writeStream.foreachBatch(admit).option("checkpointLocation", checkpoint)
 
 
+def camera_totals(kept: DataFrame, ledger: DataFrame, queue_size: int = 2) -> DataFrame:
+    """Frames read, left in the queue and dropped per source when nothing was taken from it meanwhile, and the newest frame.
+
+    The newest of all are among the newest of each micro-batch, so the result does not depend on their borders.
+    """
+    newest = latest_frames(kept, queue_size).groupBy("group").agg(F.max("frame_idx").alias("newest"), F.count("*").alias("frames_processed"))
+    read = ledger.groupBy("group").agg(F.sum("frames_read").alias("frames_read"))
+    joined = read.join(newest, "group")
+    return joined.withColumn("frames_dropped", F.col("frames_read") - F.col("frames_processed"))
+
+
 def lossless_intake(frames: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
     """Every frame of a file source exactly once; the index column keeps the order."""
     return (

@@ -1,54 +1,56 @@
-"""Temporal rule on a live stream: state per source and run, one map and one thumbnail each."""
+"""Temporal rule on a live stream: state per source and run, one map and one thumbnail each.
+
+A micro-batch of a source is a stack of maps. Its scenes are found at once from the stacked thumbnails; inside a scene smoothing
+is one pass down the stack, and votes are differences of running counts.
+"""
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from lanespan.operators.components import hysteresis
+from lanespan.operators.runs import checked_map, pixels_to_runs
+
 OUTPUT = "group string, run_id string, frame_idx bigint, p_height int, p_width int, was_reset boolean, p array<double>"
-STATE = "shape array<int>, thumb binary, last binary, votes array<binary>"
-
-
-class FrameFilter:
-    """State of one source between frames."""
-
-    def __init__(self, mode: str, alpha: float, threshold: float, window: int, confirmed: int, scene_threshold: float):
-        if mode not in ("ema", "legacy", "none"):
-            raise ValueError("mode must be ema, legacy or none")
-        self.mode, self.alpha, self.threshold = mode, alpha, threshold
-        self.confirmed, self.scene_threshold = confirmed, scene_threshold
-        self.shape, self.thumb, self.last = None, None, None
-        self.votes: deque[bytes] = deque(maxlen=window)
-
-    def load(self, shape, thumb, last, votes) -> None:
-        self.shape = tuple(shape)
-        self.thumb, self.last = np.frombuffer(thumb), np.frombuffer(last) if last else None
-        self.votes.extend(votes)
-
-    def dump(self) -> tuple:
-        last = b"" if self.last is None else self.last.tobytes()
-        return list(self.shape), self.thumb.tobytes(), last, list(self.votes)
-
-    def step(self, shape: tuple, thumb: np.ndarray, p: np.ndarray) -> tuple[bool, np.ndarray]:
-        reset = self.shape != shape or np.abs(thumb - self.thumb).mean() > self.scene_threshold
-        if reset:
-            self.last = None
-            self.votes.clear()
-        self.shape, self.thumb = shape, thumb
-        if self.mode == "legacy":
-            on = p >= self.threshold
-            self.votes.append(np.packbits(on).tobytes())
-            seen = sum(np.unpackbits(np.frombuffer(v, np.uint8), count=len(p)).astype(int) for v in self.votes)
-            return reset, (on & (seen >= self.confirmed)).astype(float)
-        if self.mode == "ema" and self.last is not None:
-            p = self.alpha * p + (1 - self.alpha) * self.last
-        self.last = p
-        return reset, p
+STATE = "frame_idx bigint, shape array<int>, thumb binary, maps binary, rows int"
+MODES = ("ema", "legacy", "none")
+
+
+def _scene_starts(shapes: np.ndarray, thumbs: list[np.ndarray], before: tuple | None, limit: float) -> np.ndarray:
+    """Which frames begin a scene; ``before`` has shape and thumbnail of the frame ahead of the first."""
+    head_shape, head_thumb = before if before else (np.full(shapes.shape[1], -1), thumbs[0])
+    shapes = np.vstack([head_shape, shapes])
+    starts = (shapes[1:] != shapes[:-1]).any(axis=1)
+    previous = [head_thumb, *thumbs[:-1]]
+    same = np.flatnonzero(~starts)
+    if len(same):
+        moved = np.stack([thumbs[i] for i in same]) - np.stack([previous[i] for i in same])
+        starts[same] = np.abs(moved).mean(axis=1) > limit
+    return starts
+
+
+def _smoothed(maps: np.ndarray, carried: np.ndarray, alpha: float) -> np.ndarray:
+    """Running mixture down a scene; ``carried`` has the last mixture before it, or no row."""
+    stack = np.vstack([carried, maps])
+    fresh = np.where(np.arange(len(stack)) == 0, 1.0, alpha)[:, None] * stack
+    for i in range(1, len(stack)):
+        fresh[i] += (1 - alpha) * fresh[i - 1]
+    return fresh[len(carried) :]
+
+
+def _voted(on: np.ndarray, carried: np.ndarray, window: int, confirmed: int) -> np.ndarray:
+    """Pixels on now and often enough in the window; ``carried`` has the rows of the scene before."""
+    stack = np.vstack([carried, on])
+    total = np.vstack([np.zeros((1, stack.shape[1])), np.cumsum(stack, axis=0)])
+    last = np.arange(len(carried), len(stack)) + 1
+    recent = total[last] - total[np.maximum(0, last - window)]
+    return on * (recent >= confirmed)
 
 
 def filter_stream(
@@ -59,29 +61,86 @@ def filter_stream(
     window: int = 5,
     confirmed: int = 4,
     scene_threshold: float = 0.25,
+    idle: str | None = None,
 ) -> DataFrame:
     """Smooth or vote frames of a stream in frame order; a new ``run_id`` starts clean.
 
-    Input columns: ``group, run_id, frame_idx, height, width, p_height, p_width, thumb, p``.
-    The hysteresis after it is a map-side and frame-local batch step (``foreachBatch``).
+    Input columns: ``group, run_id, frame_idx, height, width, p_height, p_width, thumb, p``. Frames of a source have to arrive
+    in order, by micro-batches at least; a step back is an error, as is a bad map. With ``idle`` (such as "1 hour") the state of a run without
+    frames for so long is dropped; such a query never ends by itself, as it has to keep looking at the clock.
     """
-    options = (mode, alpha, threshold, window, confirmed, scene_threshold)
+    if mode not in MODES:
+        raise ValueError("mode must be ema, legacy or none")
+    if not 0 < alpha <= 1 or not 0 < scene_threshold <= 1 or not 0 <= threshold <= 1:
+        raise ValueError("alpha, scene threshold and threshold are shares")
+    if not 1 <= confirmed <= window:
+        raise ValueError("votes needed must lie between one and the window")
+    wait = int(pd.Timedelta(idle).total_seconds() * 1000) if idle else None
+    names = ["height", "width", "p_height", "p_width"]
+
+    def scene(stack: np.ndarray, carried: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Results of a scene's frames, and the rows to carry on."""
+        if mode == "none":
+            return stack, stack[:0]
+        if mode == "ema":
+            out = _smoothed(stack, carried, alpha)
+            return out, out[-1:]
+        on = (stack >= threshold).astype(np.float64)
+        return _voted(on, carried, window, confirmed), np.vstack([carried, on])[-window:]
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rule = FrameFilter(*options)
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(batches)).sort_values("frame_idx", ignore_index=True)
+        thumbs = [np.asarray(t, float) for t in rows["thumb"]]
+        shapes = np.c_[rows[names].to_numpy(), [len(t) for t in thumbs]]
+        before, carried = None, None
         if state.exists:
-            rule.load(*state.get)
-        rows = pd.concat(list(batches)).sort_values("frame_idx")
-        out = []
-        for r in rows.itertuples(index=False):
-            shape = (r.height, r.width, r.p_height, r.p_width)
-            reset, p = rule.step(shape, np.asarray(r.thumb, float), np.asarray(r.p, float))
-            out.append((key[0], key[1], r.frame_idx, r.p_height, r.p_width, bool(reset), p))
-        state.update(rule.dump())
+            last, shape, thumb, maps, count = state.get
+            if rows["frame_idx"].iloc[0] <= last:
+                raise ValueError(f"frame {rows['frame_idx'].iloc[0]} of {key[0]} came after frame {last}")
+            before = np.array(shape), np.frombuffer(thumb)
+            carried = np.frombuffer(maps).reshape(count, -1) if count else None
+        starts = _scene_starts(shapes, thumbs, before, scene_threshold)
+        results: list[np.ndarray] = []
+        edges = np.unique(np.r_[0, np.flatnonzero(starts), len(rows)])
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            stack = np.stack([np.asarray(p, float) for p in rows["p"].iloc[a:b]])
+            if starts[a] or carried is None:
+                carried = stack[:0]
+            out, carried = scene(stack, carried)
+            results += list(out)
+        state.update((int(rows["frame_idx"].iloc[-1]), shapes[-1].tolist(), thumbs[-1].tobytes(), carried.tobytes(), len(carried)))
+        if wait:
+            state.setTimeoutDuration(wait)
         yield pd.DataFrame(
-            out, columns=["group", "run_id", "frame_idx", "p_height", "p_width", "was_reset", "p"]
+            {
+                "group": key[0],
+                "run_id": key[1],
+                "frame_idx": rows["frame_idx"],
+                "p_height": rows["p_height"],
+                "p_width": rows["p_width"],
+                "was_reset": starts,
+                "p": results,
+            }
         )
 
-    return frames.groupBy("group", "run_id").applyInPandasWithState(
-        update, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout
-    )
+    checked = frames.withColumn("p", checked_map("p", "p_height", "p_width"))
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if wait else GroupStateTimeout.NoTimeout
+    return checked.groupBy("group", "run_id").applyInPandasWithState(update, OUTPUT, STATE, "append", timeout)
+
+
+def road_spans(filtered: DataFrame, mode: str = "ema", low: float = 0.40, high: float = 0.65) -> DataFrame:
+    """Road spans of frames that passed :func:`filter_stream`; works on a stream's micro-batch (``foreachBatch``) and on a table."""
+    sized = filtered.select("group", "frame_idx", F.col("p_height").alias("height"), F.col("p_width").alias("width"), "p")
+    return pixels_to_runs(sized, 0.5).drop("peak") if mode == "legacy" else hysteresis(sized, low, high)
+
+
+def span_intake(filtered: DataFrame, path: str, checkpoint: str, mode: str = "ema", low: float = 0.40, high: float = 0.65):
+    """Writer that turns each micro-batch of filtered frames into road spans; a repeated batch replaces its own files."""
+
+    def publish(batch: DataFrame, batch_id: int) -> None:
+        road_spans(batch, mode, low, high).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return filtered.writeStream.foreachBatch(publish).option("checkpointLocation", checkpoint)

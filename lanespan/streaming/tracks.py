@@ -9,36 +9,42 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from lanespan.operators.tracks import _FIELDS, _TRACK_FIELDS, TRACK, GeometryConfig, MainRoute, Tracker
+from lanespan.operators.tracks import _FIELDS, _TRACK_FIELDS, TRACK, GeometryConfig, Route, Tracker
 
 OUTPUT = f"group string, run_id string, frame_idx bigint, main_id bigint, {TRACK}"
-STATE = "tracks string, next_id bigint, main string, shape array<int>"
+STATE = "tracks string, next_id bigint, route string, shape array<int>"
 
 
-def track_stream(observations: DataFrame, config: GeometryConfig = GeometryConfig()) -> DataFrame:
-    """Track rows per frame from a stream of ``group, run_id, frame_idx, height, width, reset, dets``."""
+def track_stream(observations: DataFrame, config: GeometryConfig = GeometryConfig(), idle_ms: int | None = None) -> DataFrame:
+    """Track rows per frame from a stream of ``group, run_id, frame_idx, height, width, reset, dets``.
+
+    With ``idle_ms`` the state of a run without frames for so long is dropped; such a query never ends by itself.
+    """
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        tracker, route, shape = Tracker(config), MainRoute(), None
+        if state.hasTimedOut:
+            state.remove()
+            return
+        tracker, route, shape = Tracker(config), Route(), None
         if state.exists:
-            tracks, next_id, main, shape = state.get
-            main = json.loads(main)
+            tracks, next_id, followed, shape = state.get
             tracker = Tracker(config, json.loads(tracks), next_id)
-            route, shape = MainRoute(main["id"], main["heading"] and tuple(main["heading"])), tuple(shape)
+            route, shape = Route(**json.loads(followed)), tuple(shape)
         out = []
         for r in pd.concat(list(batches)).sort_values("frame_idx").itertuples(index=False):
             if r.reset or shape != (r.height, r.width):
-                tracker, route, shape = Tracker(config), MainRoute(), (int(r.height), int(r.width))
+                tracker, route, shape = Tracker(config), Route(), (int(r.height), int(r.width))
             tracks = tracker.step([{n: _plain(d[n]) for n in _FIELDS} for d in r.dets], r.height, r.width)
-            main = route.choose(tracks)
+            main = route.follow(tracks)
             out += [(*key, r.frame_idx, main, *(t[n] for n in _TRACK_FIELDS)) for t in tracks]
-        main = json.dumps({"id": route.main_id, "heading": route.heading})
-        state.update((json.dumps(tracker.tracks), tracker.next_id, main, list(shape)))
+        state.update((json.dumps(tracker.tracks), tracker.next_id, json.dumps(vars(route)), list(shape)))
+        if idle_ms:
+            state.setTimeoutDuration(idle_ms)
         frame = pd.DataFrame(out, columns=["group", "run_id", "frame_idx", "main_id", *_TRACK_FIELDS])
         yield frame.astype({"main_id": "Int64"})
 
     return observations.groupBy("group", "run_id").applyInPandasWithState(
-        update, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout
+        update, OUTPUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
     )
 
 

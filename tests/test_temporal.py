@@ -188,6 +188,18 @@ def test_a_new_run_of_a_source_starts_clean(spark, feed):
     assert [round(r.p[0], 6) for r in out] == [0.9, 0.9, 0.2, 0.2]
 
 
+def test_a_step_back_is_refused(spark, feed):
+    build, run, _ = feed
+    rows = [("g", i, 4, 4, 1, 1, [0.5], [0.9]) for i in range(4)]
+    df = spark.createDataFrame(rows, FRAMES).withColumn("run_id", F.lit("a"))
+    df.filter("frame_idx > 1").coalesce(1).write.parquet(str(feed[2] / "in"))
+    time.sleep(1.1)
+    with pytest.raises(Exception, match="came after"):
+        run(filter_stream(build(df, [0, 2])))
+    with pytest.raises(ValueError):
+        filter_stream(df, alpha=0)
+
+
 def test_camera_intake_accounts_for_every_frame(spark, feed):
     build, _, folder = feed
     df = spark.createDataFrame([("g", i) for i in range(30)], "group string, frame_idx bigint")
@@ -264,9 +276,9 @@ def sequential(frames, resets):
     tracker, route, out = None, None, []
     for i, dets in enumerate(frames):
         if i == 0 or i in resets:
-            tracker, route = tracks.Tracker(tracks.GeometryConfig()), tracks.MainRoute()
+            tracker, route = tracks.Tracker(tracks.GeometryConfig()), tracks.Route()
         rows = tracker.step([dict(zip(tracks._FIELDS, d)) for d in dets], 115, 128)
-        main = route.choose(rows)
+        main = route.follow(rows)
         out += [(i, t["track_id"], t["state"], t["confirmation_count"], t["missed_frames"], t["det_idx"], main) for t in rows]
     return sorted(out, key=repr)
 
