@@ -18,10 +18,8 @@ from pyspark.sql import types as T
 from lanespan.functions.exprs import percent_of
 from lanespan.operators.runs import (
     FRAME,
-    close_runs,
     co_locate,
     complement_runs,
-    gap_kernel,
     legacy_cleanup,
     pixels_to_runs,
     row_keys,
@@ -176,9 +174,13 @@ def _keep_best(spans: DataFrame, allowed: Column, score: Column) -> DataFrame:
 
 
 def primary_component(
-    labelled: DataFrame, dims: DataFrame, min_area: int, bottom_fraction: float = 0.42
+    labelled: DataFrame, dims: DataFrame, min_area: int | None = None, bottom_fraction: float = 0.42
 ) -> DataFrame:
-    """Scanline policy: large, low components first (``area + 3 * row below the last``)."""
+    """Scanline policy: large, low components first (``area + 3 * row below the last``).
+
+    Without ``min_area`` the least area follows each frame's size.
+    """
+    least = default_min_area("_h", "_w") if min_area is None else F.lit(min_area)
     whole = Window.partitionBy(*FRAME, "component")
     spans = co_locate(with_dims(labelled, dims)).withColumns(
         {
@@ -186,12 +188,12 @@ def primary_component(
             "below": F.max("y").over(whole) + 1,
         }
     )
-    allowed = (F.col("area") >= min_area) & (F.col("below") >= percent_of("_h", 1 - bottom_fraction))
+    allowed = (F.col("area") >= least) & (F.col("below") >= percent_of("_h", 1 - bottom_fraction))
     return _keep_best(spans, allowed, F.col("area") + 3 * F.col("below"))
 
 
-def default_min_area(height: int, width: int) -> int:
-    return max(8, height * width // 700)
+def default_min_area(height: str = "height", width: str = "width") -> Column:
+    return F.greatest(F.lit(8), F.floor(F.col(height).cast("long") * F.col(width) / 700))
 
 
 def origin_component(
@@ -209,14 +211,14 @@ def origin_component(
     return _keep_best(spans, c("touches_lower") & (c("area") >= least), score)
 
 
-def primary_road(runs: DataFrame, dims: DataFrame, min_area: int) -> DataFrame:
+def primary_road(runs: DataFrame, dims: DataFrame, min_area: int | None = None) -> DataFrame:
     """Legacy road mask: morphological cleanup, then the primary component."""
     return primary_component(label_components(legacy_cleanup(runs, dims)), dims, min_area)
 
 
-def clean_road(runs: DataFrame, dims: DataFrame, height: int, width: int) -> DataFrame:
+def clean_road(runs: DataFrame, dims: DataFrame) -> DataFrame:
     """Centerline road mask: close gaps, fill holes, keep the component at the origin."""
-    closed = close_runs(runs, dims, gap_kernel(height, width))
+    closed = close_gaps(runs, dims)
     return origin_component(label_components(fill_small_holes(closed, dims)), dims)
 
 

@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lanespan.functions.exprs import probability_fault
+from lanespan.functions.exprs import half_even, probability_fault
 
 FRAME = ("group", "frame_idx")
 
@@ -165,19 +165,22 @@ def subtract_runs(a: DataFrame, b: DataFrame) -> DataFrame:
 # row, all with the frame size. The border makes rows without road visible, so background
 # spans follow from a window alone, and the canvas never leaves its partition.
 
+# Height, width and reach of a frame, on every row of its canvas.
+SIZES = ("_h", "_w", "_r")
 
-def to_canvas(runs: DataFrame, dims: DataFrame, frame: Sequence[str] = FRAME) -> DataFrame:
-    """Merged spans and row borders of every frame in ``dims``."""
+
+def to_canvas(runs: DataFrame, dims: DataFrame, frame: Sequence[str] = FRAME, reach: Column | int = 0) -> DataFrame:
+    """Merged spans and row borders of every frame in ``dims``; ``reach`` is a length of each frame that kernels may use."""
     keys = row_keys(frame)
-    size = [F.col("height").cast("int").alias("_h"), F.col("width").cast("int").alias("_w")]
+    size = [F.col("height").cast("int").alias("_h"), F.col("width").cast("int").alias("_w"), F.lit(reach).cast("int").alias("_r")]
     borders = dims.select(*frame, F.explode(F.sequence(F.lit(0), F.col("height") - 1)).alias("y"), *size)
     unknown = F.lit(None).cast("int")
-    spans = runs.select(*keys, "x0", "x1", unknown.alias("_h"), unknown.alias("_w"))
+    spans = runs.select(*keys, "x0", "x1", *[unknown.alias(n) for n in SIZES])
     rows = spans.unionByName(
-        borders.select(*keys, F.col("_w").alias("x0"), F.col("_w").alias("x1"), "_h", "_w")
+        borders.select(*keys, F.col("_w").alias("x0"), F.col("_w").alias("x1"), *SIZES)
     )
     whole = Window.partitionBy(*frame)
-    sized = co_locate(rows, frame, heavy=True).withColumns({n: F.max(n).over(whole) for n in ("_h", "_w")})
+    sized = co_locate(rows, frame, heavy=True).withColumns({n: F.max(n).over(whole) for n in SIZES})
     return sized.filter(F.col("_h").isNotNull())
 
 
@@ -190,7 +193,7 @@ def _inside(canvas: DataFrame) -> DataFrame:
 
 
 def from_canvas(canvas: DataFrame) -> DataFrame:
-    return _inside(canvas).filter(~_is_border()).drop("_h", "_w")
+    return _inside(canvas).filter(~_is_border()).drop(*SIZES)
 
 
 def _flip(canvas: DataFrame, frame: Sequence[str]) -> DataFrame:
@@ -205,22 +208,27 @@ def _flip(canvas: DataFrame, frame: Sequence[str]) -> DataFrame:
         .when(_is_border(), F.array(border))
         .when(open_gap, F.array(gap))
     )
-    flipped = _inside(canvas).withColumn("_gap", before).select(*keys, "_h", "_w", F.explode(parts).alias("_p"))
-    return flipped.select(*keys, "_p.x0", "_p.x1", "_h", "_w")
+    flipped = _inside(canvas).withColumn("_gap", before).select(*keys, *SIZES, F.explode(parts).alias("_p"))
+    return flipped.select(*keys, "_p.x0", "_p.x1", *SIZES)
+
 
+def _grow(canvas: DataFrame, kernel: Sequence[tuple[int | Column, int | Column]], frame: Sequence[str]) -> DataFrame:
+    """One dilation pass. Rows may leave the frame; a later pass can bring them back.
 
-def _grow(canvas: DataFrame, kernel: Sequence[tuple[int, int]], frame: Sequence[str]) -> DataFrame:
-    """One dilation pass. Rows may leave the frame; a later pass can bring them back."""
-    keys = [*row_keys(frame), "_h", "_w"]
-    step = lambda dy, hw: F.struct(F.lit(dy).alias("dy"), F.lit(hw).alias("hw"))
-    steps = F.when(_is_border(), F.array(step(0, 0))).otherwise(F.array(*[step(*k) for k in kernel]))
+    Kernel rows may be columns of the frame's sizes; those with a null half width are not there.
+    """
+    keys = [*row_keys(frame), *SIZES]
+    step = lambda dy, hw: F.struct(F.lit(dy).cast("int").alias("dy"), F.lit(hw).cast("int").alias("hw"))
+    rows = F.array(*[step(*k) for k in kernel])
+    if any(isinstance(hw, Column) for _, hw in kernel):
+        rows = F.filter(rows, lambda k: k["hw"].isNotNull())
+    steps = F.when(_is_border(), F.array(step(0, 0))).otherwise(rows)
     wide = canvas.withColumn("_k", F.explode(steps)).select(
         *frame,
         (F.col("y") + F.col("_k.dy")).cast("int").alias("y"),
         F.greatest(F.lit(0), F.col("x0") - F.col("_k.hw")).cast("int").alias("x0"),
         F.least(F.col("_w"), F.col("x1") + F.col("_k.hw")).cast("int").alias("x1"),
-        "_h",
-        "_w",
+        *SIZES,
     )
     starts = wide.groupBy(*keys, "x0").agg(F.max("x1").alias("x1"))
     return _joined(starts, keys, separate=_is_border())
@@ -238,11 +246,15 @@ def _eroded(canvas: DataFrame, kernel, iterations: int, frame: Sequence[str]) ->
 
 
 def morphology(
-    runs: DataFrame, dims: DataFrame, steps: Sequence[tuple[str, Sequence[tuple[int, int]], int]], frame: Sequence[str] = FRAME
+    runs: DataFrame,
+    dims: DataFrame,
+    steps: Sequence[tuple[str, Sequence[tuple[int, int]], int]],
+    frame: Sequence[str] = FRAME,
+    reach: Column | int = 0,
 ) -> DataFrame:
     """Apply ``(dilate | erode, symmetric kernel, iterations)`` steps to merged spans."""
     apply = {"dilate": _dilated, "erode": _eroded}
-    canvas = to_canvas(runs, dims, frame)
+    canvas = to_canvas(runs, dims, frame, reach)
     for name, kernel, iterations in steps:
         canvas = apply[name](canvas, kernel, iterations, frame)
     return from_canvas(canvas)
@@ -291,10 +303,24 @@ def smooth_runs(runs: DataFrame, dims: DataFrame) -> DataFrame:
     return morphology(runs, dims, steps)
 
 
-def gap_kernel(height: int, width: int, close_gap: float = 0.025) -> list[tuple[int, int]]:
-    """Odd ellipse whose diameter follows the shorter frame side."""
-    diameter = max(1, round(min(height, width) * close_gap))
-    return ellipse_kernel(diameter + 1 - diameter % 2)
+def _largest(dims: DataFrame, length: Column | int) -> int:
+    """Largest of a length over the frames; it sets how many passes a plan has."""
+    return length if isinstance(length, int) else int(dims.agg(F.max(length)).first()[0] or 0)
+
+
+def gap_radius(close_gap: float = 0.025) -> Column:
+    """Radius of the odd ellipse that closes gaps; it follows the shorter side of each frame."""
+    diameter = F.greatest(F.lit(1), half_even(F.least("height", "width") * F.lit(close_gap)))
+    return F.floor(diameter / 2).cast("int")
+
+
+def close_gaps(runs: DataFrame, dims: DataFrame, close_gap: float = 0.025) -> DataFrame:
+    """Close with an ellipse of each frame's own size."""
+    radius, r = gap_radius(close_gap), F.col("_r").cast("double")
+    most = _largest(dims, radius)
+    half = lambda dy: F.when(r > 0, half_even(r * F.sqrt(1 - dy * dy / (r * r)))).otherwise(0)
+    kernel = [(dy, F.when(F.col("_r") >= abs(dy), half(dy))) for dy in range(-most, most + 1)]
+    return morphology(runs, dims, [("dilate", kernel, 1), ("erode", kernel, 1)], reach=radius)
 
 
 def box_steps(radius: int) -> list[list[tuple[int, int]]]:
@@ -311,21 +337,30 @@ def box_steps(radius: int) -> list[list[tuple[int, int]]]:
     return steps
 
 
-def boundary_width(height: int, width: int, ratio: float) -> int:
+def boundary_width(ratio: float) -> Column:
+    """Radius of the boundary band of each frame: a share of its diagonal, one pixel at least."""
     if not 0 < ratio <= 1:
         raise ValueError("boundary ratio must lie in (0, 1]")
-    return max(1, round(ratio * (height * height + width * width) ** 0.5))
+    h, w = F.col("height").cast("double"), F.col("width").cast("double")
+    return F.greatest(F.lit(1), half_even(F.lit(float(ratio)) * F.sqrt(h * h + w * w))).cast("int")
 
 
 def inner_runs(
-    runs: DataFrame, dims: DataFrame, radius: int, frame: Sequence[str] = FRAME
+    runs: DataFrame, dims: DataFrame, radius: Column | int, frame: Sequence[str] = FRAME
 ) -> DataFrame:
-    """Pixels further than ``radius`` from background, counting everything outside as background."""
-    canvas = _flip(to_canvas(runs, dims, frame), frame)
-    for kernel in box_steps(radius):
+    """Pixels further than ``radius`` from background, counting everything outside as background.
+
+    The radius may be a column of the frames' sizes.
+    """
+    canvas = _flip(to_canvas(runs, dims, frame, radius), frame)
+    r, have = F.col("_r"), 0
+    for kernel in box_steps(_largest(dims, radius)):
+        if isinstance(radius, Column):
+            shift = F.greatest(F.lit(0), F.least(F.lit(2 * have + 1), r - have))
+            kernel = [(-shift, shift), (0, shift), (shift, shift)]
         canvas = _grow(canvas, kernel, frame)
+        have = 3 * have + 1
     kept = _flip(canvas, frame)
-    r = F.lit(radius)
     clipped = kept.filter((F.col("y") >= r) & (F.col("y") < F.col("_h") - r) & ~_is_border()).select(
         *row_keys(frame),
         F.greatest(F.col("x0"), r).cast("int").alias("x0"),
@@ -334,7 +369,7 @@ def inner_runs(
     return clipped.filter(F.col("x1") > F.col("x0"))
 
 
-def boundary_band(runs: DataFrame, dims: DataFrame, radius: int) -> DataFrame:
+def boundary_band(runs: DataFrame, dims: DataFrame, radius: Column | int) -> DataFrame:
     """Road pixels within ``radius`` of the background. ``runs`` must be merged."""
     return subtract_runs(runs, inner_runs(runs, dims, radius))
 

@@ -64,11 +64,11 @@ def frame_facts(
     prediction: DataFrame,
     truth: DataFrame,
     dims: DataFrame,
-    boundary_radius: int | None = None,
+    boundary_radius: Column | int | None = None,
 ) -> DataFrame:
     """Pixel counts per frame; raw spans are accepted and every frame of ``dims`` appears.
 
-    With a ``boundary_radius`` the boundary bands are compared as well. Both masks travel as
+    With a ``boundary_radius`` (a number, or a column of the frames' sizes) the boundary bands are compared as well. Both masks travel as
     layers of one table, so morphology and counting share their shuffles.
     """
     size = (F.col("x1") - F.col("x0")).cast("long")
@@ -158,10 +158,10 @@ def negative_rates(facts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def evaluation_report(
-    prediction: DataFrame, truth: DataFrame, dims: DataFrame, height: int, width: int, boundary_ratio: float = 0.02
+    prediction: DataFrame, truth: DataFrame, dims: DataFrame, boundary_ratio: float = 0.02
 ) -> DataFrame:
     """All quality numbers of one model in one row, from a single table of frame facts."""
-    facts = frame_facts(prediction, truth, dims, boundary_width(height, width, boundary_ratio))
+    facts = frame_facts(prediction, truth, dims, boundary_width(boundary_ratio))
     c = F.col
     sums = [*COUNTS, "boundary_intersection", "boundary_union"]
     n = c("negative")

@@ -158,7 +158,7 @@ BANDS = (
 
 @query("boundary_band", spans_of("p_band", TRUTH, PRED, *BANDS))
 def boundary_band(spark, sf):
-    radius = runs.boundary_width(v.MASK_H, v.MASK_W, 0.02)
+    radius = runs.boundary_width(0.02)
     return runs.merge_runs(runs.boundary_band(pred(spark, sf), v.mask_dims(spark, sf), radius))
 
 
@@ -245,7 +245,7 @@ def fill_holes(spark, sf):
     return components.fill_small_holes(pred(spark, sf), v.mask_dims(spark, sf))
 
 
-MIN_AREA = components.default_min_area(v.MASK_H, v.MASK_W)
+MIN_AREA = max(8, v.MASK_H * v.MASK_W // 700)
 LEGACY_START = int(v.MASK_H * (1 - 0.42))
 CHOSEN = """SELECT "group", frame_idx, y, x0, x1 FROM lab JOIN (
   SELECT "group", frame_idx, arg_max(component, (score, component)) AS component FROM scored GROUP BY 1, 2)
@@ -301,7 +301,7 @@ def select_origin_road(spark, sf):
     ),
 )
 def primary_road(spark, sf):
-    return components.primary_road(pred(spark, sf), v.mask_dims(spark, sf), MIN_AREA)
+    return components.primary_road(pred(spark, sf), v.mask_dims(spark, sf))
 
 
 
@@ -320,7 +320,7 @@ def primary_road(spark, sf):
     ),
 )
 def clean_road(spark, sf):
-    return components.clean_road(pred(spark, sf), v.mask_dims(spark, sf), v.MASK_H, v.MASK_W)
+    return components.clean_road(pred(spark, sf), v.mask_dims(spark, sf))
 
 
 @query(

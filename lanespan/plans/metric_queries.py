@@ -22,7 +22,7 @@ COUNTED = (v.MASKS, TRUTH, PRED, FACTS)
 
 
 def facts(spark, sf, which: str = "pred", boundary: bool = False):
-    radius = runs.boundary_width(v.MASK_H, v.MASK_W, 0.02) if boundary else None
+    radius = runs.boundary_width(0.02) if boundary else None
     return scoring.frame_facts(
         v.raw_runs(spark, sf, which), v.raw_runs(spark, sf, "truth"), v.mask_dims(spark, sf), radius
     )
@@ -135,7 +135,7 @@ def negative_rates(spark, sf):
 )
 def evaluation_report(spark, sf):
     report = scoring.evaluation_report(
-        v.raw_runs(spark, sf, "pred"), v.raw_runs(spark, sf, "truth"), v.mask_dims(spark, sf), v.MASK_H, v.MASK_W
+        v.raw_runs(spark, sf, "pred"), v.raw_runs(spark, sf, "truth"), v.mask_dims(spark, sf)
     )
     return rounded(
         report, "iou", "dice_f1", "precision", "recall", "boundary_iou", "no_road_pixel_fpr", "no_road_frame_fpr"

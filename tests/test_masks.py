@@ -106,11 +106,40 @@ def test_boundary_band_of_any_width(mask_table, to_masks, radius):
     same(to_masks(band, shapes), expected)
 
 
-def test_boundary_width_rounds_half_even_and_has_a_minimum():
-    assert runs.boundary_width(48, 80, 0.01) == 1
-    assert runs.boundary_width(1080, 1920, 0.02) == 44
+def test_boundary_width_rounds_half_even_and_has_a_minimum(spark):
+    dims = spark.createDataFrame([(48, 80), (1080, 1920)], "height int, width int")
+    assert [r[0] for r in dims.select(runs.boundary_width(0.01)).collect()] == [1, 22]
+    assert [r[0] for r in dims.select(runs.boundary_width(0.02)).collect()] == [2, 44]
     with pytest.raises(ValueError):
-        runs.boundary_width(10, 10, 0)
+        runs.boundary_width(0)
+
+
+def test_every_frame_has_its_own_radius_kernel_and_area(spark, mask_table, to_masks):
+    rng = np.random.default_rng(11)
+    shapes = [(12, 16), (40, 100), (90, 70), (130, 125)]
+    made = []
+    for h, w in shapes:
+        m = np.ones((h, w), bool)
+        for y, x in zip(rng.integers(0, h, 9), rng.integers(0, w, 9)):
+            m[y : y + 2, x : x + 3] = False
+        made.append(m)
+    table, dims = mask_table(made)
+    bands, closed = [], []
+    for m in made:
+        h, w = m.shape
+        radius = max(1, round(0.04 * (h * h + w * w) ** 0.5))
+        padded = np.pad(m, radius)
+        box = [(dy, radius) for dy in range(-radius, radius + 1)]
+        bands.append(m & ~shrink(padded, box)[radius:-radius, radius:-radius])
+        diameter = max(1, round(min(h, w) * 0.025))
+        kernel = runs.ellipse_kernel(diameter + 1 - diameter % 2)
+        closed.append(shrink(grow(m, kernel), kernel))
+    assert len({runs.ellipse_kernel(max(1, round(min(s) * 0.025)) | 1)[0] for s in shapes}) > 1
+    band = runs.merge_runs(runs.boundary_band(table, dims, runs.boundary_width(0.04)))
+    same(to_masks(band, shapes), bands)
+    same(to_masks(runs.close_gaps(table, dims), shapes), closed)
+    areas = dims.orderBy("frame_idx").select(components.default_min_area()).collect()
+    assert [r[0] for r in areas] == [max(8, h * w // 700) for h, w in shapes]
 
 
 def test_components_match_flood_fill(mask_table, masks):

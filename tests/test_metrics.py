@@ -26,7 +26,7 @@ def test_known_scores(spark):
     pred = [np.array([[1, 1], [0, 0]]), np.array([[1, 0], [0, 0]])]
     truth = [np.array([[1, 0], [1, 0]]), np.zeros((2, 2), int)]
     args = matrix_table(spark, pred), matrix_table(spark, truth), sizes(spark, pred)
-    row = scoring.evaluation_report(*args, 2, 2).first()
+    row = scoring.evaluation_report(*args).first()
     assert (row.tp, row.fp, row.fn, row.tn) == (1, 2, 1, 4)
     assert row.iou == 1 / 4 and row.dice_f1 == 2 / 5 and row.precision == pytest.approx(1 / 3) and row.recall == 1 / 2
     assert row.no_road_pixel_fpr == 0.25 and row.no_road_frame_fpr == 1.0
@@ -36,7 +36,7 @@ def test_known_scores(spark):
 def test_empty_agreement_is_one_and_full_masks_have_a_boundary(spark):
     empty = spark.createDataFrame([], RUNS)
     dims = spark.createDataFrame([("g", 0, 20, 30)], DIMS)
-    row = scoring.evaluation_report(empty, empty, dims, 20, 30).first()
+    row = scoring.evaluation_report(empty, empty, dims).first()
     assert row.iou == row.dice_f1 == row.precision == row.recall == row.boundary_iou == 1.0
     assert row.no_road_pixel_fpr == 0.0
     full = spark.createDataFrame([("g", 0, y, 0, 30) for y in range(20)], RUNS)
@@ -51,7 +51,7 @@ def test_shifted_rectangle_boundary(spark):
     truth[10:40, 20:60] = True
     pred[10:40, 22:62] = True
     row = scoring.evaluation_report(
-        matrix_table(spark, [pred]), matrix_table(spark, [truth]), sizes(spark, [pred]), 48, 80, 0.01
+        matrix_table(spark, [pred]), matrix_table(spark, [truth]), sizes(spark, [pred]), 0.01
     ).first()
     ring = []
     for m in (pred, truth):
