@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lanespan.functions.exprs import STAGES
 from lanespan.functions.ordered import block_of, with_halo, with_position
 from lanespan.functions.quantiles import exact_percentiles
+from lanespan.session import materialize
 
 RUN = ("run_id",)
 
@@ -59,14 +60,29 @@ def stage_times(measured: DataFrame, timings: DataFrame, stages: Sequence[str] =
     return joined.select(*RUN, "frame_seq", rows.alias("_r")).select(*RUN, "frame_seq", "_r.stage", "_r.ms")
 
 
-def stage_summary(completions: DataFrame, timings: DataFrame, warmup: int = 30) -> DataFrame:
-    """Mean, median and 95th percentile per run and stage after the warm-up."""
-    times = stage_times(drop_warmup(completions, warmup), timings)
-    return latency_summary(times, "ms", [*RUN, "stage"]).drop("fps")
+def _every(keys: DataFrame, found: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Results of all keys: no frames and nulls where nothing was measured."""
+    joined = keys.join(found, list(on), "left")
+    return joined.withColumn("frames", F.coalesce("frames", F.lit(0).cast("long"))) if "frames" in found.columns else joined
 
 
-def average_fps(measured: DataFrame) -> DataFrame:
-    """Frames per second between first and last completion; null without a positive span."""
+def stage_summary(completions: DataFrame, timings: DataFrame, warmup: int = 30, stages: Sequence[str] = STAGES) -> DataFrame:
+    """Mean, median and 95th percentile per run and stage after the warm-up.
+
+    A run that ends within the warm-up has every stage with no frames and nulls. The measured times are written once, because
+    the exact percentiles read them several times.
+    """
+    times = materialize(stage_times(drop_warmup(completions, warmup), timings, stages))
+    found = latency_summary(times, "ms", [*RUN, "stage"]).drop("fps")
+    named = F.explode(F.array(*[F.lit(s) for s in stages])).alias("stage")
+    return _every(completions.select(*RUN).distinct().select(*RUN, named), found, [*RUN, "stage"])
+
+
+def average_fps(measured: DataFrame, runs: DataFrame | None = None) -> DataFrame:
+    """Frames per second between first and last completion; null without a positive span.
+
+    With ``runs``, a table with all runs, those without a measured frame appear as well.
+    """
     n, span = F.col("frames"), F.col("_last") - F.col("_first")
     spans = measured.groupBy(*RUN).agg(
         F.count(F.lit(1)).alias("frames"),
@@ -74,18 +90,23 @@ def average_fps(measured: DataFrame) -> DataFrame:
         F.max("completed_at").alias("_last"),
     )
     rate = F.when((n >= 2) & (span > 0), (n - 1) / span)
-    return spans.select(*RUN, "frames", rate.alias("average_fps"))
+    found = spans.select(*RUN, "frames", rate.alias("average_fps"))
+    return found if runs is None else _every(runs.select(*RUN).distinct(), found, RUN)
 
 
-def min_sustained_fps(measured: DataFrame, window: int = 30) -> DataFrame:
-    """Slowest rate over any ``window`` consecutive completions; null for shorter runs."""
+def min_sustained_fps(measured: DataFrame, window: int = 30, runs: DataFrame | None = None) -> DataFrame:
+    """Slowest rate over any ``window`` consecutive completions; null for shorter runs.
+
+    With ``runs``, a table with all runs, those without a measured frame appear as well.
+    """
     if window < 2:
         raise ValueError("the window needs at least two frames")
     spread, w, home = with_halo(measured, RUN, "pos", window - 1)
     timed = spread.withColumn("_span", F.col("completed_at") - F.lag("completed_at", window - 1).over(w))
     longest = timed.filter(home).groupBy(*RUN).agg(F.max("_span").alias("_span"))
     rate = F.when(F.col("_span") > 0, F.lit(float(window - 1)) / F.col("_span"))
-    return longest.select(*RUN, rate.alias("min_sustained_fps"))
+    found = longest.select(*RUN, rate.alias("min_sustained_fps"))
+    return found if runs is None else _every(runs.select(*RUN).distinct(), found, RUN)
 
 
 def latest_frames(waiting: DataFrame, queue_size: int = 2) -> DataFrame:

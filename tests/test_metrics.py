@@ -268,3 +268,17 @@ def test_sizes_and_frames_have_to_agree(spark):
     two = scoring.frame_facts(inside, inside, dims.union(spark.createDataFrame([("g", 1, 4, 4)], DIMS)))
     with pytest.raises(Exception, match="only one side"):
         scoring.compare_runs(one, two).collect()
+
+
+def test_a_run_that_ends_in_the_warm_up_is_not_lost(spark):
+    rows = [(r, i, float(i), i + 0.5) for r, n in ((1, 6), (2, 2)) for i in range(n)]
+    completions = spark.createDataFrame(rows, "run_id int, frame_seq long, captured_at double, completed_at double")
+    timings = spark.createDataFrame([(1, i, "inference", 0.01) for i in range(6)], "run_id int, frame_seq long, stage string, seconds double")
+    found = {(r.run_id, r.stage): r for r in telemetry.stage_summary(completions, timings, 2).collect()}
+    assert len(found) == 16
+    assert all((found[2, s].frames, found[2, s].mean_ms, found[2, s].p95_ms) == (0, None, None) for s in ("inference", "total"))
+    measured = telemetry.drop_warmup(completions, 2)
+    rates = {r.run_id: r for r in telemetry.average_fps(measured, completions).collect()}
+    assert (rates[2].frames, rates[2].average_fps) == (0, None) and rates[1].average_fps == pytest.approx(1.0)
+    slow = {r.run_id: r.min_sustained_fps for r in telemetry.min_sustained_fps(measured, 3, completions).collect()}
+    assert slow == {1: pytest.approx(1.0), 2: None}
