@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from lanespan.functions.exprs import percent_of
 from lanespan.operators.runs import (
     FRAME,
+    close_gaps,
     co_locate,
     complement_runs,
     legacy_cleanup,

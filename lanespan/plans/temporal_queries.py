@@ -291,7 +291,8 @@ def track_stream_query(spark, sf):
     observed = materialize(
         tracks.suppress_near_duplicates(v.observations(spark, sf)).withColumn("run_id", F.lit("live"))
     )
-    for first in range(0, 31, 8):
+    last = observed.agg(F.max("frame_idx")).first()[0] or 0
+    for first in range(0, last + 1, 8):
         week = observed.filter(F.col("frame_idx").between(first, first + 7))
         week.repartition("group").write.mode("append").parquet(f"{folder}/in")
     live = stream_frames(spark, observed.schema, f"{folder}/in", files_per_trigger=64)

@@ -142,9 +142,9 @@ ASSIGNED = """assigned AS (
 split_samples AS (SELECT s.*, a.split FROM samples s JOIN assigned a USING ("group"))"""
 
 FILES = """files AS (
-  SELECT source AS "group", 'image' AS kind, 'img/' || substr(sha256(text), 1, 16) || '.png' AS path FROM documents
+  SELECT source AS "group", 'image' AS kind, 'img/' || sha256(text) || '.png' AS path FROM documents
   UNION ALL
-  SELECT d.source, 'mask', 'mask/' || substr(sha256(d.text), 1, 16) || '_mask.png'
+  SELECT d.source, 'mask', 'mask/' || sha256(d.text) || '_mask.png'
   FROM documents d JOIN labels l USING (doc_id)
   UNION ALL
   SELECT 'src' || (page_id % 20), 'mask', 'mask/page' || page_id || '_mask.PNG' FROM pages),
@@ -161,7 +161,7 @@ pairs AS (
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Image files for documents, mask files for labelled ones, and masks without image."""
     documents = table(spark, sf_dir, "documents").select(
-        "doc_id", F.col("source").alias("group"), F.substring(F.sha2(F.encode("text", "utf-8"), 256), 1, 16).alias("stem")
+        "doc_id", F.col("source").alias("group"), F.sha2(F.encode("text", "utf-8"), 256).alias("stem")
     )
     labelled = documents.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id")
     pages = table(spark, sf_dir, "pages")
@@ -376,16 +376,18 @@ PAIRS = """pair_px AS (
 
 # ---------------------------------------------------------------- detections
 
+FIRST_DAY = "2024-01-01"
+
 
 def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events of one user and day are the branch detections of one frame."""
+    """Events of one user and day are the branch detections of one frame; days count on from the first one."""
     events = table(spark, sf_dir, "events")
     rows = events.select(
         "user_id",
         micros(events).alias("us"),
         "event_id",
         F.concat(F.lit("trip"), F.col("user_id")).alias("group"),
-        (F.dayofmonth("ts") - 1).cast("long").alias("frame_idx"),
+        F.datediff("ts", F.lit(FIRST_DAY)).cast("long").alias("frame_idx"),
         (F.col("event_id") * 37 % DET_W).cast("double").alias("end_x"),
         (F.col("event_id") * 11 % DET_H).cast("double").alias("end_y"),
         (5 + F.col("value") % 20).alias("width_px"),
@@ -415,9 +417,10 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every day of the month is a frame of every user, with or without detections."""
+    """Every day up to the last one is a frame of every user, with or without detections."""
     events = table(spark, sf_dir, "events")
-    days = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(30).cast("long")))
+    last = events.agg(F.max(F.datediff("ts", F.lit(FIRST_DAY)))).first()[0] or 0
+    days = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(last).cast("long")))
     frames = (
         events.select(F.concat(F.lit("trip"), F.col("user_id")).alias("group"))
         .distinct()
@@ -436,8 +439,8 @@ DETECTIONS = f"""detections AS (
   SELECT *, length * width_px AS area FROM (
   SELECT "group", frame_idx, {DET_H} AS height, {DET_W} AS width, det_idx, end_x, end_y, width_px,
          sqrt((end_x - 128) * (end_x - 128) + (end_y - 80) * (end_y - 80)) AS length
-  FROM (SELECT 'trip' || user_id AS "group", day(ts) - 1 AS frame_idx, event_id,
-               row_number() OVER (PARTITION BY user_id, day(ts) ORDER BY ts, event_id) - 1 AS det_idx,
+  FROM (SELECT 'trip' || user_id AS "group", date_diff('day', DATE '{FIRST_DAY}', ts) AS frame_idx, event_id,
+               row_number() OVER (PARTITION BY user_id, ts::DATE ORDER BY ts, event_id) - 1 AS det_idx,
                (event_id * 37 % {DET_W})::DOUBLE AS end_x, (event_id * 11 % {DET_H})::DOUBLE AS end_y,
                5 + value % 20 AS width_px FROM events)))"""
 
