@@ -32,7 +32,7 @@ WINDOW, GRAM = 50, 16
 #: Bytes looked at together: positions and hashes share a 64-bit number.
 SLICE = 1 << 20
 #: Entries a map task holds before it sends them, entries of a group, bytes of runs in a group.
-HELD, GROUP, RUNS = 1 << 20, 1 << 21, 8 << 20
+HELD, GROUP, RUNS = 1 << 20, 1 << 21, 2 << 20
 #: Sample for the order of q-grams (documents, their largest size, share of them that makes a q-gram frequent). It only balances work.
 SAMPLE, LARGEST, FREQUENT = 1000, 1 << 16, 0.01
 PLACES = 1 << 20
