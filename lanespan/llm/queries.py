@@ -71,6 +71,27 @@ def op5_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.remove_repeats(documents(spark, sf_dir)).drop("kept")
 
 
+OP5_SQL = """
+WITH d AS (SELECT doc_id, strlen(coalesce(text, '')) AS n, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, p, substr(h, 2 * p + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, greatest(n - 49, 0))) AS p FROM d)),
+f AS (SELECT s, min(doc_id) AS first FROM w GROUP BY s HAVING min(doc_id) < max(doc_id)),
+hit AS (SELECT doc_id, p FROM w JOIN f USING (s) WHERE doc_id > first),
+marked AS (SELECT doc_id, p, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= 50 THEN 0 ELSE 1 END AS opens FROM hit),
+island AS (SELECT doc_id, p, sum(opens) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM marked),
+spans AS (SELECT doc_id, k, min(p) AS a, max(p) + 50 AS b FROM island GROUP BY 1, 2),
+parts AS (
+  SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS s, a AS e FROM spans
+  UNION ALL SELECT doc_id, max(b), NULL FROM spans GROUP BY 1),
+kept AS (
+  SELECT doc_id, string_agg(CASE WHEN e IS NULL THEN substr(h, 2 * s + 1) ELSE substr(h, 2 * s + 1, 2 * (e - s)) END, '' ORDER BY s) AS k
+  FROM parts JOIN d USING (doc_id) GROUP BY 1),
+totals AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans FROM spans GROUP BY 1)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(k, h))) AS kept_sha256
+FROM d LEFT JOIN totals USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(documents(spark, sf_dir)).drop("spans")
 
@@ -116,4 +137,4 @@ QUERIES: dict[str, Query] = {
     "op9_quality": op9_quality,
     "op10_bpe": op10_bpe,
 }
-ORACLES: dict[str, str] = {"op2_decontaminate": OP2_SQL, "op7_exact_dedup": OP7_SQL}
+ORACLES: dict[str, str] = {"op2_decontaminate": OP2_SQL, "op5_suffixes": OP5_SQL, "op7_exact_dedup": OP7_SQL}
