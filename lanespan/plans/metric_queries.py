@@ -392,8 +392,10 @@ def latency_overall(spark, sf):
         """sums AS (SELECT run_id, frame_seq, stage, sum(seconds) AS s FROM timed GROUP BY 1, 2, 3)""",
         """ms AS (SELECT g.run_id, g.stage, 1000 * CASE g.stage WHEN 'total' THEN completed_at - captured_at ELSE coalesce(s, 0) END AS ms
     FROM grid g LEFT JOIN sums USING (run_id, frame_seq, stage))""",
-        body="""SELECT run_id, stage, count(*) AS frames, round(avg(ms) + 1.2345e-5::DOUBLE, 3) AS mean_ms, round(quantile_cont(ms, 0.5) + 1.2345e-5::DOUBLE, 3) AS median_ms,
-  round(quantile_cont(ms, 0.95) + 1.2345e-5::DOUBLE, 3) AS p95_ms FROM ms GROUP BY 1, 2""",
+        """every AS (SELECT DISTINCT run_id,
+    unnest(['read', 'prepare', 'inference', 'temporal', 'geometry', 'render', 'write', 'total']) AS stage FROM completions)""",
+        body="""SELECT run_id, stage, count(ms) AS frames, round(avg(ms) + 1.2345e-5::DOUBLE, 3) AS mean_ms, round(quantile_cont(ms, 0.5) + 1.2345e-5::DOUBLE, 3) AS median_ms,
+  round(quantile_cont(ms, 0.95) + 1.2345e-5::DOUBLE, 3) AS p95_ms FROM every LEFT JOIN ms USING (run_id, stage) GROUP BY 1, 2""",
     ),
 )
 def stage_summary(spark, sf):
@@ -407,11 +409,12 @@ def stage_summary(spark, sf):
     v.sql(
         *RUN_SQL,
         body="""SELECT run_id, frames, round(CASE WHEN frames >= 2 AND b > a THEN (frames - 1) / (b - a) END, 9) AS average_fps
-FROM (SELECT run_id, count(*) AS frames, min(completed_at) AS a, max(completed_at) AS b FROM measured GROUP BY 1)""",
+FROM (SELECT c.run_id, count(m.run_id) AS frames, min(m.completed_at) AS a, max(m.completed_at) AS b
+      FROM (SELECT DISTINCT run_id FROM completions) c LEFT JOIN measured m USING (run_id) GROUP BY 1)""",
     ),
 )
 def average_fps(spark, sf):
-    return rounded(telemetry.average_fps(measured(spark, sf)), "average_fps", digits=9)
+    return rounded(telemetry.average_fps(measured(spark, sf), v.completions(v.timed_events(spark, sf))), "average_fps", digits=9)
 
 
 @query(
@@ -419,11 +422,12 @@ def average_fps(spark, sf):
     v.sql(
         *RUN_SQL,
         """spans AS (SELECT run_id, completed_at - lag(completed_at, 29) OVER (PARTITION BY run_id ORDER BY pos) AS s FROM measured)""",
-        body="""SELECT run_id, round(CASE WHEN max(s) > 0 THEN 29 / max(s) END, 9) AS min_sustained_fps FROM spans GROUP BY 1""",
+        body="""SELECT run_id, round(CASE WHEN max(s) > 0 THEN 29 / max(s) END, 9) AS min_sustained_fps
+FROM (SELECT DISTINCT run_id FROM completions) LEFT JOIN spans USING (run_id) GROUP BY 1""",
     ),
 )
 def min_sustained_fps(spark, sf):
-    return rounded(telemetry.min_sustained_fps(measured(spark, sf), 30), "min_sustained_fps", digits=9)
+    return rounded(telemetry.min_sustained_fps(measured(spark, sf), 30, v.completions(v.timed_events(spark, sf))), "min_sustained_fps", digits=9)
 
 
 COUNTERS = """counters AS (
