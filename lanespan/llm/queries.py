@@ -73,7 +73,10 @@ def op5_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP5_SQL = """
 WITH d AS (SELECT doc_id, strlen(coalesce(text, '')) AS n, hex(encode(coalesce(text, ''))) AS h FROM documents),
-w AS (SELECT doc_id, p, substr(h, 2 * p + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, greatest(n - 49, 0))) AS p FROM d)),
+pieces AS (SELECT doc_id, n, b, substr(h, 2 * b + 1, 498) AS piece FROM (SELECT doc_id, n, h, unnest(range(0, n, 200)) AS b FROM d)),
+w AS (
+  SELECT doc_id, b + o AS p, substr(piece, 2 * o + 1, 100) AS s
+  FROM (SELECT doc_id, b, piece, unnest(range(0, greatest(least(200, n - 49 - b), 0))) AS o FROM pieces)),
 f AS (SELECT s, min(doc_id) AS first FROM w GROUP BY s HAVING min(doc_id) < max(doc_id)),
 hit AS (SELECT doc_id, p FROM w JOIN f USING (s) WHERE doc_id > first),
 marked AS (SELECT doc_id, p, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= 50 THEN 0 ELSE 1 END AS opens FROM hit),
