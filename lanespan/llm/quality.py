@@ -24,6 +24,8 @@ BLOCK, CHUNK, STEP = 256, 4, 3
 #: Bound of the sample: documents of a class, and blocks of one document (spread evenly over it) that a fit reads.
 PER_CLASS, FIT_CHUNKS = 1200, 8
 EPOCHS, BATCH, RATE, SEED = 8, 64, 0.01, 7
+#: Bytes of the pieces of good documents that are learned as well, and their weight.
+SHORT, SHORT_WEIGHT = (20, 200), 0.3
 THRESHOLD = 0.3
 SLICE = 1 << 20
 FOLDS, HELD = 5, 0
@@ -97,8 +99,12 @@ def train(rows: list[tuple[bytes, int]], counts: dict[int, int]) -> Network:
         net.shift = float(np.log((counts.get(1, 0) + 1) / (counts.get(0, 0) + 1)))
         return net
     weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean())).astype(np.float32)
+    # Good text is good in small pieces too; without these, what is short looks odd by its padding alone.
+    short = [text[k : k + size] for text, label in rows if label for size in [int(rng.integers(*SHORT))] for k in [int(rng.integers(0, max(1, len(text) - size)))]]
+    texts = [text for text, _ in rows] + short
+    y, weight = np.r_[y, np.ones(len(short), np.float32)], np.r_[weight, np.full(len(short), SHORT_WEIGHT * weight[y == 1].mean(), np.float32)]
     parts = []
-    for text, _ in rows:
+    for text in texts:
         block, first = _blocks(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
         chunk, _ = _chunks(first)
         chosen = chunk[np.unique(np.linspace(0, len(chunk) - 1, FIT_CHUNKS).astype(int))]
@@ -108,7 +114,7 @@ def train(rows: list[tuple[bytes, int]], counts: dict[int, int]) -> Network:
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in shapes]
     step = 0
     for epoch in range(EPOCHS):
-        order = rng.permutation(len(rows))
+        order = rng.permutation(len(texts))
         for lo in range(0, len(order), BATCH):
             batch = order[lo : lo + BATCH]
             step += 1
