@@ -24,6 +24,7 @@ from lanespan.llm.labelled import fold
 
 #: Bound of the sample: documents of a language, and bytes of one document that are counted (spread evenly over it).
 PER_LANGUAGE, FIT_BYTES = 400, 1 << 16
+PARTS = 256
 BINS = 1 << 16
 PENALTY = 6.0
 #: Words of a piece, and bytes of text handled at a time.
@@ -194,8 +195,12 @@ def fit(docs: DataFrame) -> Model:
     """Learn from a bounded sample of each language: the first documents in the order of a hash of ``doc_id``."""
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (fold(FOLDS) != HELD))
     ids = known.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("lang").cast("string").alias("lang"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = ids.withColumn("rank", rank).filter(F.col("rank") <= PER_LANGUAGE).select("doc_id", "lang").distinct()
+    ids = ids.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)))
+    # First of each part, so that no task ranks more than a fixed number of a language's documents.
+    for keys in (["lang", "part"], ["lang"]):
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64("doc_id"), "doc_id"))
+        ids = ids.withColumn("rank", rank).filter(F.col("rank") <= PER_LANGUAGE)
+    chosen = ids.select("doc_id", "lang").distinct()
     texts = known.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("lang").cast("string").alias("lang"), text_bytes().alias("text"))
     rows = texts.join(F.broadcast(chosen), ["doc_id", "lang"]).select("text", "lang").collect()
     return train(sorted((bytes(r.text), r.lang) for r in rows))
