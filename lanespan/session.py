@@ -47,8 +47,7 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write an intermediate that several branches read, and continue from the written copy."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(_shared_base(df.sparkSession))
-    return df.checkpoint()
+    """Write an intermediate that several branches read, and continue from the written copy; it is computed once."""
+    path = shared_folder(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
