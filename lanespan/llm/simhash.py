@@ -236,9 +236,10 @@ def _signed(mask: int) -> int:
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
-    """``doc_id, text_key, fp, component_id, group_size`` of every row.
+    """``doc_id, text_key, fp, root, component_id, group_size`` of every row.
 
-    ``component_id`` is the smallest ``doc_id`` among all documents reachable over links, itself included. Null text counts as
+    ``root`` is the component's smallest fingerprint and tells components apart; ``component_id`` does not where ids are null or
+    shared by unlike texts. ``component_id`` is the smallest ``doc_id`` among all documents reachable over links, itself included. Null text counts as
     empty; texts without words have fingerprint zero and are linked like any other. Fewer words than a shingle: the
     whole sequence is the one shingle. A null ``doc_id`` is never the smallest unless its component has no other.
     """
@@ -248,7 +249,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     named = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", "copies", F.coalesce("root", "fp").alias("root"))
     named = stored(named, "named")
     smallest = named.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("copies").alias("group_size"))
-    settled = stored(named.join(smallest, "root").select("fp", "component_id", "copies", "group_size"), "components")
+    settled = stored(named.join(smallest, "root").select("fp", "root", "component_id", "copies", "group_size"), "components")
     return skew_join(rows, settled, "fp", "copies", rows.count()).drop("copies")
 
 
@@ -257,9 +258,10 @@ def hex_fingerprint(fp: str = "fp"):
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each component, the one with the smallest ``doc_id``, with its columns."""
+    """One document of each component, the one with the smallest ``doc_id`` (null last), with its columns."""
     groups = near_groups(docs)
-    first = groups.groupBy("component_id").agg(F.min(F.struct("doc_id", "text_key")).alias("first"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
+    first = groups.groupBy("root").agg(F.min(order).alias("first"))
     keep = first.select(F.col("first.doc_id").alias("doc_id"), F.col("first.text_key").alias("text_key")).alias("k")
     mine = docs.withColumn("__text_key", F.xxhash64("text")).alias("d")
     same = F.col("d.doc_id").cast("bigint").eqNullSafe(F.col("k.doc_id")) & (F.col("d.__text_key") == F.col("k.text_key"))

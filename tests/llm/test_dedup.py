@@ -135,6 +135,16 @@ def test_one_document_of_each_component_stays(make_docs):
     assert simhash.keep_one(docs.limit(0)).count() == 0
 
 
+def test_null_and_shared_ids_do_not_join_components(make_docs):
+    texts = [f"document {w} speaks of {w} things and nobody else does {w * 3}" for w in ("red", "green", "blue", "grey", "pink")]
+    fps = [naive_fingerprint(t) for t in texts]
+    assert not any(near(a, b) for a, b in combinations(fps, 2))
+    pairs = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (5, texts[2]), (5, texts[3]), (None, texts[4]), (8, texts[4]), (6, texts[4].upper())]
+    docs = make_docs(pairs)
+    kept = sorted(((r.doc_id, r.text) for r in simhash.keep_one(docs).collect()), key=repr)
+    assert kept == sorted([(None, texts[0]), (None, texts[1]), (5, texts[2]), (5, texts[3]), (6, texts[4].upper())], key=repr)
+
+
 def test_components_of_long_chains_and_stars(spark):
     chain = [(i + 1, i) for i in range(120)]
     star = [(1000 + i, 999) for i in range(300)]
