@@ -154,6 +154,25 @@ def test_held_out_ranking(spark, module, label, least):
     assert auc(np.array([r.score for r in rows]), y) >= least
 
 
+@pytest.mark.parametrize("script", ["latin", "han"])
+def test_toxic_phrases_of_ordinary_words(script):
+    rng = random.Random(1)
+    if script == "latin":
+        own = [a + b for a in ("ta", "ro", "mi", "ke", "lu", "so", "ne") for b in ("l", "rn", "st", "p", "nd", "m", "ck")] + "you all should leave now your kind".split()
+        phrases, between = ["you all should leave now", "your kind should leave"], " "
+    else:
+        own, between = [chr(0x4E00 + i) for i in range(400)], ""
+        phrases = ["".join(own[3:9]), "".join(own[20:25])]
+    rows = []
+    for i in range(1600):
+        parts = [rng.choice(own) for _ in range(rng.randrange(40, 300))]
+        for _ in range(rng.randrange(1, 4) if i % 4 == 0 else 0):
+            parts.insert(rng.randrange(len(parts)), rng.choice(phrases))
+        rows.append((between.join(parts).encode(), int(i % 4 == 0)))
+    model = toxicity.train(rows[:1000], {0: 750, 1: 250})
+    assert auc(np.array([model.score(t) for t, _ in rows[1000:]]), np.array([y for _, y in rows[1000:]])) >= 0.85
+
+
 @pytest.mark.parametrize("module", [quality, toxicity])
 def test_classifier_edges(spark, make_docs, odd, module):
     docs = make_docs([*odd, (None, "no id")], extra=True)
