@@ -31,6 +31,12 @@ def digest(text: Column) -> Column:
     return F.unhex(F.sha2(normalised(text), 256))
 
 
+def _looks(n_chars: str = "n_chars", text_key: str = "text_key") -> tuple[Column, Column]:
+    """Code points of ``text`` and a hash of it, blanks and all; null counts as empty."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return F.length(text).cast("bigint").alias(n_chars), F.xxhash64(text).alias(text_key)
+
+
 class DigestIndex:
     """Digest index at a path; opening an existing path with its bucket count continues it.
 
@@ -57,20 +63,24 @@ class DigestIndex:
         document and the batch keeps none. ``group_size`` counts the batch's rows. Null text counts as empty;
         empty and blank texts are equal to each other. An empty batch gives an empty table.
         """
+        return self._settled(docs).select("doc_id", "digest", "keep_id", "group_size", "kept")
+
+    def _settled(self, docs: DataFrame) -> DataFrame:
+        """What ``add`` returns, with ``n_chars, text_key`` of each row and ``stays`` for the very text that won its group."""
         batch = uuid.uuid4().hex
         rows = stored(
             docs.select(
                 F.col("doc_id").cast("bigint").alias("doc_id"),
                 digest(F.col("text")).alias("digest"),
-                F.length(F.coalesce(F.col("text").cast("string"), F.lit(""))).cast("bigint").alias("n_chars"),
+                *_looks(),
             ),
             "digests",
         )
-        best = F.min(F.struct((-F.col("n_chars")).alias("n"), F.col("doc_id").isNull().alias("none"), F.col("doc_id")))
+        best = F.min(F.struct((-F.col("n_chars")).alias("n"), F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("text_key")))
         winners = stored(
             rows.groupBy("digest")
             .agg(best.alias("best"), F.count("*").alias("group_size"))
-            .select("digest", F.col("best.doc_id").alias("keep_id"), "group_size"),
+            .select("digest", F.col("best.doc_id").alias("keep_id"), "group_size", (-F.col("best.n")).alias("best_chars"), F.col("best.text_key").alias("best_key")),
             "winners",
         )
         fresh = winners.hint("merge").join(self.rows().select("digest"), "digest", "left_anti")
@@ -80,20 +90,27 @@ class DigestIndex:
         settled = (
             winners.hint("merge")
             .join(known, "digest")
-            .select("digest", F.col("index_id").alias("keep_id"), "group_size", (F.col("batch") == batch).alias("is_new"))
+            .select("digest", F.col("index_id").alias("keep_id"), "group_size", "best_chars", "best_key", (F.col("batch") == batch).alias("is_new"))
         )
+        own = F.col("doc_id").eqNullSafe(F.col("keep_id"))
         return skew_join(rows, stored(settled, "settled"), "digest", "group_size", rows.count()).select(
             "doc_id",
             "digest",
             "keep_id",
             "group_size",
-            (F.col("is_new") & F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"),
+            "n_chars",
+            "text_key",
+            (F.col("is_new") & own).alias("kept"),
+            (F.col("is_new") & own & (F.col("n_chars") == F.col("best_chars")) & (F.col("text_key") == F.col("best_key"))).alias("stays"),
         )
 
 
 def keep_first(docs: DataFrame, index: DigestIndex) -> DataFrame:
-    """Documents of the batch that stay, with their columns; one row for each kept digest."""
-    kept = index.add(docs).filter("kept").select("doc_id", "digest").distinct()
-    mine, theirs = docs.withColumn("__digest", digest(F.col("text"))).alias("d"), kept.alias("k")
+    """Documents of the batch that stay, with their columns; one row for each kept digest, of those with most code points."""
+    kept = index._settled(docs).filter("stays").select("doc_id", "digest", "n_chars", "text_key").distinct().alias("k")
+    n_chars, text_key = _looks("__n_chars", "__text_key")
+    mine = docs.withColumns({"__digest": digest(F.col("text")), "__n_chars": n_chars, "__text_key": text_key}).alias("d")
     same = F.col("d.doc_id").cast("bigint").eqNullSafe(F.col("k.doc_id")) & (F.col("d.__digest") == F.col("k.digest"))
-    return mine.join(theirs, same, "left_semi").dropDuplicates(["doc_id", "__digest"]).select(*[f"`{c}`" for c in docs.columns])
+    for name in ("n_chars", "text_key"):
+        same = same & (F.col(f"d.__{name}") == F.col(f"k.{name}"))
+    return mine.join(kept, same, "left_semi").dropDuplicates(["doc_id", "__digest"]).select(*[f"`{c}`" for c in docs.columns])

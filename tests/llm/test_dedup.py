@@ -52,6 +52,12 @@ def test_one_row_of_each_digest_stays(spark, make_docs, tmp_path):
     assert exact_dedup.keep_first(docs.limit(0), index(spark, tmp_path, "other")).count() == 0
 
 
+def test_longest_of_one_id_stays(spark, make_docs, tmp_path):
+    for k, texts in enumerate((["ab", "a b", " a  b", "a b "], [" a  b", "a b", "ab"], ["a b ", "ab", " a  b", " a  b"])):
+        docs = make_docs([(5, t) for t in texts]).repartition(3)
+        assert [r.text for r in exact_dedup.keep_first(docs, index(spark, tmp_path, f"one{k}")).collect()] == [" a  b"]
+
+
 def naive_fingerprint(text):
     words = (text or "").encode().lower().split()
     grams = [b" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []
