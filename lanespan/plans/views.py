@@ -417,10 +417,11 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every day up to the last one is a frame of every user, with or without detections."""
+    """Every day up to the last one is a frame of every user, with or without detections; days before ``FIRST_DAY`` count if they have events."""
     events = table(spark, sf_dir, "events")
-    last = events.agg(F.max(F.datediff("ts", F.lit(FIRST_DAY)))).first()[0] or 0
-    days = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(last).cast("long")))
+    day = F.datediff("ts", F.lit(FIRST_DAY))
+    first, last = (d or 0 for d in events.agg(F.min(day), F.max(day)).first())
+    days = F.explode(F.sequence(F.lit(min(first, 0)).cast("long"), F.lit(last).cast("long")))
     frames = (
         events.select(F.concat(F.lit("trip"), F.col("user_id")).alias("group"))
         .distinct()

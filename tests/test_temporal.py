@@ -325,3 +325,14 @@ def test_detection_limits_and_duplicates(spark):
     assert [d.det_idx for d in kept] == [0, 1]
     with pytest.raises(ValueError):
         tracks.GeometryConfig(match_distance=0)
+
+
+def test_events_before_the_first_day_are_frames(spark, tmp_path):
+    from lanespan.plans import views
+
+    for name, days in {"before": ["2023-12-28", "2023-12-30"], "both": ["2023-12-30", "2024-01-02"]}.items():
+        rows = [(k, 7, f"{d} 10:00:00", 3.0) for k, d in enumerate(days)]
+        events = spark.createDataFrame(rows, "event_id bigint, user_id bigint, ts string, value double").withColumn("ts", F.col("ts").cast("timestamp"))
+        events.write.parquet(str(tmp_path / name / "events.parquet"))
+        found = {r.frame_idx: len(r.dets or []) for r in views.observations(spark, str(tmp_path / name)).collect()}
+        assert found == ({-4: 1, -3: 0, -2: 1} if name == "before" else {-2: 1, -1: 0, 0: 0, 1: 1})
