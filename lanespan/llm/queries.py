@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanespan.llm import bpe, decontaminate, exact_dedup, language, quality, sequences, sharding, simhash, suffixes, toxicity
+from lanespan.llm import (
+    bpe,
+    decontaminate,
+    exact_dedup,
+    filter_audit,
+    language,
+    packing,
+    quality,
+    sequences,
+    sharding,
+    simhash,
+    suffixes,
+    toxicity,
+    vector_codes,
+)
 from lanespan.llm.common import documents
 from lanespan.session import shared_folder
 
@@ -128,6 +142,90 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.encode(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+OP11_ROWS = """
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id) AS rid, vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (
+  SELECT rid, p, v[p * (len(v) // 4) + 1:(p + 1) * (len(v) // 4)] AS x FROM kept, (SELECT unnest([0, 1, 2, 3]) AS p)),
+book0 AS MATERIALIZED (SELECT p, rid - 1 AS e, x AS c FROM parts WHERE rid <= 256)"""
+OP11_ASSIGN = """,
+near{k} AS MATERIALIZED (
+  SELECT rid, p, any_value(x) AS x,
+         min(list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT * 256 + e) AS best
+  FROM parts JOIN book{k} USING (p) GROUP BY 1, 2)"""
+OP11_UPDATE = """,
+mean{k} AS (
+  SELECT p, e, list((s - ((s % n) + n) % n) // n ORDER BY i) AS c
+  FROM (SELECT p, best % 256 AS e, i, sum(y)::BIGINT AS s, count(*) AS n
+        FROM (SELECT p, best, unnest(x) AS y, generate_subscripts(x, 1) AS i FROM near{k}) GROUP BY 1, 2, 3)
+  GROUP BY 1, 2),
+book{next} AS MATERIALIZED (SELECT p, e, coalesce(m.c, b.c) AS c FROM book{k} b LEFT JOIN mean{k} m USING (p, e))"""
+OP11_RESULT = """,
+coded AS (
+  SELECT rid, string_agg(printf('%02x', (best % 256)::INT), '' ORDER BY p) AS code, sum(best // 256)::BIGINT AS error FROM near4 GROUP BY 1),
+book AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM book4)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256
+FROM kept JOIN coded USING (rid), book
+"""
+OP11_SQL = (
+    OP11_ROWS
+    + "".join(OP11_ASSIGN.format(k=k) + OP11_UPDATE.format(k=k, next=k + 1) for k in range(4))
+    + OP11_ASSIGN.format(k=4)
+    + OP11_RESULT
+)
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(documents(spark, sf_dir))
+    return packed.select("doc_id", "piece", "start", F.col("length").cast("bigint").alias("length"), packing.ids_crc32().alias("ids_crc32"), "sequence_id", "offset")
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
+OP13_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+         list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+facts AS (
+  SELECT doc_id, part, len(w) < 100 AS a, 100 * len(list_distinct(w)) < 80 * len(w) AS b,
+         100 * (length(t) - length(regexp_replace(t, '[A-Z]+', '', 'g'))) > 10 * length(t) AS c,
+         regexp_matches(t, '[#$%&*|]') AS d,
+         coalesce(doc_id > first OR (doc_id IS NULL AND first IS NOT NULL), false) AS e
+  FROM (SELECT *, min(doc_id) OVER (PARTITION BY t) AS first FROM d)),
+known AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY 1),
+cells AS (
+  SELECT part, [a, b, c, d, e] AS fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic
+  FROM facts LEFT JOIN known USING (doc_id) GROUP BY 1, 2),
+letter AS (SELECT unnest([1, 2, 3, 4, 5]) AS f),
+orders AS (
+  SELECT [p.f, q.f, r.f, s.f, t.f] AS o FROM letter p, letter q, letter r, letter s, letter t
+  WHERE len(list_distinct([p.f, q.f, r.f, s.f, t.f])) = 5),
+steps AS (SELECT o, k, o[k] AS f, o[1:k - 1] AS before FROM orders, (SELECT unnest([1, 2, 3, 4, 5]) AS k)),
+shares AS (
+  SELECT *, fails[f] AS own, len(list_filter(before, lambda x: fails[x])) > 0 AS gone, len(list_filter(fails, lambda x: x)) = 1 AS alone
+  FROM steps, cells),
+sums AS (
+  SELECT part, o, k, f, coalesce(sum(n) FILTER (NOT own AND NOT gone), 0)::BIGINT AS kept,
+         coalesce(sum(n) FILTER (own AND NOT gone), 0)::BIGINT AS removed, coalesce(sum(n) FILTER (own AND gone), 0)::BIGINT AS redundant,
+         coalesce(sum(n) FILTER (own AND alone), 0)::BIGINT AS unique_fails,
+         coalesce(sum(good) FILTER (own AND NOT gone), 0)::BIGINT AS good_lost,
+         coalesce(sum(toxic) FILTER (own AND NOT gone), 0)::BIGINT AS toxic_lost
+  FROM shares GROUP BY 1, 2, 3, 4)
+SELECT part, array_to_string(list_transform(o, lambda x: chr((64 + x)::INT)), '') AS filter_order, k::INT AS step, kept, removed, redundant,
+       unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley
+FROM sums
+"""
+
+
 QUERIES: dict[str, Query] = {
     "op1_toxicity": op1_toxicity,
     "op2_decontaminate": op2_decontaminate,
@@ -139,5 +237,14 @@ QUERIES: dict[str, Query] = {
     "op8_sharding": op8_sharding,
     "op9_quality": op9_quality,
     "op10_bpe": op10_bpe,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_packing": op12_packing,
+    "op13_filter_audit": op13_filter_audit,
+}
+ORACLES: dict[str, str] = {
+    "op2_decontaminate": OP2_SQL,
+    "op5_suffixes": OP5_SQL,
+    "op7_exact_dedup": OP7_SQL,
+    "op11_vector_codes": OP11_SQL,
+    "op13_filter_audit": OP13_SQL,
 }
-ORACLES: dict[str, str] = {"op2_decontaminate": OP2_SQL, "op5_suffixes": OP5_SQL, "op7_exact_dedup": OP7_SQL}
