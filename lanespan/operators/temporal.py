@@ -12,9 +12,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lanespan.functions.ordered import block_of, running_total, with_halo, with_position
+from lanespan.functions.scan import block_entries
 from lanespan.operators.components import hysteresis
 from lanespan.operators.runs import checked_map, pixels_to_runs
-from lanespan.session import materialize
 
 SOURCE = ("group",)
 # Frames per block where whole maps are held together in memory.
@@ -63,8 +63,8 @@ def smooth(
     """Exponential smoothing of ``p`` per pixel, restarted at every scene reset.
 
     The recurrence is linear, so a block acts on the map before it as "weigh by a factor and add a map": the map is the
-    block's own fold from zero, the factor is zero after a reset. These pairs are combined over 1, 2, 4, ... blocks until
-    each block has the map it starts from; then every block is folded once more from there.
+    block's own fold from zero, the factor is zero after a reset. A tree over the blocks finds the map each block starts
+    from; then every block is folded once more from there. A block's map is written once.
     """
     if not 0 < alpha <= 1:
         raise ValueError("alpha must lie in (0, 1]")
@@ -93,27 +93,18 @@ def smooth(
         factor = F.when(r["was_reset"], F.lit(0.0)).otherwise(state["factor"] * (1 - alpha))
         return F.struct(mixed(r, state["map"]).alias("map"), factor.alias("factor"))
 
-    start = F.struct(none.alias("map"), F.lit(1.0).alias("factor"))
-    effect = F.aggregate("_rows", start, end)
-    ends = materialize(rows.select(*SOURCE, "_block", effect.alias("_e")).select(*SOURCE, "_block", "_e.*"))
-    longest = ends.groupBy(*SOURCE).agg((F.max("_block") - F.min("_block")).alias("n")).agg(F.max("n")).first()[0] or 0
-    step = 1
-    while step <= longest:
-        earlier = ends.select(*SOURCE, (F.col("_block") + step).alias("_block"), F.col("map").alias("_map"), F.col("factor").alias("_factor"))
-        joined = ends.join(earlier, [*SOURCE, "_block"], "left")
-        added = F.zip_with("map", "_map", lambda own, before: own + F.col("factor") * before)
+    begin = F.struct(none.alias("map"), F.lit(1.0).alias("factor"))
+    effects = rows.select(*SOURCE, "_block", F.aggregate("_rows", begin, end).alias("_element"))
+
+    def apply(effect: Column, last: Column) -> Column:
+        added = F.zip_with(effect["map"], last, lambda own, before: own + effect["factor"] * before)
         # After a reset the maps may differ in size, and nothing of the earlier one is left.
-        reaches = F.col("_map").isNotNull() & (F.col("factor") != 0)
-        ends = materialize(
-            joined.select(
-                *SOURCE,
-                "_block",
-                F.when(reaches, added).otherwise(F.col("map")).alias("map"),
-                (F.col("factor") * F.coalesce("_factor", F.lit(1.0))).alias("factor"),
-            )
-        )
-        step *= 2
-    entered = ends.select(*SOURCE, (F.col("_block") + 1).alias("_block"), F.col("map").alias("_last"))
+        return F.when(last.isNotNull() & (effect["factor"] != 0), added).otherwise(effect["map"])
+
+    def compose(first: Column, then: Column) -> Column:
+        return F.struct(apply(then, first["map"]).alias("map"), (first["factor"] * then["factor"]).alias("factor"))
+
+    entered = block_entries(effects, SOURCE, compose, apply, none, "array<double>").withColumnRenamed("_entry", "_last")
     done = F.array().cast(
         "array<struct<frame_idx:bigint,height:int,width:int,p_height:int,p_width:int,was_reset:boolean,p:array<double>>>"
     )

@@ -102,23 +102,28 @@ def branch_filter(spark, sf):
     )
 
 
-@query(
-    "suppress_duplicates",
-    v.sql(
-        v.DETECTIONS,
-        """ranked AS (SELECT *, CASE WHEN length = 0 THEN 0 ELSE (end_x - 128) / length END AS dx,
+SUPPRESSED = (
+    v.DETECTIONS,
+    """ranked AS (SELECT *, CASE WHEN length = 0 THEN 0 ELSE (end_x - 128) / length END AS dx,
     CASE WHEN length = 0 THEN -1 ELSE (end_y - 80) / length END AS dy,
     row_number() OVER (PARTITION BY "group", frame_idx ORDER BY area DESC, det_idx) AS r FROM detections)""",
-        """clashes AS (SELECT a."group", a.frame_idx, a.r, a.det_idx, list(b.r) FILTER (b.r IS NOT NULL) AS rivals
+    """clashes AS (SELECT a."group", a.frame_idx, a.r, a.det_idx, list(b.r) FILTER (b.r IS NOT NULL) AS rivals
   FROM ranked a LEFT JOIN ranked b ON b."group" = a."group" AND b.frame_idx = a.frame_idx AND b.r < a.r
     AND degrees(acos(greatest(-1.0, least(1.0, a.dx * b.dx + a.dy * b.dy)))) < 25 GROUP BY 1, 2, 3, 4)""",
-        """greedy AS (
+    """greedy AS (
   SELECT "group", frame_idx, r, [r] AS kept FROM clashes WHERE r = 1
   UNION ALL
   SELECT c."group", c.frame_idx, c.r, CASE WHEN list_has_any(g.kept, coalesce(c.rivals, [])) THEN g.kept ELSE list_append(g.kept, c.r) END
   FROM greedy g JOIN clashes c ON c."group" = g."group" AND c.frame_idx = g.frame_idx AND c.r = g.r + 1)""",
-        """final AS (SELECT "group", frame_idx, unnest(kept) AS r FROM greedy
+    """final AS (SELECT "group", frame_idx, unnest(kept) AS r FROM greedy
   QUALIFY row_number() OVER (PARTITION BY "group", frame_idx ORDER BY greedy.r DESC) = 1)""",
+)
+
+
+@query(
+    "suppress_duplicates",
+    v.sql(
+        *SUPPRESSED,
         body="""SELECT "group", frame_idx, det_idx::INT AS det_idx FROM final JOIN ranked USING ("group", frame_idx, r)""",
         recursive=True,
     ),
@@ -136,12 +141,79 @@ def _tracked(spark, sf):
 TRACK_COLUMNS = ("group", "frame_idx", "track_id", "det_idx", "state", "confirmed", "confirmation_count", "missed_frames")
 
 
-@query("track_branches")
+# A source's live tracks are a list that each frame turns into the next one. Pairs are taken by cost: the fold's first element holds the
+# pairs taken so far. ``after`` has the tracks of a frame, dead ones last time; ``main`` follows the best one seen.
+FRAME_STEP = """shown AS (
+  SELECT "group", frame_idx, list({'d': det_idx::INT, 'ex': end_x, 'ey': end_y, 'dx': dx, 'dy': dy, 'area': area,
+    'hx': CASE WHEN hyp > 0 THEN (end_x - 128) / hyp ELSE 0 END, 'hy': CASE WHEN hyp > 0 THEN (end_y - 114) / hyp ELSE -1 END} ORDER BY r) AS dets
+  FROM (SELECT *, sqrt((end_x - 128) * (end_x - 128) + (end_y - 114) * (end_y - 114)) AS hyp FROM final JOIN ranked USING ("group", frame_idx, r))
+  GROUP BY 1, 2),
+days AS (SELECT least(min(frame_idx), 0) AS first, max(frame_idx) AS last FROM detections),
+observed AS (
+  SELECT "group", frame_idx, coalesce(dets, []) AS dets
+  FROM (SELECT "group", unnest(generate_series(first, last)) AS frame_idx FROM (SELECT DISTINCT "group" FROM detections), days)
+  LEFT JOIN shown USING ("group", frame_idx)),
+tracked AS (
+  SELECT DISTINCT "group", first - 1 AS frame_idx, 1::BIGINT AS next_id,
+    []::STRUCT(id BIGINT, n INT, ok BOOLEAN, missed INT, det STRUCT(d INT, ex DOUBLE, ey DOUBLE, dx DOUBLE, dy DOUBLE, area DOUBLE, hx DOUBLE, hy DOUBLE))[] AS after,
+    NULL::BIGINT AS followed, 0::DOUBLE AS hx, (-1)::DOUBLE AS hy, NULL::BIGINT AS main_id
+  FROM detections, days
+  UNION ALL
+  SELECT "group", frame_idx, next_id + len(fresh), list_concat(moved, fresh) AS after,
+    coalesce(best.id, followed), coalesce(best.det.hx, hx), coalesce(best.det.hy, hy),
+    CASE WHEN best IS NOT NULL THEN best.id WHEN len(list_filter(moved, lambda t: t.id = followed AND t.missed <= 2)) > 0 THEN followed END
+  FROM (
+    SELECT *, list_sort(list_transform(list_filter(list_concat(moved, fresh), lambda t: t.missed = 0),
+        lambda t: {'s': -(t.det.hx * hx + t.det.hy * hy + CASE WHEN t.id IS NOT DISTINCT FROM followed THEN 0.3::DOUBLE ELSE 0::DOUBLE END
+                          + 0.05::DOUBLE * ln(1 + t.det.area)), 'd': t.det.d, 't': t}))[1].t AS best
+    FROM (
+      SELECT *, list_transform(live, lambda t, i: CASE
+          WHEN len(list_filter(taken, lambda p: p.i = i)) = 0 THEN {'id': t.id, 'n': 0, 'ok': t.ok, 'missed': t.missed + 1, 'det': t.det}
+          ELSE {'id': t.id, 'n': CASE WHEN t.missed = 0 THEN t.n + 1 ELSE 1 END, 'ok': t.ok OR (t.missed = 0 AND t.n + 1 >= 3), 'missed': 0,
+                'det': dets[list_filter(taken, lambda p: p.i = i)[1].j]} END) AS moved,
+        list_transform(list_filter(list_transform(dets, lambda d, j: {'j': j, 'd': d}), lambda x: len(list_filter(taken, lambda p: p.j = x.j)) = 0),
+          lambda x, k: {'id': next_id + k - 1, 'n': 1, 'ok': false, 'missed': 0, 'det': x.d}) AS fresh
+      FROM (
+        SELECT *, list_reduce(list_concat([{'c': -1::DOUBLE, 'i': 0, 'j': 0, 'held': []::STRUCT(i BIGINT, j BIGINT)[]}],
+            list_sort(list_filter(pairs, lambda p: p.c IS NOT NULL))),
+          lambda a, p: CASE WHEN len(list_filter(a.held, lambda h: h.i = p.i OR h.j = p.j)) > 0 THEN a
+            ELSE {'c': a.c, 'i': a.i, 'j': a.j, 'held': list_append(a.held, {'i': p.i, 'j': p.j})} END).held AS taken
+        FROM (
+          SELECT *, flatten(list_transform(live, lambda t, i: list_transform(dets, lambda d, j: {
+              'c': CASE WHEN sqrt((t.det.ex - d.ex) ** 2 + (t.det.ey - d.ey) ** 2) / 256 <= 0.18::DOUBLE
+                     AND 1 - greatest(-1::DOUBLE, least(1::DOUBLE, t.det.dx * d.dx + t.det.dy * d.dy)) < 0.8::DOUBLE
+                   THEN sqrt((t.det.ex - d.ex) ** 2 + (t.det.ey - d.ey) ** 2) / 256
+                     + 0.12::DOUBLE * (1 - greatest(-1::DOUBLE, least(1::DOUBLE, t.det.dx * d.dx + t.det.dy * d.dy))) END,
+              'i': i, 'j': j, 'held': []::STRUCT(i BIGINT, j BIGINT)[]}))) AS pairs
+          FROM (
+            SELECT o."group", o.frame_idx, o.dets, s.next_id, s.followed, s.hx, s.hy, list_filter(s.after, lambda t: t.missed <= 2) AS live
+            FROM tracked s JOIN observed o ON o."group" = s."group" AND o.frame_idx = s.frame_idx + 1)))))),
+track_rows AS (
+  SELECT "group", frame_idx, main_id, t.id AS track_id, t.det.d AS det_idx,
+    CASE WHEN t.missed > 2 THEN 'removed' WHEN t.missed > 0 THEN 'missing' WHEN t.ok THEN 'confirmed' ELSE 'candidate' END AS state,
+    t.ok AS confirmed, t.n AS confirmation_count, t.missed AS missed_frames
+  FROM (SELECT "group", frame_idx, main_id, unnest(after) AS t FROM tracked))"""
+
+
+def tracked_sql(body: str) -> str:
+    return v.sql(*SUPPRESSED, FRAME_STEP, body=body, recursive=True)
+
+
+def routes_sql(shown: str) -> str:
+    return tracked_sql(
+        f"""SELECT "group", frame_idx, track_id, state, coalesce(track_id = main_id, false) AS is_main FROM track_rows WHERE {shown}"""
+    )
+
+
+TRACK_LIST = ", ".join(f'"{c}"' for c in TRACK_COLUMNS)
+
+
+@query("track_branches", tracked_sql(f"SELECT {TRACK_LIST} FROM track_rows"))
 def track_branches(spark, sf):
     return _tracked(spark, sf).select(*TRACK_COLUMNS)
 
 
-@query("choose_main")
+@query("choose_main", tracked_sql("""SELECT "group", frame_idx, main_id FROM tracked WHERE len(after) > 0"""))
 def choose_main(spark, sf):
     return tracks.choose_main(_tracked(spark, sf))
 
@@ -152,12 +224,12 @@ def _routes(spark, sf, mode):
     return shown.select("group", "frame_idx", "track_id", "state", "is_main")
 
 
-@query("visible_routes")
+@query("visible_routes", routes_sql("coalesce(track_id = main_id, false) OR (confirmed AND state <> 'removed')"))
 def visible_routes(spark, sf):
     return _routes(spark, sf, "all")
 
 
-@query("main_routes")
+@query("main_routes", routes_sql("track_id = main_id"))
 def main_routes(spark, sf):
     return _routes(spark, sf, "main")
 
@@ -280,7 +352,7 @@ def camera_stream(spark, sf):
     return camera_totals(spark.read.parquet(kept_path), spark.read.parquet(ledger_path))
 
 
-@query("track_stream")
+@query("track_stream", tracked_sql(f"SELECT {TRACK_LIST}, main_id FROM track_rows"))
 def track_stream_query(spark, sf):
     """Tracks from a stream of observations arriving week by week, equal to the batch result.
 
@@ -291,8 +363,8 @@ def track_stream_query(spark, sf):
     observed = materialize(
         tracks.suppress_near_duplicates(v.observations(spark, sf)).withColumn("run_id", F.lit("live"))
     )
-    last = observed.agg(F.max("frame_idx")).first()[0] or 0
-    for first in range(0, last + 1, 8):
+    begin, last = (day or 0 for day in observed.agg(F.min("frame_idx"), F.max("frame_idx")).first())
+    for first in range(begin, last + 1, 8):
         week = observed.filter(F.col("frame_idx").between(first, first + 7))
         week.repartition("group").write.mode("append").parquet(f"{folder}/in")
     live = stream_frames(spark, observed.schema, f"{folder}/in", files_per_trigger=64)

@@ -297,6 +297,48 @@ def test_cutting_a_source_does_not_change_its_tracks(spark):
         assert flat(joined) == sequential(frames, resets)
 
 
+def busy_frames(n, seed):
+    """Never blank for long enough to lose all tracks: slow branches, some of them missed now and then, and some noise."""
+    rng = np.random.default_rng(seed)
+    frames, ends = [], rng.uniform(10, 118, (4, 2)) * (1, 0.3)
+    for _ in range(n):
+        ends = np.clip(ends + rng.normal(0, 2.5, ends.shape), 1, (127, 38))
+        ends[rng.random(4) < 0.01] = rng.uniform(5, 38, 2)
+        seen = [tuple(e) for e in ends[rng.random(4) < 0.85]] or [tuple(ends[0])]
+        frames.append([branch(j, e, area=float(rng.integers(1, 900))) for j, e in enumerate(seen)])
+    return frames
+
+
+@pytest.mark.parametrize("size", [7, 64, 4096])
+def test_blocks_start_from_a_guess_and_end_as_one_run(spark, size):
+    frames, resets = busy_frames(600, 5), {150}
+    found = tracks.track_branches(observe(spark, frames, resets), block=size)
+    joined = found.join(tracks.choose_main(found, min(size, 256)), ["group", "frame_idx"])
+    assert flat(joined) == sequential(frames, resets)
+
+
+def test_wrong_guesses_are_run_again(spark, monkeypatch):
+    """Without frames to guess from every block with live tracks is wrong at first."""
+    monkeypatch.setattr(tracks, "WARMUP", 1)
+    frames = busy_frames(120, 9)
+    assert flat_tracks(tracks.track_branches(observe(spark, frames), block=11)) == [r[:-1] for r in sequential(frames, ())]
+
+
+def flat_tracks(df):
+    names = ("frame_idx", "track_id", "state", "confirmation_count", "missed_frames", "det_idx")
+    return sorted((tuple(r[n] for n in names) for r in df.select(*names).collect()), key=repr)
+
+
+def test_confirmed_flags_over_block_borders(spark):
+    frames = busy_frames(90, 2)
+    tracker, expected = tracks.Tracker(tracks.GeometryConfig(confirm_frames=6)), {}
+    for i, dets in enumerate(frames):
+        for t in tracker.step([dict(zip(tracks._FIELDS, d)) for d in dets], 115, 128):
+            expected[i, t["track_id"]] = t["confirmed"]
+    found = tracks.track_branches(observe(spark, frames), tracks.GeometryConfig(confirm_frames=6), block=4)
+    assert {(r.frame_idx, r.track_id): r.confirmed for r in found.collect()} == expected
+
+
 def test_track_stream_equals_sequential_run(spark, feed):
     build, run, _ = feed
     frames, resets = random_frames(50, 8), {20}
