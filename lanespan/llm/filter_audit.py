@@ -66,7 +66,7 @@ def _bit(letter: Column) -> Column:
 def cells(failed: DataFrame, labels: DataFrame) -> DataFrame:
     """``part, mask, n, good, toxic``: documents with a mask, and those of them labelled good or toxic.
 
-    An id that has several labels is good (toxic) when any of them says so. Rows are counted by id before they meet the labels, so
+    An id that has several labels is good (toxic) when any of them says so; a null id has none. Rows are counted by id before they meet the labels, so
     an id that very many rows share is one row by then.
     """
     by_id = failed.groupBy("doc_id", "part", "mask").agg(F.count("*").alias("n"))

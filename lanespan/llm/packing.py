@@ -14,6 +14,8 @@ Pieces of a length are alike to the plan. Spark ranks them within their length,
 
 from __future__ import annotations
 
+import itertools
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -38,61 +40,111 @@ ROOMS, REGROUPINGS = (2, 8, 24, CAPACITY), 4
 #: Lanes in which the pieces of one length are ranked.
 LANES = 256
 #: Bytes of a document that are looked at together, and words a process remembers.
-SLICE, REMEMBERED = 1 << 20, 400_000
+SLICE, REMEMBERED = 1 << 20, 800_000
 BLANK = re.compile(rb"[ \t\n\x0b\x0c\r]")
 
 
 # ---------------------------------------------------------------- tokens
 
 
+#: A character that is a word and one id of its own.
+BETWEEN = "\x1f"
+
+
+class _Slots(dict):
+    """Numbers of words in the order in which they were met; ``new`` has those whose ids are not known yet."""
+
+    def __init__(self):
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = slot = len(self)
+        self.new.append(word)
+        return slot
+
+
 class WordCodec:
-    """Ids of texts by the tokenizers library, called once for each run of characters between blanks.
+    """Ids of texts by the tokenizers library, called once for each word.
 
-    The vocabulary drops white space and no rule of it reaches over a blank, so a text's ids are those of its runs one after
-    another. Memory holds the runs met so far, up to a limit, and one slice of a text.
+    The vocabulary drops white space, and no rule of it reaches over a blank or over a border between an ASCII letter or digit
+    and an ASCII mark other than an apostrophe. So a text's ids are those of its words one after another. Memory holds the
+    words met so far, up to a limit, and one slice of text.
     """
 
     def __init__(self, path: str):
+        # A task has one core.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        (self.between,) = self.tokenizer.encode(BETWEEN, add_special_tokens=False).ids
         self.clear()
 
     def clear(self) -> None:
-        self.slots: dict[bytes, int] = {}
+        self.slots = _Slots()
         self.starts, self.lengths, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
-    def _learn(self, words: list[bytes]) -> None:
-        ids = [e.ids for e in self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)]
-        lengths = np.array([len(x) for x in ids], np.int64)
-        self.slots.update(zip(words, range(len(self.starts), len(self.starts) + len(words)), strict=True))
+    def _learn(self) -> None:
+        """Ids of the words that were met for the first time; all in one text, with a word between them that none of them contains."""
+        words = [w.decode("utf-8", "replace") for w in self.slots.new]
+        alone = [k for k, w in enumerate(words) if BETWEEN in w]
+        text = f" {BETWEEN} ".join("" if BETWEEN in w else w for w in words)
+        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+        ends = np.flatnonzero(ids == self.between)
+        lengths = np.diff(np.r_[-1, ends, len(ids)]) - 1
+        ids = ids[ids != self.between]
+        if alone:
+            pieces = np.split(ids, np.cumsum(lengths)[:-1])
+            for k in alone:
+                pieces[k] = np.array(self.tokenizer.encode(words[k], add_special_tokens=False).ids, np.uint32)
+            ids, lengths = np.concatenate(pieces), np.array([len(x) for x in pieces], np.int64)
         self.starts = np.r_[self.starts, len(self.flat) + np.cumsum(lengths) - lengths]
         self.lengths = np.r_[self.lengths, lengths]
-        self.flat = np.r_[self.flat, np.array([k for x in ids for k in x], np.uint32)]
-
-    def _slice(self, text: bytes) -> np.ndarray:
-        words = text.split()
-        slots = list(map(self.slots.get, words))
-        if None in slots:
-            if len(self.slots) > REMEMBERED:
-                self.clear()
-            self._learn([w for w in dict.fromkeys(words) if w not in self.slots])
-            slots = list(map(self.slots.get, words))
-        at = np.array(slots, np.int64)
+        self.flat = np.r_[self.flat, ids]
+        self.slots.new.clear()
+
+    def words(self, text: bytes) -> list[bytes]:
+        if any(token in text.lower() for token in self.special):
+            return text.split()
+        data = np.frombuffer(text.lower(), np.uint8)
+        kinds = KINDS[data]
+        borders = np.flatnonzero(kinds[1:] + kinds[:-1] == LETTER + MARK) + 1
+        return (np.insert(data, borders, 0x20).tobytes() if len(borders) else text.lower()).split()
+
+    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Ids of each of some texts, or of parts of texts that were cut at blanks."""
+        if len(self.slots) > REMEMBERED:
+            self.clear()
+        split = [self.words(t) for t in texts]
+        at = np.fromiter(map(self.slots.__getitem__, itertools.chain.from_iterable(split)), np.int64, sum(map(len, split)))
+        if self.slots.new:
+            self._learn()
         counts = self.lengths[at]
-        total = int(counts.sum())
-        steps = np.arange(total) - np.repeat(np.cumsum(counts) - counts, counts)
-        return self.flat[np.repeat(self.starts[at], counts) + steps]
-
-    def encode(self, text: bytes) -> np.ndarray:
-        """Ids of a whole text."""
-        parts, lo = [], 0
-        while lo < len(text):
-            cut = BLANK.search(text, lo + SLICE) if lo + SLICE < len(text) else None
-            hi = cut.start() if cut else len(text)
-            parts.append(self._slice(text[lo:hi]))
-            lo = hi
-        return np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+        begins = np.r_[0, np.cumsum(counts)]
+        steps = np.arange(begins[-1]) - np.repeat(begins[:-1], counts)
+        flat = self.flat[np.repeat(self.starts[at], counts) + steps]
+        ends = begins[np.cumsum([len(own) for own in split])] if split else []
+        return np.split(flat, ends[:-1]) if split else []
+
+
+#: Kinds of bytes that matter for borders; blanks, apostrophes, control characters and bytes of other characters are none.
+LETTER, MARK = 1, 2
+KINDS = np.zeros(256, np.uint8)
+KINDS[[b for b in range(128) if chr(b).isalnum()]] = LETTER
+KINDS[[b for b in range(33, 127) if not chr(b).isalnum() and chr(b) != "'"]] = MARK
+
+
+def parts(text: bytes) -> Iterator[bytes]:
+    """A text cut at blanks into parts of about a slice; an empty text is one part."""
+    lo = 0
+    while lo + SLICE < len(text):
+        cut = BLANK.search(text, lo + SLICE)
+        if not cut:
+            break
+        yield text[lo : cut.start()]
+        lo = cut.start()
+    yield text[lo:]
 
 
 _codecs: dict[str, WordCodec] = {}
@@ -130,16 +182,28 @@ def pieces(docs: DataFrame, path: str = VOCABULARY, capacity: int = CAPACITY) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
         for batch in batches:
-            rows, held = [], 0
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                ids = np.append(own.encode(text.as_py()), np.uint32(END))
-                rows.append((doc_id, ids))
-                held += len(ids)
-                if held > SLICE:
-                    yield table(rows)
-                    rows, held = [], 0
-            if rows:
-                yield table(rows)
+            names, held, waiting, size = batch.column("doc_id").to_pylist(), {}, [], 0
+            for row, text in enumerate(batch.column("text")):
+                for part in parts(text.as_py()):
+                    waiting.append((row, part))
+                    size += len(part)
+                    if size < SLICE:
+                        continue
+                    keep(held, waiting, own)
+                    waiting, size = [], 0
+                    if len(held) > 1:
+                        # The last document may go on in the next slice.
+                        yield table([(names[k], whole(held.pop(k))) for k in sorted(held)[:-1]])
+            keep(held, waiting, own)
+            if held:
+                yield table([(names[k], whole(held[k])) for k in sorted(held)])
+
+    def keep(held: dict[int, list[np.ndarray]], waiting: list[tuple[int, bytes]], own: WordCodec) -> None:
+        for (row, _), ids in zip(waiting, own.encode([part for _, part in waiting]), strict=True):
+            held.setdefault(row, []).append(ids)
+
+    def whole(found: list[np.ndarray]) -> np.ndarray:
+        return np.concatenate([*found, np.array([END], np.uint32)])
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_bytes().alias("text")).mapInArrow(run, schema)
 

@@ -24,8 +24,8 @@ def fails(doc_id, text, texts):
 
 def plain(docs, labels):
     """Rows of the audit; ``docs`` are (doc_id, text, lang)."""
-    good = {i for i, q, _ in labels if q == 1}
-    toxic = {i for i, _, t in labels if t == 1}
+    good = {i for i, q, _ in labels if q == 1 and i is not None}
+    toxic = {i for i, _, t in labels if t == 1 and i is not None}
     texts = [(i, t) for i, t, _ in docs]
     judged = [(i, lang or "", fails(i, t, texts)) for i, t, lang in docs]
     out, shares = {}, Counter()

@@ -77,14 +77,35 @@ def test_every_character_between_blanks(library):
     codec = packing.WordCodec(packing.VOCABULARY)
     for lo in range(0, 0x3400, 16):
         text = "a ".join(f"{chr(c)}b C{chr(c)} \t{chr(c)}" for c in range(lo, lo + 16))
-        assert codec.encode(text.encode()).tolist() == library(text), hex(lo)
+        assert codec.encode([text.encode()])[0].tolist() == library(text), hex(lo)
+
+
+def test_borders_inside_words(library):
+    """Any neighbours of letters, digits, marks, apostrophes and other characters, in every order of four."""
+    rng = np.random.default_rng(4)
+    signs = list("aZs0't!-<|>_~$é́… \x7f") + ["'ll", "'RE", "İ", "<|endoftext|>", "<|ENDOFTEXT|>", "\x1c", "\x1f", " \x1f "]
+    codec = packing.WordCodec(packing.VOCABULARY)
+    texts = ["".join(rng.choice(signs, 60)) for _ in range(2000)]
+    for text, ids in zip(texts, codec.encode([t.encode() for t in texts]), strict=True):
+        assert ids.tolist() == library(text), repr(text)
 
 
 def test_slices_of_a_long_text(library, monkeypatch):
     monkeypatch.setattr(packing, "SLICE", 64)
     monkeypatch.setattr(packing, "REMEMBERED", 20)
     text = " ".join(f"word{k % 97} it's\n{k}" for k in range(2000)) + "x" * 500
-    assert packing.WordCodec(packing.VOCABULARY).encode(text.encode()).tolist() == library(text)
+    codec = packing.WordCodec(packing.VOCABULARY)
+    cut = list(packing.parts(text.encode()))
+    assert len(cut) > 50 and b"".join(cut) == text.encode()
+    assert np.concatenate([codec.encode([part])[0] for part in cut]).tolist() == library(text)
+    assert list(packing.parts(b"")) == [b""] and codec.encode([]) == []
+
+
+def test_documents_over_several_slices(spark, make_docs, library, monkeypatch):
+    texts = ["one two " * 30, "", "x " * 500, None, "short", "y " * 90]
+    monkeypatch.setattr(packing, "SLICE", 100)
+    rows = packing.pack(make_docs(texts).coalesce(1)).collect()
+    check(rows, dict(enumerate(texts)), library)
 
 
 @pytest.mark.parametrize("low, high, n", [(1, 2049, 400), (257, 900, 400), (600, 1100, 300), (1, 30, 3000), (1, 2, 5000), (700, 720, 100), (2048, 2049, 9)])
