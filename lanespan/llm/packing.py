@@ -40,7 +40,7 @@ ROOMS, REGROUPINGS = (2, 8, 24, CAPACITY), 4
 #: Lanes in which the pieces of one length are ranked.
 LANES = 256
 #: Bytes of a document that are looked at together, and words a process remembers.
-SLICE, REMEMBERED = 1 << 20, 800_000
+SLICE, REMEMBERED = 1 << 20, 500_000
 BLANK = re.compile(rb"[ \t\n\x0b\x0c\r]")
 
 
@@ -158,11 +158,11 @@ def codec(path: str) -> WordCodec:
 
 
 def pieces(docs: DataFrame, path: str = VOCABULARY, capacity: int = CAPACITY) -> DataFrame:
-    """``doc_id, piece, start, length, ids`` of every document: its ids and the end id, cut where it is longer than a sequence.
+    """``doc_id, piece, start, length, ids_crc32, ids`` of every document: its ids and the end id, cut where it is longer than a sequence.
 
-    Null counts as empty and is the end id alone.
+    Null counts as empty and is the end id alone. The CRC-32 is that of the ids as little-endian unsigned 32-bit numbers.
     """
-    schema = "doc_id bigint, piece int, start bigint, length int, ids array<int>"
+    schema = "doc_id bigint, piece int, start bigint, length int, ids_crc32 bigint, ids array<int>"
 
     def table(rows: list[tuple[int | None, np.ndarray]]) -> pa.RecordBatch:
         ids, names, numbers, starts, lengths = [], [], [], [], []
@@ -176,8 +176,9 @@ def pieces(docs: DataFrame, path: str = VOCABULARY, capacity: int = CAPACITY) ->
                 lengths.append(len(part))
         offsets = np.r_[0, np.cumsum(lengths)].astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids).astype(np.int32)))
-        columns = [pa.array(names, pa.int64()), pa.array(numbers, pa.int32()), pa.array(starts, pa.int64()), pa.array(lengths, pa.int32()), lists]
-        return pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids"])
+        sums = pa.array([zlib.crc32(part.astype("<u4")) for part in ids], pa.int64())
+        columns = [pa.array(names, pa.int64()), pa.array(numbers, pa.int32()), pa.array(starts, pa.int64()), pa.array(lengths, pa.int32()), sums, lists]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32", "ids"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
@@ -426,8 +427,10 @@ def _placed(length: Column, rank: Column, places: Places) -> Column:
     return run(length, rank)
 
 
-def pack(docs: DataFrame, path: str = VOCABULARY, capacity: int = CAPACITY) -> DataFrame:
-    """``doc_id, piece, start, length, ids, sequence_id, offset`` of every piece of every document.
+def pack(docs: DataFrame, path: str = VOCABULARY, capacity: int = CAPACITY, ids: bool = True) -> DataFrame:
+    """``doc_id, piece, start, length, ids_crc32, ids, sequence_id, offset`` of every piece of every document.
+
+    With ``ids`` false the ids stay in the written table: they are neither shuffled nor returned.
 
     Only documents longer than a sequence are cut. Null text counts as empty; a null ``doc_id`` and repeated rows are documents like any
     other. An empty table gives no rows. Pieces of a length are ranked in lanes by where they lie in the written table, so that
@@ -439,28 +442,18 @@ def pack(docs: DataFrame, path: str = VOCABULARY, capacity: int = CAPACITY) -> D
         counts[row.length] = row.n
     places = Places.of(plan(counts, capacity))
     where = [F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row")]
-    lanes = cut.select("*", *where).withColumn("lane", F.pmod(F.xxhash64("file", "row"), F.lit(LANES)))
+    lanes = (cut if ids else cut.drop("ids")).select("*", *where).withColumn("lane", F.pmod(F.xxhash64("file", "row"), F.lit(LANES)))
     light = lanes.groupBy("length", "lane").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("lane").rowsBetween(Window.unboundedPreceding, -1)
     begins = light.select("length", "lane", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier"))
     inside = Window.partitionBy("length", "lane").orderBy("file", "row")
     ranked = lanes.withColumn("rank", F.row_number().over(inside) - 1).join(begins, ["length", "lane"])
     place = _placed(F.col("length"), F.col("earlier") + F.col("rank"), places)
-    return ranked.withColumn("at", place).select("doc_id", "piece", "start", "length", "ids", "at.sequence_id", "at.offset")
+    carried = [c for c in cut.columns if ids or c != "ids"]
+    return ranked.withColumn("at", place).select(*carried, "at.sequence_id", "at.offset")
 
 
 def sequences(packed: DataFrame) -> DataFrame:
     """``sequence_id, ids`` of each sequence; no more than a sequence's ids come together."""
     own = F.sort_array(F.collect_list(F.struct("offset", "ids")))
     return packed.groupBy("sequence_id").agg(F.flatten(F.transform(own, lambda s: s["ids"])).alias("ids"))
-
-
-def ids_crc32(ids: str = "ids") -> Column:
-    """Unsigned CRC-32 of a list of ids as little-endian unsigned 32-bit numbers."""
-
-    @arrow_udf("bigint")
-    def run(column: pa.Array) -> pa.Array:
-        offsets, flat = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False).astype("<u4")
-        return pa.array([zlib.crc32(flat[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], pa.int64())
-
-    return run(F.col(ids))

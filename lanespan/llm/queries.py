@@ -182,8 +182,8 @@ OP11_SQL = (
 
 
 def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = packing.pack(documents(spark, sf_dir))
-    return packed.select("doc_id", "piece", "start", F.col("length").cast("bigint").alias("length"), packing.ids_crc32().alias("ids_crc32"), "sequence_id", "offset")
+    packed = packing.pack(documents(spark, sf_dir), ids=False)
+    return packed.withColumn("length", F.col("length").cast("bigint"))
 
 
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:

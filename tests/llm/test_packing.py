@@ -144,9 +144,9 @@ def test_groups_have_equal_numbers():
 def test_sequences_and_digests(spark, make_docs):
     packed = packing.pack(make_docs(["one two three", "four", None, "five six"] * 5)).cache()
     (whole,) = packing.sequences(packed).collect()
-    rows = packed.withColumn("crc", packing.ids_crc32()).collect()
+    rows = packed.collect()
     assert len(whole.ids) == sum(r.length for r in rows)
     for r in rows:
         assert whole.ids[r.offset : r.offset + r.length] == list(r.ids)
-        assert r.crc == zlib.crc32(np.array(r.ids, "<u4").tobytes())
+        assert r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes())
     assert packed.agg(F.sum("length")).first()[0] == len(whole.ids)
