@@ -47,7 +47,8 @@ class Network:
         pooled = np.maximum.reduceat(maxima[chunk.ravel()], np.arange(0, chunk.size, CHUNK))
         n = np.bincount(owner, minlength=len(offsets) - 1)
         mean = np.add.reduceat(pooled, np.r_[0, np.cumsum(n)[:-1]]) / n[:, None]
-        return 1 / (1 + np.exp(-np.clip(mean @ self.out + self.shift, -30, 30)))
+        # Sums go along a document's own row: a product over all documents may round one of them by where it stands.
+        return 1 / (1 + np.exp(-np.clip((mean * self.out).sum(axis=1) + self.shift, -30, 30)))
 
     def block_maxima(self, blocks: np.ndarray, last: np.ndarray) -> np.ndarray:
         """Largest response of each filter in each block; windows at a block's end reach into the next one, but not over a document's ``last``."""
@@ -55,8 +56,8 @@ class Network:
         positions = (len(blocks) - (WIDTH - STRIDE)) // STRIDE
         item = spread.itemsize * DEPTH
         views = np.lib.stride_tricks.as_strided(spread, (positions, WIDTH * DEPTH), (item * STRIDE, spread.itemsize))
-        response = np.ascontiguousarray(views) @ self.filters
-        response = response.reshape(-1, BLOCK // STRIDE, FILTERS)
+        # One product of the same shape per block, so that a block's responses do not depend on its neighbours.
+        response = np.ascontiguousarray(views).reshape(-1, BLOCK // STRIDE, WIDTH * DEPTH) @ self.filters
         response[last, 1 - WIDTH // STRIDE :] = -np.inf
         return np.maximum(response.max(axis=1) + self.bias, 0)
 
