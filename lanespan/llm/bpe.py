@@ -3,13 +3,15 @@
 The symbols of many words lie in one flat array. In each round every word finds the lowest rank among its neighbouring pairs
 - ranks come from a binary search over the sorted keys of all merges - and merges all pairs of that rank, the leftmost
 first where they overlap. A merged symbol only makes pairs of a higher rank, so a round equals the same merges one by one.
-Words without a pair left leave the array.
+Words without a pair left leave the array. A very long word would take a round for each of its many ranks; it goes through a queue of
+its pairs instead.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
+import heapq
 import json
 from collections.abc import Iterator
 
@@ -26,6 +28,8 @@ VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 NO_PAIR = np.int64(1 << 40)
 #: Bytes of text whose words are split at a time.
 SLICE = 2 << 20
+#: Bytes of a word that is merged by itself.
+LONG = 1024
 
 
 def byte_alphabet() -> list[str]:
@@ -49,6 +53,7 @@ class Vocabulary:
         order = np.argsort(keys)
         self.keys, self.ranks = keys[order], order.astype(np.int64)
         self.merged = np.array([ids[a + b] for a, b in pairs], np.int64)  # by rank
+        self.rank_of: dict[int, int] | None = None  # for long words, made when one comes
         self.special = {t["content"]: t["id"] for t in content["added_tokens"]}
         self.special_token, self.special_id = next(iter(self.special.items()), ("", 0))
         byte_of = {c: b for b, c in enumerate(alphabet)}
@@ -67,6 +72,9 @@ class Vocabulary:
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words in one array, and the number of ids of each word."""
         raw = [w.encode("utf-8", "replace") for w in words]
+        long = [k for k, r in enumerate(raw) if len(r) > LONG]
+        if long:
+            return self._with_long(words, raw, long)
         sizes = np.array([len(r) for r in raw], np.int64)
         symbols = self.byte_ids[np.frombuffer(b"".join(raw), np.uint8)]
         word = np.repeat(np.arange(len(raw)), sizes)
@@ -113,6 +121,44 @@ class Vocabulary:
         order = np.argsort(owner, kind="stable")
         return flat[order], np.bincount(owner, minlength=len(raw)).astype(np.int64)
 
+    def _with_long(self, words: list[str], raw: list[bytes], long: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        flat, lengths = self.encode_words(["" if len(r) > LONG else w for w, r in zip(words, raw, strict=True)])
+        pieces = np.split(flat, np.cumsum(lengths)[:-1])
+        for k in long:
+            pieces[k] = self._merge_by_queue(self.byte_ids[np.frombuffer(raw[k], np.uint8)])
+        return np.concatenate(pieces), np.array([len(p) for p in pieces], np.int64)
+
+    def _merge_by_queue(self, symbols: np.ndarray) -> np.ndarray:
+        """Ids of one word: the pair of lowest rank, the leftmost first, is merged again and again."""
+        ranks = self.rank(symbols[:-1], symbols[1:])
+        queue = [(r, k) for k, r in enumerate(ranks.tolist()) if r < NO_PAIR]
+        heapq.heapify(queue)
+        ids, n = symbols.tolist(), len(symbols)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        if self.rank_of is None:
+            self.rank_of = dict(zip(self.keys.tolist(), self.ranks.tolist(), strict=True))
+        rank_of, merged = self.rank_of.get, self.merged.tolist()
+        while queue:
+            rank, k = heapq.heappop(queue)
+            right = after[k]
+            # An entry counts only if its pair is still there.
+            if ids[k] < 0 or right >= n or rank_of(ids[k] << 32 | ids[right]) != rank:
+                continue
+            ids[k], ids[right] = merged[rank], -1
+            beyond = after[k] = after[right]
+            if beyond < n:
+                before[beyond] = k
+                found = rank_of(ids[k] << 32 | ids[beyond])
+                if found is not None:
+                    heapq.heappush(queue, (found, k))
+            left = before[k]
+            if left >= 0:
+                found = rank_of(ids[left] << 32 | ids[k])
+                if found is not None:
+                    heapq.heappush(queue, (found, left))
+        out = np.array(ids, np.int64)
+        return out[out >= 0]
+
     def decode(self, ids: np.ndarray) -> bytes:
         """Bytes of a row of ids, special tokens included."""
         return b"".join([self.pieces[k] for k in ids.tolist()])

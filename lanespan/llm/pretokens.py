@@ -9,18 +9,24 @@ any work of their own.
 from __future__ import annotations
 
 import functools
+import hashlib
+import os
 import unicodedata
 from collections.abc import Callable
 
 import numpy as np
+from tokenizers.pre_tokenizers import ByteLevel
 
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
 #: White space of Unicode.
 WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 #: Letters after an apostrophe that make a contraction.
 SHORT, LONG = ("s", "t", "m", "d"), ("re", "ve", "ll")
-RADIX = np.uint64(0x9E3779B97F4A7C15)
-INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+RADIX = 0x9E3779B97F4A7C15
+#: Radix of the words' hashes; it differs from process to process, so that no text can be made to collide.
+SECRET = int.from_bytes(os.urandom(8), "little") | 1
+#: Longer words get a cryptographic hash: powers of a radix modulo 2^64 are weak over long distances.
+LONG_WORD = 32
 
 
 @functools.cache
@@ -32,24 +38,42 @@ def character_classes() -> np.ndarray:
         if kind is not None:
             table[c] = kind
     table[WHITE] = SPACE
+    for c in _newer_characters():
+        table[c[0] : c[1]] = c[2]
     return table
 
 
+def _newer_characters() -> list[tuple[int, int, int]]:
+    """Ranges of letters and numbers, with their class, among the characters that Python's tables do not have yet.
+
+    The tokenizers library may know a later Unicode version; its own splitter is asked: neighbours of one class stay together.
+    """
+    split = ByteLevel(add_prefix_space=False).pre_tokenize_str
+    unknown = [c for c in range(0x110000) if unicodedata.category(chr(c)) == "Cn"]
+    found = []
+    for _, (a, b) in split("".join(map(chr, unknown))):
+        first = chr(unknown[a])
+        kind = LETTER if len(split("a" + first)) == 1 else NUMBER if len(split("1" + first)) == 1 else OTHER
+        if kind != OTHER:
+            found += [(c, c + 1, kind) for c in unknown[a:b]]
+    return found
+
+
 @functools.cache
 def character_hashes() -> np.ndarray:
     """A well-mixed number for each code point."""
-    x = (np.arange(0x110000, dtype=np.uint64) + np.uint64(1)) * RADIX
+    x = (np.arange(0x110000, dtype=np.uint64) + np.uint64(1)) * np.uint64(RADIX)
     for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
         x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
     return x ^ (x >> np.uint64(31))
 
 
 @functools.lru_cache(maxsize=2)
-def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
+def _powers(bits: int, radix: int = RADIX) -> tuple[np.ndarray, np.ndarray]:
     ones = np.ones(1 << bits, np.uint64)
-    ones[1:] = RADIX
+    ones[1:] = np.uint64(radix)
     back = np.ones(1 << bits, np.uint64)
-    back[1:] = INVERSE
+    back[1:] = np.uint64(pow(radix, -1, 1 << 64))
     return np.cumprod(ones), np.cumprod(back)
 
 
@@ -74,10 +98,13 @@ class Words:
         starts = _starts(chars, at, marked)
         self.starts = np.flatnonzero(starts)
         self.ends = np.r_[self.starts[1:], len(chars)] if len(self.starts) else self.starts
-        up, down = _powers(max(16, len(chars).bit_length()))
+        up, down = _powers(max(16, len(chars).bit_length()), SECRET)
         total = np.zeros(len(chars) + 1, np.uint64)
         np.cumsum(character_hashes()[chars] * up[: len(chars)], out=total[1:])
         self.hashes = (total[self.ends] - total[self.starts]) * down[self.starts] + (self.ends - self.starts).astype(np.uint64)
+        for k in np.flatnonzero(self.ends - self.starts > LONG_WORD).tolist():
+            own = text[self.starts[k] : self.ends[k]].encode("utf-8", "replace")
+            self.hashes[k] = int.from_bytes(hashlib.blake2b(own, digest_size=8).digest(), "little")
         if len(marked):
             self.hashes[np.searchsorted(self.starts, at[marked])] = SPECIAL
         by_piece = np.searchsorted(self.starts, at)

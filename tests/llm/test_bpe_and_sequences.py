@@ -1,6 +1,7 @@
 """Encoding against the tokenizers library; files read back against what was written."""
 
 import hashlib
+import unicodedata
 import zlib
 
 import numpy as np
@@ -9,8 +10,9 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import ByteLevel
 
-from lanespan.llm import bpe, sequences
+from lanespan.llm import bpe, pretokens, sequences
 from lanespan.llm.common import slices
 
 LIBRARY = Tokenizer.from_file(bpe.VOCABULARY)
@@ -40,12 +42,44 @@ def test_ids_and_round_trip_equal_the_library(texts):
 
 
 def test_every_character_is_split_as_the_library_splits_it():
-    points = [c for c in range(0x3100) if not 0xD800 <= c <= 0xDFFF]
+    points = [c for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF and (c < 0x3100 or c % 97 == 0 or unicodedata.category(chr(c)) == "Cn" and c < 0x32000)]
     texts = [" ".join(f"a{chr(c)}b {chr(c)}{chr(c)} 1{chr(c)}" for c in points[k : k + 64]) for k in range(0, len(points), 64)]
     for text, (_, printed, _) in zip(texts, coded(texts), strict=True):
         assert printed.decode() == ",".join(map(str, library(text)))
 
 
+def test_class_of_every_character_is_the_librarys():
+    """Neighbours of one class are one word of the library's splitter, so its borders in a row of all characters are the changes of class."""
+    split = ByteLevel(add_prefix_space=False).pre_tokenize_str
+    points = np.array([c for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF and c not in pretokens.WHITE and c != 0x27])
+    kinds = pretokens.character_classes()[points]
+    borders = [a for _, (a, _) in split("".join(map(chr, points.tolist())))]
+    assert borders == np.flatnonzero(np.r_[True, kinds[1:] != kinds[:-1]]).tolist()
+    for first in (a for a in borders if kinds[a] != pretokens.OTHER):
+        assert len(split(("a" if kinds[first] == pretokens.LETTER else "1") + chr(points[first]))) == 1
+
+
+def test_words_with_equal_powers_do_not_collide():
+    """Of the Thue-Morse word and its complement every polynomial hash modulo 2^64 is the same."""
+    word = "a"
+    while len(word) < 4096:
+        word += word.translate({97: "b", 98: "a"})
+    texts = [word, word.translate({97: "b", 98: "a"}), word[:1024], word[1024:2048], word[:32] + " " + word[32:64]]
+    for text, (_, printed, _) in zip(texts, coded(texts), strict=True):
+        assert printed.decode() == ",".join(map(str, library(text)))
+
+
+def test_very_long_words(monkeypatch):
+    rng = np.random.default_rng(6)
+    long = ["".join(rng.choice(list("abcdefghij"), n)) for n in (1000, 1500, 60_000)] + ["é" * 700, "ab" * 900, "a" * 3001, "word"]
+    flat, lengths = bpe.vocabulary(bpe.VOCABULARY).encode_words(long)
+    assert [x.tolist() for x in np.split(flat, np.cumsum(lengths)[:-1])] == [library(w) for w in long]
+    monkeypatch.setattr(bpe, "LONG", 1)
+    words = ["a" * n for n in range(1, 40)] + ["ab" * 9, "aab" * 7, "the quick"]
+    flat, lengths = bpe.vocabulary(bpe.VOCABULARY).encode_words(words)
+    assert flat.tolist() == [i for w in words for i in library(w)]
+
+
 def test_overlapping_pairs_merge_from_the_left():
     words = ["a" * n for n in range(1, 40)] + ["ab" * 9, "aab" * 7]
     flat, lengths = bpe.vocabulary(bpe.VOCABULARY).encode_words(words)
