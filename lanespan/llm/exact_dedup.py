@@ -38,20 +38,32 @@ def _looks(n_chars: str = "n_chars", text_key: str = "text_key") -> tuple[Column
 
 
 class DigestIndex:
-    """Digest index at a path; opening an existing path with its bucket count continues it.
+    """Digest index at a path; opening an existing path continues it with the bucket count that is stored beside it.
+
+    Another ``buckets`` than the stored one is an error: files of buckets that are not asked for would not be read.
 
     Columns: ``digest``, ``keep_id`` (document that stays for it), ``batch`` (the batch that brought it).
     """
 
     def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
         self.spark, self.path = spark, path
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.buckets = self._stored_buckets(buckets)
         self.table = "digest_index_" + re.sub(r"\W", "_", path)[-60:] + uuid.uuid5(uuid.NAMESPACE_URL, path).hex[:12]
         spark.sql(
             f"CREATE TABLE IF NOT EXISTS {self.table} (digest BINARY, keep_id BIGINT, batch STRING) USING parquet "
             f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{path}'"
         )
 
+    def _stored_buckets(self, asked: int | None) -> int:
+        beside = f"{self.path.rstrip('/')}-buckets"
+        wanted = asked or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        # Written only where nothing is stored yet.
+        self.spark.range(wanted, wanted + 1).coalesce(1).write.mode("ignore").parquet(beside)
+        found = self.spark.read.parquet(beside).first()[0]
+        if asked and asked != found:
+            raise ValueError(f"the index has {found} buckets, not {asked}")
+        return found
+
     def rows(self) -> DataFrame:
         return self.spark.table(self.table)
 

@@ -44,6 +44,32 @@ def test_index_remembers_earlier_batches(spark, make_docs, tmp_path):
     assert again.add(make_docs([])).count() == 0
 
 
+def test_index_keeps_its_buckets_under_another_setting(spark, make_docs, tmp_path):
+    docs, path = make_docs([f"text {i}" for i in range(1000)]), str(tmp_path / "buckets")
+    exact_dedup.DigestIndex(spark, path, 8).add(docs)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "3")
+        again = exact_dedup.DigestIndex(spark, path)
+        assert again.buckets == 8 and again.rows().count() == 1000
+        assert again.add(docs).filter("kept").count() == 0
+        with pytest.raises(ValueError):
+            exact_dedup.DigestIndex(spark, path, 3)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_large_batch_against_a_filled_index(spark, tmp_path):
+    def texts(low, high):
+        return spark.range(low, high).selectExpr("id AS doc_id", "concat('text ', id % 70000) AS text")
+
+    own = exact_dedup.DigestIndex(spark, str(tmp_path / "large"))
+    assert own.add(texts(0, 50_000)).filter("kept").count() == 50_000
+    rows = own.add(texts(50_000, 150_000))
+    assert rows.filter("kept").count() == 20_000 and rows.count() == 100_000
+    assert rows.filter("NOT kept AND keep_id < 50000").select("digest").distinct().count() == 50_000
+
+
 def test_one_row_of_each_digest_stays(spark, make_docs, tmp_path):
     docs = make_docs([(5, "a"), (5, "a"), (5, "b"), (None, "c"), (None, "c"), (7, "c")], extra=True)
     kept = exact_dedup.keep_first(docs, index(spark, tmp_path))
