@@ -5,7 +5,8 @@ languages that use that script as candidates. A Viterbi pass over the words, wit
 spans; the language with most bytes is the document's.
 
 The pass runs over pieces of many documents at once: a piece keeps, for each language it may be entered in, the best way through;
-the pieces of a document are then chained and traced back. The result equals one pass from word to word.
+the pieces of a document are then chained and traced back. The result equals one pass from word to word, which is
+what many languages get.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from lanespan.llm.common import slices, text_bytes
-from lanespan.llm.labelled import fold
+from lanespan.llm.labelled import bounded, fold
 
 #: Bound of the sample: documents of a language, and bytes of one document that are counted (spread evenly over it).
 PER_LANGUAGE, FIT_BYTES = 400, 1 << 16
@@ -29,6 +30,8 @@ BINS = 1 << 16
 PENALTY = 6.0
 #: Words of a piece, and bytes of text handled at a time.
 PIECE, SLICE = 128, 2 << 20
+#: Languages beyond which pieces, which hold a way from each label to each, would take too much memory.
+MANY = 32
 #: A language uses a script when so large a share of its words has it.
 USES = 0.01
 FOLDS, HELD = 4, 2
@@ -118,6 +121,8 @@ class Model:
 def viterbi(scores: np.ndarray, of_text: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
     """Best label of each word, per text, where every change of label costs ``penalty``."""
     k = scores.shape[1]
+    if k > MANY:
+        return _word_by_word(scores, of_text, penalty)
     counts = np.diff(of_text)
     pieces = -(-counts // PIECE)
     text = np.repeat(np.arange(len(counts)), pieces)
@@ -170,6 +175,31 @@ def viterbi(scores: np.ndarray, of_text: np.ndarray, penalty: float = PENALTY) -
     return labels
 
 
+def _word_by_word(scores: np.ndarray, of_text: np.ndarray, penalty: float) -> np.ndarray:
+    """As :func:`viterbi`, in one pass over all texts side by side; memory grows with words times labels only."""
+    k, counts = scores.shape[1], np.diff(of_text)
+    order = np.argsort(-counts, kind="stable")
+    begin, counts = of_text[:-1][order], counts[order]
+    back = np.zeros((len(scores), k), np.min_scalar_type(k))
+    best = np.zeros((len(begin), k))
+    active = np.searchsorted(-counts, -np.arange(counts[0] if len(counts) else 0), "left")
+    for t, m in enumerate(active.tolist()):
+        at, now = begin[:m] + t, best[:m]
+        if t:
+            top = now.argmax(axis=1)[:, None]
+            switch = np.take_along_axis(now, top, axis=1) - penalty
+            stay = now >= switch
+            back[at] = np.where(stay, np.arange(k), top)
+            now = np.where(stay, now, switch)
+        best[:m] = now + scores[at]
+    labels, state = np.zeros(len(scores), np.int64), best.argmax(axis=1)
+    for t in range(len(active) - 1, -1, -1):
+        at = begin[: active[t]] + t
+        labels[at] = state[: active[t]]
+        state[: active[t]] = back[at, state[: active[t]]]
+    return labels
+
+
 def has_letter(raw: bytes) -> bool:
     return any(c.isalpha() for c in raw.decode("utf-8", "replace"))
 
@@ -202,7 +232,9 @@ def fit(docs: DataFrame) -> Model:
         ids = ids.withColumn("rank", rank).filter(F.col("rank") <= PER_LANGUAGE)
     chosen = ids.select("doc_id", "lang").distinct()
     texts = known.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("lang").cast("string").alias("lang"), text_bytes().alias("text"))
-    rows = texts.join(F.broadcast(chosen), ["doc_id", "lang"]).select("text", "lang").collect()
+    texts = texts.withColumn("text", bounded(F.col("text")))
+    # One text of each chosen id and language, however many rows share them.
+    rows = texts.join(F.broadcast(chosen), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text")).collect()
     return train(sorted((bytes(r.text), r.lang) for r in rows))
 
 

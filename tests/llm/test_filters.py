@@ -9,7 +9,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from lanespan.llm import decontaminate, language, quality, sharding, toxicity
+from lanespan.llm import decontaminate, labelled, language, quality, sharding, toxicity
 from lanespan.llm.decontaminate import WINDOW
 
 SEPARATOR = re.compile(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -219,6 +219,27 @@ def test_rejected_documents_go_and_columns_stay(spark, sample_docs):
     assert {r.doc_id for r in kept.collect()} == passed and 0 < len(passed)
 
 
+def test_many_languages(spark, make_docs):
+    """Labels beyond a byte, and the pass for many languages equal to the one in pieces."""
+    rng = np.random.default_rng(8)
+    scores, offsets = rng.normal(0, 3, (900, 6)), np.array([0, 0, 400, 401, 900])
+    assert (language._word_by_word(scores, offsets, language.PENALTY) == language.viterbi(scores, offsets)).all()
+    names = [f"l{k:03d}" for k in range(300)]
+    words = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 7)) for _ in names]
+    model = language.train([((w + " ").encode() * 30, n) for w, n in zip(words, names, strict=True)])
+    text = (" ".join([words[7]] * 40 + [words[290]] * 30)).encode()
+    ((found, _, spans),) = language.predict(model, np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    assert found == "l007" and [s["lang"] for s in spans] == ["l007", "l290"]
+
+
+def test_samples_are_bounded(spark, make_docs):
+    """One text of each chosen id, cut before it is collected."""
+    docs = make_docs([(7, f"{k} " + "long text " * 20_000) for k in range(6)] + [(9, "short"), (9, "short")])
+    labels = spark.createDataFrame([(7, 1, 1), (9, 0, 0)], "doc_id bigint, quality int, toxic int")
+    rows, counts = labelled.sample(docs, labels, "quality", 5, 7, 10)
+    assert counts == {0: 1, 1: 1} and [(len(t), y) for t, y in rows] == [(labelled.FIT_BYTES, 1), (5, 0)]
+
+
 def test_viterbi_finds_the_best_path():
     rng = np.random.default_rng(3)
     for _ in range(60):
