@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lanespan.functions.exprs import stable_sigmoid
 from lanespan.functions.ordered import block_of, running_total, with_position
+from lanespan.functions import quantiles
 from lanespan.functions.quantiles import exact_percentiles
 from lanespan.operators import predict, scoring, telemetry
 from tests.conftest import DIMS, RUNS
@@ -190,6 +191,33 @@ def test_known_telemetry(spark):
         telemetry.latency_summary(timings.filter("seconds < 0"), "seconds").collect()
 
 
+@pytest.mark.parametrize("small, broadcast", [(40, 100_000), (400, 0)])
+def test_percentiles_cut_again_and_again(spark, monkeypatch, small, broadcast):
+    """Ranges are cut until few rows are left, whatever the values; hot keys and hot values included."""
+    monkeypatch.setattr(quantiles, "SMALL", small)
+    monkeypatch.setattr(quantiles, "BROADCAST_ROWS", broadcast)
+    rng = np.random.default_rng(1)
+    values = {
+        "hot": np.r_[rng.lognormal(0, 4, 6000), np.full(5000, 7.25)],
+        "wide": np.r_[10.0 ** rng.uniform(-4, 4, 800), -(10.0 ** rng.uniform(-4, 4, 700)), [1.7e308, -1.7e308]],
+        "near": 1e15 + rng.integers(0, 3, 900) * 0.125,
+        "one": np.array([-3.5]),
+        "endless": np.array([-np.inf, 1.0, 2.0, 3.0, np.inf] * 9),
+    }
+    rows = [(k, float(x)) for k, own in values.items() for x in own] + [("hot", None), ("none", None)]
+    wanted = {"low": 0.0, "q1": 0.25, "mid": 0.5, "q9": 0.95, "top": 1.0}
+    found = {r.k: r for r in exact_percentiles(spark.createDataFrame(rows, "k string, v double").repartition(5), ["k"], "v", wanted).collect()}
+    assert set(found) == set(values)
+    for k, own in values.items():
+        assert found[k].n == len(own)
+        ordered = np.sort(own)
+        for name, q in wanted.items():
+            at = q * (len(own) - 1)
+            lo, hi = ordered[int(np.floor(at))], ordered[int(np.ceil(at))]
+            if np.isfinite(lo) and np.isfinite(hi):
+                assert found[k][name] == pytest.approx(lo + (hi - lo) * (at - np.floor(at)), rel=1e-12)
+
+
 @pytest.mark.parametrize("keys", [[], ["k"]])
 def test_exact_percentiles_with_a_hot_key(spark, keys):
     rng = np.random.default_rng(2)
