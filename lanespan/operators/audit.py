@@ -94,15 +94,15 @@ def split_audit(samples: DataFrame) -> DataFrame:
     return filled.withColumn("fault", fault)
 
 
-def split_members(samples: DataFrame) -> DataFrame:
-    """The groups and image hashes of every split, one row each."""
+def split_members(samples: DataFrame, *keys: str) -> DataFrame:
+    """The groups and image hashes of every split, one row each; with ``keys``, of every split of each key."""
     members = F.explode(
         F.array(
             F.struct(F.lit("group").alias("kind"), F.col("group").alias("value")),
             F.struct(F.lit("image_hash").alias("kind"), F.col("image_hash").alias("value")),
         )
     )
-    return samples.select("split", members.alias("_m")).select("split", "_m.kind", "_m.value").distinct()
+    return samples.select(*keys, "split", members.alias("_m")).select(*keys, "split", "_m.kind", "_m.value").distinct()
 
 
 def _in_several_splits(samples: DataFrame, key: str) -> DataFrame:

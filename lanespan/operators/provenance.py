@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lanespan.session import materialize
+
 # Fixed values of the artifact contract.
 ARCHITECTURES = ("lite_road_net", "fast_scnn_lite")
 OUTPUT_KINDS = ("logits", "probabilities")
@@ -127,21 +129,66 @@ def complete_provenance() -> Column:
     return recorded & F.coalesce("provenance_complete", F.lit(True))
 
 
-def merge_members(prior_members: DataFrame, split_members: DataFrame, artifact_id) -> DataFrame:
-    """Members a continued training must record: prior training data plus the current splits."""
+def merge_members(prior_members: DataFrame, split_members: DataFrame, artifact_id: str | None = None) -> DataFrame:
+    """Members continued trainings must record: prior training data plus the current splits.
+
+    For every artifact at once ``split_members`` has a column ``artifact_id``, the artifact that goes on with them; those without
+    prior members are left out. With the argument ``artifact_id`` that one artifact goes on with all of them.
+    """
     used = F.col("split").isin("train", "validation")
     prefix = F.when(F.col("split") == "train", "training").otherwise("validation")
     suffix = F.when(F.col("kind") == "group", "_groups").otherwise("_image_hashes")
-    current = split_members.filter(used).select(
-        F.lit(artifact_id).alias("artifact_id"), F.concat(prefix, suffix).alias("field"), "value"
-    )
-    prior = prior_members.filter(
-        (F.col("artifact_id") == artifact_id) & F.col("field").isin(*REQUIRED_FIELDS)
-    ).select("artifact_id", "field", "value")
-    return prior.unionByName(current).distinct()
+    owner = F.col("artifact_id") if artifact_id is None else F.lit(artifact_id)
+    current = split_members.filter(used).select(owner.alias("artifact_id"), F.concat(prefix, suffix).alias("field"), "value")
+    prior = prior_members.select("artifact_id", "field", "value")
+    if artifact_id is None:
+        current = current.join(prior.select("artifact_id").distinct(), "artifact_id", "left_semi")
+    else:
+        prior = prior.filter(F.col("artifact_id") == artifact_id)
+    return prior.filter(F.col("field").isin(*REQUIRED_FIELDS)).unionByName(current).distinct()
 
 
 def merged_complete(prior: DataFrame | None) -> bool:
     """Complete only without a prior artifact, or with one whose own provenance is complete."""
     row = None if prior is None else prior.select(complete_provenance().alias("ok")).first()
     return True if row is None else bool(row.ok)
+
+
+def ancestors(artifacts: DataFrame) -> DataFrame:
+    """``artifact_id, ancestor, depth, known`` of every artifact: itself at depth 0, the artifact it continues, and so on.
+
+    ``artifacts`` has ``artifact_id`` and ``prior_id``. Every round extends only what the round before found, so there are as many
+    rounds as the longest chain has links. ``known`` is false for a prior that the table does not have; its chain ends there. A
+    chain that comes back to its start is an error.
+    """
+    links = artifacts.select(F.col("artifact_id").alias("_next"), F.col("prior_id").alias("_prior"), F.lit(True).alias("known"))
+    found = artifacts.select("artifact_id", F.col("artifact_id").alias("ancestor"), F.lit(0).alias("depth"), F.lit(True).alias("known"))
+    latest = artifacts.select("artifact_id", F.lit(0).alias("depth"), F.col("prior_id").alias("_next"))
+    while True:
+        step = latest.filter(F.col("_next").isNotNull()).join(links, "_next", "left")
+        step = materialize(step.select("artifact_id", F.col("_next").alias("ancestor"), (F.col("depth") + 1).alias("depth"), F.coalesce("known", F.lit(False)).alias("known"), "_prior"))
+        ends = step.agg(F.count(F.lit(1)).alias("n"), F.max(F.when(F.col("ancestor") == F.col("artifact_id"), F.col("artifact_id"))).alias("loop")).first()
+        if ends.loop is not None:
+            raise ValueError(f"artifact {ends.loop} continues itself")
+        if not ends.n:
+            return found
+        found = found.unionByName(step.drop("_prior"))
+        latest = step.select("artifact_id", "depth", F.col("_prior").alias("_next"))
+
+
+def merge_chains(artifacts: DataFrame, own_members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What every artifact of a table must record when each one continues its prior, and whether that is complete.
+
+    ``own_members(artifact_id, field, value)`` are the groups and hashes of an artifact's own training. The first table has, for each
+    artifact, those of its whole chain; the second ``artifact_id, depth, complete``: complete only if every artifact before it is
+    known and has complete provenance of its own, as with :func:`complete_provenance` on ``fields`` and ``provenance_complete``.
+    """
+    chain = ancestors(artifacts)
+    used = own_members.filter(F.col("field").isin(*REQUIRED_FIELDS)).select(F.col("artifact_id").alias("ancestor"), "field", "value")
+    merged = chain.join(used, "ancestor").select("artifact_id", "field", "value").distinct()
+    sound = artifacts.select(F.col("artifact_id").alias("ancestor"), complete_provenance().alias("_sound"))
+    before = F.when(F.col("depth") > 0, F.col("known") & F.coalesce("_sound", F.lit(False)))
+    status = chain.join(sound, "ancestor", "left").groupBy("artifact_id").agg(
+        F.max("depth").alias("depth"), F.coalesce(F.min(before), F.lit(True)).alias("complete")
+    )
+    return merged, status

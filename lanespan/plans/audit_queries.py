@@ -326,15 +326,45 @@ def provenance_status(spark, sf):
         *SPLIT,
         v.MEMBERS,
         body="""
-SELECT 'en' AS artifact_id, field, value FROM members WHERE artifact_id = 'en' AND field NOT LIKE 'calibration%'
+SELECT artifact_id, field, value FROM members WHERE field NOT LIKE 'calibration%'
 UNION
-SELECT 'en', CASE split WHEN 'train' THEN 'training' ELSE 'validation' END ||
-  CASE kind WHEN 'group' THEN '_groups' ELSE '_image_hashes' END, value FROM split_members WHERE split <> 'test'""",
+SELECT lang, CASE split WHEN 'train' THEN 'training' ELSE 'validation' END ||
+  CASE kind WHEN 'group' THEN '_groups' ELSE '_image_hashes' END, CASE kind WHEN 'group' THEN "group" ELSE image_hash END
+FROM split_samples, (VALUES ('group'), ('image_hash')) AS k(kind) WHERE split <> 'test' AND lang IN (SELECT artifact_id FROM members)""",
     ),
 )
 def merge_provenance(spark, sf):
-    current = audit.split_members(split_samples(spark, sf))
-    return provenance.merge_members(_members(spark, sf), current, "en")
+    """Every artifact goes on training with the current splits of its language."""
+    current = audit.split_members(split_samples(spark, sf).withColumnRenamed("lang", "artifact_id"), "artifact_id")
+    return provenance.merge_members(_members(spark, sf), current)
+
+
+@query(
+    "provenance_chains",
+    v.sql(
+        v.SAMPLES,
+        v.CHAINS,
+        body="""SELECT DISTINCT c.artifact_id, field, value FROM chain c JOIN members m ON m.artifact_id = c.ancestor
+WHERE field NOT LIKE 'calibration%'""",
+        recursive=True,
+    ),
+)
+def provenance_chains(spark, sf):
+    return provenance.merge_chains(*v.chained_artifacts(v.samples(spark, sf)))[0]
+
+
+@query(
+    "chain_status",
+    v.sql(
+        v.SAMPLES,
+        v.CHAINS,
+        body="""SELECT c.artifact_id, max(depth) AS depth, coalesce(bool_and(coalesce(a.sound, false)) FILTER (depth > 0), true) AS complete
+FROM chain c LEFT JOIN artifacts a ON a.artifact_id = c.ancestor GROUP BY 1""",
+        recursive=True,
+    ),
+)
+def chain_status(spark, sf):
+    return provenance.merge_chains(*v.chained_artifacts(v.samples(spark, sf)))[1]
 
 
 @query(

@@ -216,6 +216,33 @@ split_members AS (
   UNION SELECT DISTINCT split, 'image_hash', image_hash FROM split_samples)"""
 
 
+def chained_artifacts(samples_df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One artifact per language and trip, each continuing that of the trip before, five in a chain; and the members of each."""
+    named = samples_df.withColumn("lang", F.concat("lang", F.lit("/"), "group"))
+    members = artifact_members(named)
+    number = F.regexp_extract("artifact_id", "([0-9]+)$", 1).cast("int")
+    prior = F.concat(F.regexp_extract("artifact_id", "^(.*?)[0-9]+$", 1), (number - 1).cast("string"))
+    found = members.groupBy("artifact_id").agg(F.collect_set("field").alias("fields"), F.lit(None).cast("boolean").alias("provenance_complete"))
+    return found.withColumn("prior_id", F.when(number % 5 != 0, prior)), members
+
+
+CHAINS = """members AS (
+  SELECT DISTINCT lang || '/' || "group" AS artifact_id, u || f AS field, CASE WHEN f = '_groups' THEN "group" ELSE image_hash END AS value
+  FROM (SELECT *, CASE WHEN toxic = 1 THEN 'training' WHEN quality = 0 THEN 'validation'
+                       WHEN quality = 1 THEN 'calibration' END AS u FROM samples),
+       (VALUES ('_groups'), ('_image_hashes')) AS k(f)
+  WHERE u IS NOT NULL),
+artifacts AS (
+  SELECT artifact_id, count(DISTINCT field) FILTER (field NOT LIKE 'calibration%') = 4 AS sound,
+    CASE WHEN regexp_extract(artifact_id, '([0-9]+)$', 1)::INT % 5 <> 0
+         THEN regexp_extract(artifact_id, '^(.*?)[0-9]+$', 1) || (regexp_extract(artifact_id, '([0-9]+)$', 1)::INT - 1) END AS prior_id
+  FROM members GROUP BY 1),
+chain AS (
+  SELECT artifact_id, artifact_id AS ancestor, 0 AS depth, prior_id AS next FROM artifacts
+  UNION ALL
+  SELECT c.artifact_id, c.next, c.depth + 1, a.prior_id FROM chain c LEFT JOIN artifacts a ON a.artifact_id = c.next WHERE c.next IS NOT NULL)"""
+
+
 def raw_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").selectExpr(
         "p_partkey AS artifact_id",

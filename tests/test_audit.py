@@ -262,6 +262,37 @@ def test_merging_provenance(spark, table):
     assert not provenance.merged_complete(complete.withColumn("fields", F.array(F.lit("training_groups"))))
 
 
+def test_merging_provenance_of_every_artifact(spark):
+    prior = members(spark, [("a", "training_groups", "old"), ("b", "calibration_groups", "c")])
+    current = spark.createDataFrame(
+        [("a", "train", "group", "t"), ("a", "test", "group", "x"), ("b", "validation", "image_hash", "h"), ("new", "train", "group", "y")],
+        "artifact_id string, split string, kind string, value string",
+    )
+    found = {tuple(r) for r in provenance.merge_members(prior, current).select("artifact_id", "field", "value").collect()}
+    assert found == {("a", "training_groups", "old"), ("a", "training_groups", "t"), ("b", "validation_image_hashes", "h")}
+
+
+CHAIN = "artifact_id string, prior_id string, fields array<string>, provenance_complete boolean"
+
+
+def test_chains_of_artifacts(spark):
+    """Five in a row, a branch, a prior nobody knows, an incomplete one in the middle."""
+    full = list(provenance.REQUIRED_FIELDS)
+    rows = [("a", None, full, None), ("b", "a", full, None), ("c", "b", full[:3], None), ("d", "c", full, True), ("e", "d", full, None), ("f", "b", full, False), ("g", "lost", full, None)]
+    own = members(spark, [(k, "training_groups", f"group {k}") for k, *_ in rows] + [("a", "calibration_groups", "none")])
+    merged, status = provenance.merge_chains(spark.createDataFrame(rows, CHAIN), own)
+    found = {}
+    for r in merged.collect():
+        found.setdefault(r.artifact_id, set()).add(r.value[-1])
+    assert {k: "".join(sorted(v)) for k, v in found.items()} == {"a": "a", "b": "ab", "c": "abc", "d": "abcd", "e": "abcde", "f": "abf", "g": "g"}
+    assert {r.artifact_id: (r.depth, r.complete) for r in status.collect()} == {
+        "a": (0, True), "b": (1, True), "c": (2, True), "d": (3, False), "e": (4, False), "f": (2, True), "g": (1, False),
+    }
+    with pytest.raises(ValueError):
+        provenance.ancestors(spark.createDataFrame([("x", "y", full, None), ("y", "z", full, None), ("z", "y", full, None)], CHAIN))
+    assert provenance.ancestors(spark.createDataFrame([], CHAIN)).collect() == []
+
+
 RAW = (
     "artifact_id int, input_width int, input_height int, image_size int, preprocess_version int, roi_top double, "
     "architecture string, output_kind string, class_names array<string>"
