@@ -2,7 +2,8 @@
 
 Reachability inside one frame has no fixed number of joins: a driver loop of joins would
 shuffle every span once per round. Spark therefore places and sorts whole frames (bounded by
-their raster), and one Arrow pass labels all frames of a batch at once.
+their raster), and one Arrow pass labels all frames of a batch at once. A frame too large for that is labelled in bands, and
+only the borders of bands are joined.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lanespan.functions.exprs import percent_of
+from lanespan.functions.ordered import with_position
 from lanespan.operators.runs import (
     FRAME,
     close_gaps,
@@ -26,6 +28,7 @@ from lanespan.operators.runs import (
     row_keys,
     with_dims,
 )
+from lanespan.session import materialize
 
 
 def _label_frames(spans: pd.DataFrame, frame_no: np.ndarray) -> np.ndarray:
@@ -90,6 +93,54 @@ def label_components(
     return placed.mapInPandas(lambda batches: _label_batches(batches, keys), schema)
 
 
+#: Columns of a frame within which spans of neighbouring bands are compared.
+STRIPE = 256
+
+
+def label_tiles(
+    runs: DataFrame, band: int = 4096, carry: Sequence[str] = (), frame: Sequence[str] = FRAME
+) -> DataFrame:
+    """As :func:`label_components`, for frames too large for one task: bands of ``band`` rows are labelled side by side.
+
+    Components of neighbouring bands that touch are joined by contraction: every one goes to the smallest it touches, and what is
+    left between those is contracted again until nothing touches. Only the border rows and one row per component and band
+    take part. Numbers count by first span, as without bands.
+    """
+    if band < 1:
+        raise ValueError("a band needs a row at least")
+    keys, c = list(frame), F.col
+    columns = [*keys, "_band", "y", "x0", "x1", *carry]
+    banded = runs.withColumn("_band", F.floor(c("y") / band).cast("long")).select(*columns)
+    # Written once: the borders, the list of components and the result read it.
+    local = materialize(label_components(banded, carry, [*keys, "_band"]).withColumn("_node", c("_band") * (1 << 32) + c("component")))
+
+    def border(offset: int, shift: int, name: str) -> DataFrame:
+        rows = local.filter(F.pmod("y", F.lit(band)) == offset)
+        stripes = F.explode(F.sequence(F.floor(c("x0") / STRIPE), F.floor(c("x1") / STRIPE)))
+        ends = [c("x0").alias(f"{name}_from"), c("x1").alias(f"{name}_to"), c("_node").alias(name)]
+        return rows.select(*keys, (c("y") + shift).alias("y"), stripes.alias("_stripe"), *ends)
+
+    touching = (c("a_from") <= c("b_to")) & (c("b_from") <= c("a_to"))
+    edges = border(band - 1, 1, "a").join(border(0, 0, "b"), [*keys, "y", "_stripe"]).filter(touching).select(*keys, "a", "b")
+    nodes = local.select(*keys, "_node").distinct().withColumn("_root", c("_node"))
+    while True:
+        edges = materialize(edges.distinct())
+        if edges.isEmpty():
+            break
+        both = edges.unionByName(edges.select(*keys, c("a").alias("b"), c("b").alias("a")))
+        least = materialize(both.groupBy(*keys, "a").agg(F.least(F.min("b"), F.min("a")).alias("_to")))
+        nodes = nodes.join(least.withColumnRenamed("a", "_root"), [*keys, "_root"], "left")
+        nodes = materialize(nodes.select(*keys, "_node", F.coalesce("_to", "_root").alias("_root")))
+        for end in ("a", "b"):
+            moved = least.select(*keys, c("a").alias(end), "_to")
+            edges = edges.join(moved, [*keys, end]).drop(end).withColumnRenamed("_to", end)
+        edges = edges.filter(c("a") != c("b")).select(*keys, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    roots = nodes.filter("_node = _root").select(*keys, "_root")
+    numbered = with_position(roots, keys, ["_root"], F.floor(c("_root") / (1 << 32)).cast("long"), "_number")
+    labels = nodes.join(numbered, [*keys, "_root"]).select(*keys, "_node", (c("_number") + 1).cast("int").alias("component"))
+    return local.drop("component").join(labels, [*keys, "_node"]).select(*keys, "y", "x0", "x1", *carry, "component")
+
+
 def hysteresis(
     maps: DataFrame, low: float = 0.40, high: float = 0.65, values: str = "p", keep: Sequence[str] = FRAME
 ) -> DataFrame:

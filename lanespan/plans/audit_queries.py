@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lanespan.functions import exprs
-from lanespan.operators import audit, provenance, splitting, training
+from lanespan.operators import audit, fingerprint, provenance, splitting, training
 from lanespan.plans import views as v
 from lanespan.plans.registry import query
 from lanespan.session import shared_folder
@@ -139,6 +139,53 @@ def dataset_digest(spark, sf):
     return audit.dataset_digest(split_samples(spark, sf))
 
 
+RECORD_FIELDS = ["split", "group", "image_hash", "mask_hash"]
+
+
+@query(
+    "dataset_merkle",
+    v.sql(
+        *SPLIT,
+        f"""leaves AS (SELECT substr(r, 1, 2) AS prefix, sha256(string_agg(r || ':' || n, ',' ORDER BY r || ':' || n)) AS digest, sum(n) AS records
+  FROM (SELECT sha256({RECORD}) AS r, count(*) AS n FROM split_samples GROUP BY 1) GROUP BY 1)""",
+        """middle AS (SELECT substr(prefix, 1, 1) AS prefix, sha256(string_agg(prefix || ':' || digest, ',' ORDER BY prefix || ':' || digest)) AS digest,
+    sum(records) AS records FROM leaves GROUP BY 1)""",
+        body="""
+SELECT 2 AS level, prefix, digest, records::BIGINT AS records FROM leaves UNION ALL SELECT 1, prefix, digest, records::BIGINT FROM middle
+UNION ALL SELECT 0, '', sha256(string_agg(prefix || ':' || digest, ',' ORDER BY prefix || ':' || digest)), sum(records)::BIGINT FROM middle""",
+    ),
+)
+def dataset_merkle(spark, sf):
+    return fingerprint.merkle_tree(fingerprint.record_digests(split_samples(spark, sf), RECORD_FIELDS), 2)
+
+
+OTHER_SPLIT = (
+    v.ASSIGNED.replace("assigned AS", "other_assigned AS")
+    .replace("JOIN assigned", "JOIN other_assigned")
+    .replace("split_samples AS", "other_samples AS")
+    .replace("'42|'", "'43|'")
+)
+
+
+@query(
+    "dataset_diff",
+    v.sql(
+        *SPLIT,
+        OTHER_SPLIT,
+        body=f"""
+SELECT record, coalesce(a.n, 0) AS left_n, coalesce(b.n, 0) AS right_n
+FROM (SELECT {RECORD} AS record, count(*) AS n FROM split_samples GROUP BY 1) a
+FULL JOIN (SELECT {RECORD} AS record, count(*) AS n FROM other_samples GROUP BY 1) b USING (record)
+WHERE a.n IS DISTINCT FROM b.n""",
+    ),
+)
+def dataset_diff(spark, sf):
+    """Records that change when the groups are split by another seed."""
+    base = v.samples(spark, sf)
+    splits = [splitting.apply_split(base, splitting.assign_groups(base, seed)) for seed in (42, 43)]
+    return fingerprint.difference(*[fingerprint.record_digests(s, RECORD_FIELDS) for s in splits])
+
+
 @query(
     "split_intersection",
     v.sql(

@@ -187,6 +187,15 @@ def label_components(spark, sf):
     return components.label_components(pred(spark, sf))
 
 
+@query(
+    "label_tiles",
+    v.sql(*P_LABELS, body='SELECT "group", frame_idx, y, x0, x1, component::INT AS component FROM lab', recursive=True),
+)
+def label_tiles(spark, sf):
+    """The same numbers from bands of seven rows."""
+    return components.label_tiles(pred(spark, sf), 7)
+
+
 LOWER = int(v.MASK_H * (1 - 0.20))
 STATS = f"""stats AS (SELECT "group", frame_idx, component, sum(x1 - x0) AS area, min(y) AS top, max(y) AS bottom,
    max(y) >= {LOWER} AS touches_lower FROM lab GROUP BY 1, 2, 3),

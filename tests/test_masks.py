@@ -392,3 +392,40 @@ def test_persistent_split_and_connectors(mask_table):
         (0, 128, 72, 96, 71, 5),
         (0, 128, 72, 160, 71, 5),
     ]
+
+
+@pytest.mark.parametrize("band", [1, 3, 64])
+def test_bands_give_the_components_of_whole_frames(spark, mask_table, band):
+    """Noise, a spiral through all bands, a comb whose teeth meet in the last row, and a frame without spans."""
+    rng = np.random.default_rng(band)
+    spiral = np.zeros((41, 41), bool)
+    y, x, dy, dx, left = 20, 20, 0, 1, 1
+    for turn in range(38):
+        for _ in range(left):
+            spiral[y, x] = True
+            y, x = y + dy, x + dx
+        dy, dx = dx, -dy
+        left += turn % 2
+    comb = np.zeros((30, 601), bool)
+    comb[:, ::2] = True
+    comb[:-1, 1::2] = False
+    comb[-1, :300] = True
+    table, _ = mask_table([rng.random((25, 700)) < 0.35, spiral, comb, np.zeros((5, 5), bool), rng.random((9, 9)) < 0.6])
+    whole = {(r.frame_idx, r.y, r.x0): r.component for r in components.label_components(table).collect()}
+    tiled = components.label_tiles(table.withColumn("extra", F.col("x0") * 2), band, ["extra"]).collect()
+    assert {(r.frame_idx, r.y, r.x0): r.component for r in tiled} == whole and all(r.extra == 2 * r.x0 for r in tiled)
+    assert components.label_tiles(table.limit(0), band).collect() == []
+
+
+def test_one_very_large_frame_is_many_tasks(spark):
+    """20,000 x 20,000 pixels: two ladders of spans that meet at the bottom, and single spots between them."""
+    rows = spark.range(0, 20_000, 4).selectExpr("'g' AS group", "0L AS frame_idx", "cast(id AS int) AS top")
+    pieces = "array(struct(top AS y, 0 AS x0, 9000 AS x1), struct(top AS y, 11000 AS x0, 20000 AS x1), struct(top AS y, 10000 AS x0, 10001 AS x1))"
+    rungs = rows.selectExpr("group", "frame_idx", f"explode({pieces}) AS s").selectExpr("group", "frame_idx", "s.*")
+    posts = spark.range(20_000).selectExpr("'g' AS group", "0L AS frame_idx", "cast(id AS int) AS y", "explode(array(0, 19999)) AS x0")
+    posts = posts.filter("y % 4 <> 0 AND y < 19999").selectExpr("group", "frame_idx", "y", "x0", "x0 + 1 AS x1")
+    last = spark.createDataFrame([("g", 0, 19_999, 0, 20_000)], "group string, frame_idx bigint, y int, x0 int, x1 int")
+    found = components.label_tiles(rungs.unionByName(posts).unionByName(last), 1000)
+    sizes = {r.component: r["count"] for r in found.groupBy("component").count().collect()}
+    # The ladders are one by the last row; the spots in every fourth row are one each.
+    assert len(sizes) == 5001 and sizes[1] == 10_000 + 2 * (20_000 - 5_000 - 1) + 1 and sizes[2] == 1
