@@ -40,7 +40,7 @@ ROOMS, REGROUPINGS = (2, 8, 24, CAPACITY), 4
 #: Lanes in which the pieces of one length are ranked.
 LANES = 256
 #: Bytes of a document that are looked at together, and words a process remembers.
-SLICE, REMEMBERED = 1 << 20, 500_000
+SLICE, REMEMBERED = 1 << 20, 600_000
 BLANK = re.compile(rb"[ \t\n\x0b\x0c\r]")
 
 
@@ -104,19 +104,28 @@ class WordCodec:
         self.flat = np.r_[self.flat, ids]
         self.slots.new.clear()
 
-    def words(self, text: bytes) -> list[bytes]:
-        if any(token in text.lower() for token in self.special):
-            return text.split()
-        data = np.frombuffer(text.lower(), np.uint8)
+    def words(self, texts: list[bytes]) -> list[list[bytes]]:
+        """Words of each text, lower-cased; a text with a special token is split at its blanks only and stays as it is."""
+        joined = b" ".join(texts)
+        low = joined.lower()
+        data = np.frombuffer(low, np.uint8)
         kinds = KINDS[data]
         borders = np.flatnonzero(kinds[1:] + kinds[:-1] == LETTER + MARK) + 1
-        return (np.insert(data, borders, 0x20).tobytes() if len(borders) else text.lower()).split()
+        ends = np.cumsum([len(t) + 1 for t in texts])
+        ends += np.searchsorted(borders, ends)
+        spaced, out, begin = np.insert(data, borders, 0x20).tobytes(), [], 0
+        odd = any(token in low for token in self.special)
+        for text, end in zip(texts, ends.tolist(), strict=True):
+            whole = odd and any(token in text.lower() for token in self.special)
+            out.append(text.split() if whole else spaced[begin:end].split())
+            begin = end
+        return out
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """Ids of each of some texts, or of parts of texts that were cut at blanks."""
         if len(self.slots) > REMEMBERED:
             self.clear()
-        split = [self.words(t) for t in texts]
+        split = self.words(texts)
         at = np.fromiter(map(self.slots.__getitem__, itertools.chain.from_iterable(split)), np.int64, sum(map(len, split)))
         if self.slots.new:
             self._learn()
