@@ -37,7 +37,8 @@ def block_entries(
     levels, current, single = [], elements, False
     while not single:
         items = F.sort_array(F.collect_list(F.struct("_block", "_element")))
-        group = F.floor(F.col("_block") / F.lit(fan)).cast("long")
+        # Every other level is shifted by one, so that blocks on both sides of number zero meet as well.
+        group = F.floor((F.col("_block") + len(levels) % 2) / F.lit(fan)).cast("long")
         grouped = materialize(current.groupBy(*keys, group.alias("_group")).agg(items.alias("_items")))
         levels.append(grouped)
         single = (grouped.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0) <= 1

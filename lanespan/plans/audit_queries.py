@@ -255,22 +255,28 @@ def mask_stem(spark, sf):
 
 @query(
     "valid_group",
-    """SELECT page_id, regexp_full_match(name, '[\\w.-]+') AND name NOT IN ('.', '..') AS extractable,
-  length(trim(name)) > 0 AS listable
-FROM (SELECT page_id, CASE WHEN page_id % 5 = 0 THEN url WHEN page_id % 5 = 1 THEN '..'
-        WHEN page_id % 5 = 2 THEN '   ' WHEN page_id % 5 = 3 THEN 'trip-' || page_id || '.v2'
-        ELSE regexp_extract(url, '//([^/]*)', 1) END AS name FROM pages)""",
+    """SELECT page_id, kind, coalesce(regexp_full_match(name, '[\\w.-]+') AND name NOT IN ('.', '..'), false) AS extractable,
+  coalesce(length(trim(name)) > 0, false) AS listable
+FROM (SELECT page_id, unnest(['url', 'host', 'last', 'dots', 'blank']) AS kind,
+             unnest([url, host, regexp_extract(url, '([^/]*)$', 1), regexp_replace(host, '[^.]', '', 'g'), regexp_replace(host, '.', ' ', 'g')]) AS name
+      FROM (SELECT page_id, url, regexp_extract(url, '//([^/]*)', 1) AS host FROM pages))""",
 )
 def valid_group(spark, sf):
-    name = F.expr(
-        """CASE WHEN page_id % 5 = 0 THEN url WHEN page_id % 5 = 1 THEN '..' WHEN page_id % 5 = 2 THEN '   '
-           WHEN page_id % 5 = 3 THEN concat('trip-', page_id, '.v2') ELSE regexp_extract(url, '//([^/]*)', 1) END"""
-    )
-    pages = v.table(spark, sf, "pages").select("page_id", name.alias("name"))
-    return pages.select(
+    """Names out of every page's own address: whole, its host, its last piece, the host's dots alone, and blanks of its length."""
+    host = F.regexp_extract("url", "//([^/]*)", 1)
+    names = {
+        "url": F.col("url"),
+        "host": host,
+        "last": F.regexp_extract("url", "([^/]*)$", 1),
+        "dots": F.regexp_replace(host, "[^.]", ""),
+        "blank": F.regexp_replace(host, ".", " "),
+    }
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), n.alias("name")) for k, n in names.items()])).alias("p")
+    return v.table(spark, sf, "pages").select("page_id", each).select(
         "page_id",
-        exprs.valid_extraction_group("name").alias("extractable"),
-        exprs.valid_manifest_group("name").alias("listable"),
+        "p.kind",
+        exprs.valid_extraction_group("p.name").alias("extractable"),
+        exprs.valid_manifest_group("p.name").alias("listable"),
     )
 
 

@@ -378,3 +378,14 @@ def test_events_before_the_first_day_are_frames(spark, tmp_path):
         events.write.parquet(str(tmp_path / name / "events.parquet"))
         found = {r.frame_idx: len(r.dets or []) for r in views.observations(spark, str(tmp_path / name)).collect()}
         assert found == ({-4: 1, -3: 0, -2: 1} if name == "before" else {-2: 1, -1: 0, 0: 0, 1: 1})
+
+
+def test_track_stream_has_the_frames_before_the_first_day(spark, tmp_path):
+    from lanespan.plans import QUERIES
+    from lanespan.plans.temporal_queries import TRACK_COLUMNS
+
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    events.withColumn("ts", F.col("ts") - F.expr("INTERVAL 9 DAYS")).write.parquet(str(tmp_path / "events.parquet"))
+    batch = {tuple(r) for r in QUERIES["track_branches"](spark, str(tmp_path)).collect()}
+    stream = {tuple(r[n] for n in TRACK_COLUMNS) for r in QUERIES["track_stream"](spark, str(tmp_path)).collect()}
+    assert stream == batch and min(r[1] for r in batch) < 0
