@@ -8,6 +8,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 
 from lanespan.llm import decontaminate, labelled, language, quality, sharding, toxicity
 from lanespan.llm.decontaminate import WINDOW
@@ -129,6 +130,44 @@ def test_a_further_shard_moves_few_rows(make_docs):
     assert sum(before[i] != after[i] for i in before) < 0.25 * len(before)
 
 
+def walk_the_ring(nodes, rows, shards):
+    """Shard and slot of every document, row by row: home first, then those beyond a bound go on clockwise to the next room."""
+    bound = [len(rows) // shards + (s < len(rows) % shards) for s in range(shards)]
+    held, placed, queues = [0] * shards, {}, {}
+
+    def put(doc_id, s):
+        placed[doc_id] = (s, held[s])
+        held[s] += 1
+
+    at_place = {}
+    for place, lane, doc_id in rows:
+        at_place.setdefault(place, []).append((lane, doc_id))
+    for _, place, arc, s in sorted((n.turn, n.place, n.arc, n.shard) for n in nodes):
+        for _, doc_id in sorted(at_place.get(place, [])):
+            if held[s] < bound[s]:
+                put(doc_id, s)
+            else:
+                queues.setdefault(arc, []).append(doc_id)
+    arcs, waiting = sorted({(n.arc, n.shard) for n in nodes}), []
+    for arc, s in arcs * 2:
+        waiting += queues.pop(arc, [])
+        while waiting and held[s] < bound[s]:
+            put(waiting.pop(0), s)
+    assert not waiting and held == bound
+    return placed
+
+
+def test_shards_equal_a_walk_along_the_ring(spark, make_docs):
+    texts = [f"text {i % 60}" if i % 3 else "hot" for i in range(700)]
+    places = [xxhash.xxh64_intdigest(t.encode(), seed=42) % sharding.PLACES for t in texts]
+    lanes = [xxhash.xxh64_intdigest(i.to_bytes(8, "little"), seed=42) % sharding.LANES for i in range(len(texts))]
+    rows = [(p, lane, i) for i, (p, lane) in enumerate(zip(places, lanes, strict=True))]
+    for shards in (7, 24):
+        nodes = sharding.ring(spark, shards, sharding.NODES).collect()
+        found = {r.doc_id: (r.shard, r.slot) for r in sharding.shard(make_docs(texts), shards).collect()}
+        assert found == walk_the_ring(nodes, rows, shards)
+
+
 def test_equal_texts_stay_together_unless_a_shard_is_full(make_docs):
     texts = [f"text {i // 4}" for i in range(2400)]
     by = defaultdict(set)
