@@ -86,19 +86,27 @@ class WordCodec:
         self.starts, self.lengths, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def _learn(self) -> None:
-        """Ids of the words that were met for the first time; all in one text, with a word between them that none of them contains."""
+        """Ids of the words that were met for the first time.
+
+        A word of lower-case ASCII letters is one word to the vocabulary's rules as it is, so its model is asked; all others go through the
+        rules in one text, with a word between them that none of them contains.
+        """
         words = [w.decode("utf-8", "replace") for w in self.slots.new]
-        alone = [k for k, w in enumerate(words) if BETWEEN in w]
-        text = f" {BETWEEN} ".join("" if BETWEEN in w else w for w in words)
-        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
-        ends = np.flatnonzero(ids == self.between)
-        lengths = np.diff(np.r_[-1, ends, len(ids)]) - 1
-        ids = ids[ids != self.between]
-        if alone:
-            pieces = np.split(ids, np.cumsum(lengths)[:-1])
-            for k in alone:
-                pieces[k] = np.array(self.tokenizer.encode(words[k], add_special_tokens=False).ids, np.uint32)
-            ids, lengths = np.concatenate(pieces), np.array([len(x) for x in pieces], np.int64)
+        merge, pieces, mixed = self.tokenizer.model.tokenize, [], []
+        for k, raw in enumerate(self.slots.new):
+            plain = raw.isalpha() and raw.islower()
+            pieces.append([t.id for t in merge(words[k])] if plain else [])
+            if not plain:
+                mixed.append(k)
+        if mixed:
+            text = f" {BETWEEN} ".join("" if BETWEEN in words[k] else words[k] for k in mixed)
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+            found = np.split(ids, np.flatnonzero(ids == self.between))
+            for n, k in enumerate(mixed):
+                alone = BETWEEN in words[k]
+                pieces[k] = self.tokenizer.encode(words[k], add_special_tokens=False).ids if alone else (found[n][1:] if n else found[n]).tolist()
+        lengths = np.array([len(x) for x in pieces], np.int64)
+        ids = np.array([i for x in pieces for i in x], np.uint32)
         self.starts = np.r_[self.starts, len(self.flat) + np.cumsum(lengths) - lengths]
         self.lengths = np.r_[self.lengths, lengths]
         self.flat = np.r_[self.flat, ids]
