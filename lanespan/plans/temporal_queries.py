@@ -41,10 +41,10 @@ SMOOTHED = v.sql(
 )
 
 
-def _one_pixel(df, shift: float = 0.0):
+def _one_pixel(df, shift: float = 0.0, *more: str):
     """The pixel as a number; ``shift`` moves smoothed values off decimal ties before rounding."""
     value = F.round(F.get("p", F.lit(0)) + F.lit(shift), 6)
-    return df.select("group", "frame_idx", "was_reset", value.alias("p"))
+    return df.select("group", *more, "frame_idx", "was_reset", value.alias("p"))
 
 
 @query("ema", SMOOTHED)
@@ -245,27 +245,39 @@ stepped AS (SELECT *, coalesce(abs(thumb - lag(thumb) OVER (PARTITION BY "group"
 CHUNKS = 4
 
 
-def _event_stream(spark, sf):
-    """Events in the order of arrival, whatever files the table has.
+def _arrivals(spark, sf, folder):
+    """Write the events chunk by chunk, the older first, and stop after each.
 
-    Later events are written after earlier ones, and a source's part of a chunk is one file; a stream reads older files first.
+    A source's part of a chunk is one file; a stream reads older files first.
     """
     events = v.table(spark, sf, "events")
-    folder = shared_folder(spark, "arrivals")
     low, high = events.agg(F.min("event_id"), F.max("event_id")).first()
     width = ((high or 0) - (low or 0)) // CHUNKS + 1
     for k in range(CHUNKS):
         begin = (low or 0) + k * width
         chunk = events.filter(F.col("event_id").between(begin, begin + width - 1))
         chunk.repartition("user_id").write.mode("append").parquet(folder)
-    return stream_frames(spark, events.schema, folder, files_per_trigger=64)
+        yield k
+
 
+def _event_frames(spark, sf, folder):
+    """Stream of the events that lie in a folder."""
+    return stream_frames(spark, v.table(spark, sf, "events").schema, folder, files_per_trigger=64)
 
-def _live_frames(spark, sf):
+
+def _event_stream(spark, sf):
+    """Events in the order of arrival, whatever files the table has."""
+    folder = shared_folder(spark, "arrivals")
+    for _ in _arrivals(spark, sf, folder):
+        pass
+    return _event_frames(spark, sf, folder)
+
+
+def _live_frames(spark, sf, events=None, run=None):
     one = F.lit(1)
-    return _event_stream(spark, sf).select(
+    return (_event_stream(spark, sf) if events is None else events).select(
         F.concat(F.lit("trip"), F.col("user_id")).alias("group"),
-        F.lit("live").alias("run_id"),
+        (F.lit("live") if run is None else run).alias("run_id"),
         F.col("event_id").alias("frame_idx"),
         *[one.alias(n) for n in ("height", "width", "p_height", "p_width")],
         F.array(F.col("value") / 491).alias("thumb"),
@@ -297,6 +309,36 @@ def ema_stream(spark, sf):
     return _one_pixel(_through_stream(spark, filter_stream(_live_frames(spark, sf)), "ema"), 1.2345e-9)
 
 
+@query(
+    "ema_runs_stream",
+    v.sql(
+        """arrived AS (SELECT 'trip' || user_id AS "group", CASE WHEN event_id % 2 = 0 THEN 'even' ELSE 'odd' END AS run_id,
+  event_id AS frame_idx, value / 491 AS thumb, least(value, 100.0) / 100 AS p,
+  row_number() OVER (PARTITION BY user_id, event_id % 2 ORDER BY event_id) AS n FROM events)""",
+        """stepped AS (SELECT *, coalesce(abs(thumb - lag(thumb) OVER (PARTITION BY "group", run_id ORDER BY n)) > 0.25, true) AS was_reset
+  FROM arrived)""",
+        """live AS (
+  SELECT "group", run_id, frame_idx, n, was_reset, p AS s FROM stepped WHERE n = 1
+  UNION ALL
+  SELECT c."group", c.run_id, c.frame_idx, c.n, c.was_reset,
+    CASE WHEN c.was_reset THEN c.p ELSE 0.7::DOUBLE * c.p + 0.3::DOUBLE * e.s END
+  FROM live e JOIN stepped c ON c."group" = e."group" AND c.run_id = e.run_id AND c.n = e.n + 1)""",
+        body='SELECT "group", run_id, frame_idx, was_reset, round(s + 1.2345e-9::DOUBLE, 6) AS p FROM live',
+        recursive=True,
+    ),
+)
+def ema_runs_stream(spark, sf):
+    """Two runs of every source at once; the stream ends in the middle of the table and goes on from its checkpoint."""
+    arrivals, folder = shared_folder(spark, "arrivals"), shared_folder(spark, "runs")
+    run = F.when(F.col("event_id") % 2 == 0, "even").otherwise("odd")
+    for k in _arrivals(spark, sf, arrivals):
+        if k in (CHUNKS // 2 - 1, CHUNKS - 1):
+            smoothed = filter_stream(_live_frames(spark, sf, _event_frames(spark, sf, arrivals), run))
+            run_to_end(lossless_intake(smoothed, f"{folder}/out", f"{folder}/checkpoint"))
+    out = spark.read.schema(smoothed.schema).parquet(f"{folder}/out")
+    return _one_pixel(out, 1.2345e-9, "run_id")
+
+
 @query(
     "vote_stream",
     v.sql(

@@ -1,25 +1,33 @@
-"""Temporal rule on a live stream: state per source and run, one map and one thumbnail each.
+"""Temporal rule on a live stream: state per source and run.
 
-A micro-batch of a source is a stack of maps. Its scenes are found at once from the stacked thumbnails; inside a scene smoothing
-is one pass down the stack, and votes are differences of running counts.
+State is a value (last frame, its sizes and thumbnail), a list (the maps carried on, in chunks, so that no state row grows with a
+map) and a timer (when an idle run is forgotten). A micro-batch of a source is a stack of maps. Its scenes are found at once from
+the stacked thumbnails; inside a scene smoothing is one pass down the stack, and votes are differences of running counts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from lanespan.operators.components import hysteresis
 from lanespan.operators.runs import checked_map, pixels_to_runs
 
 OUTPUT = "group string, run_id string, frame_idx bigint, p_height int, p_width int, was_reset boolean, p array<double>"
-STATE = "frame_idx bigint, shape array<int>, thumb binary, maps binary, rows int"
+LAST = "frame_idx bigint, shape array<int>, thumb binary, rows int"
+CHUNK = "part binary"
 MODES = ("ema", "legacy", "none")
+SIZES = ("height", "width", "p_height", "p_width")
+#: Bytes of a carried map in one state row.
+CHUNK_BYTES = 1 << 20
+#: State with lists and timers is kept by this store.
+STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def _scene_starts(shapes: np.ndarray, thumbs: list[np.ndarray], before: tuple | None, limit: float) -> np.ndarray:
@@ -53,6 +61,90 @@ def _voted(on: np.ndarray, carried: np.ndarray, window: int, confirmed: int) ->
     return on * (recent >= confirmed)
 
 
+@dataclass
+class Rule:
+    """What happens to the frames of a scene."""
+
+    mode: str
+    alpha: float
+    threshold: float
+    window: int
+    confirmed: int
+    scene_threshold: float
+
+    def scene(self, stack: np.ndarray, carried: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Results of a scene's frames, and the rows to carry on."""
+        if self.mode == "none":
+            return stack, stack[:0]
+        if self.mode == "ema":
+            out = _smoothed(stack, carried, self.alpha)
+            return out, out[-1:]
+        on = (stack >= self.threshold).astype(np.float64)
+        return _voted(on, carried, self.window, self.confirmed), np.vstack([carried, on])[-self.window :]
+
+
+class TemporalFilter(StatefulProcessor):
+    """State of one source and run; ``wait`` is the time in milliseconds after which an idle run is forgotten, ``chunk`` the bytes of a state row."""
+
+    def __init__(self, rule: Rule, wait: int | None, chunk: int):
+        self.rule, self.wait, self.chunk = rule, wait, chunk
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", LAST)
+        self.maps = handle.getListState("maps", CHUNK)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        frames = pd.concat(list(rows)).sort_values("frame_idx", ignore_index=True)
+        thumbs = [np.asarray(t, float) for t in frames["thumb"]]
+        shapes = np.c_[frames[list(SIZES)].to_numpy(), [len(t) for t in thumbs]]
+        before, carried = self._restored(key, int(frames["frame_idx"].iloc[0]))
+        starts = _scene_starts(shapes, thumbs, before, self.rule.scene_threshold)
+        results: list[np.ndarray] = []
+        edges = np.unique(np.r_[0, np.flatnonzero(starts), len(frames)])
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            stack = np.stack([np.asarray(p, float) for p in frames["p"].iloc[a:b]])
+            if starts[a] or carried is None:
+                carried = stack[:0]
+            out, carried = self.rule.scene(stack, carried)
+            results += list(out)
+        self._keep(int(frames["frame_idx"].iloc[-1]), shapes[-1], thumbs[-1], carried)
+        if self.wait:
+            for due in list(self.handle.listTimers()):
+                self.handle.deleteTimer(due)
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.wait)
+        names = {"group": key[0], "run_id": key[1], "frame_idx": frames["frame_idx"]}
+        yield pd.DataFrame(
+            {**names, "p_height": frames["p_height"], "p_width": frames["p_width"], "was_reset": starts, "p": results}
+        )
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.last.clear()
+        self.maps.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+    def _restored(self, key: tuple, first: int) -> tuple[tuple | None, np.ndarray | None]:
+        """Sizes and thumbnail of the frame before, and the maps carried on."""
+        if not self.last.exists():
+            return None, None
+        last, shape, thumb, count = self.last.get()
+        if first <= last:
+            raise ValueError(f"frame {first} of {key[0]} came after frame {last}")
+        whole = b"".join(bytes(part) for (part,) in self.maps.get()) if count else b""
+        return (np.array(shape), np.frombuffer(bytes(thumb))), np.frombuffer(whole).reshape(count, -1) if count else None
+
+    def _keep(self, frame: int, shape: np.ndarray, thumb: np.ndarray, carried: np.ndarray) -> None:
+        self.last.update((frame, shape.tolist(), thumb.tobytes(), len(carried)))
+        whole = carried.tobytes()
+        if whole:
+            self.maps.put([(whole[at : at + self.chunk],) for at in range(0, len(whole), self.chunk)])
+        else:
+            self.maps.clear()
+
+
 def filter_stream(
     frames: DataFrame,
     mode: str = "ema",
@@ -63,11 +155,12 @@ def filter_stream(
     scene_threshold: float = 0.25,
     idle: str | None = None,
 ) -> DataFrame:
-    """Smooth or vote frames of a stream in frame order; a new ``run_id`` starts clean.
+    """Smooth or vote frames of a stream in frame order; a new ``run_id`` starts clean, and runs of a source may alternate.
 
-    Input columns: ``group, run_id, frame_idx, height, width, p_height, p_width, thumb, p``. Frames of a source have to arrive
+    Input columns: ``group, run_id, frame_idx, height, width, p_height, p_width, thumb, p``. Frames of a run have to arrive
     in order, by micro-batches at least; a step back is an error, as is a bad map. With ``idle`` (such as "1 hour") the state of a run without
-    frames for so long is dropped; such a query never ends by itself, as it has to keep looking at the clock.
+    frames for so long is dropped; such a query never ends by itself, as it has to keep looking at the clock. The session's state
+    store becomes RocksDB; a checkpoint keeps the store it began with.
     """
     if mode not in MODES:
         raise ValueError("mode must be ema, legacy or none")
@@ -76,59 +169,12 @@ def filter_stream(
     if not 1 <= confirmed <= window:
         raise ValueError("votes needed must lie between one and the window")
     wait = int(pd.Timedelta(idle).total_seconds() * 1000) if idle else None
-    names = ["height", "width", "p_height", "p_width"]
-
-    def scene(stack: np.ndarray, carried: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Results of a scene's frames, and the rows to carry on."""
-        if mode == "none":
-            return stack, stack[:0]
-        if mode == "ema":
-            out = _smoothed(stack, carried, alpha)
-            return out, out[-1:]
-        on = (stack >= threshold).astype(np.float64)
-        return _voted(on, carried, window, confirmed), np.vstack([carried, on])[-window:]
-
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(batches)).sort_values("frame_idx", ignore_index=True)
-        thumbs = [np.asarray(t, float) for t in rows["thumb"]]
-        shapes = np.c_[rows[names].to_numpy(), [len(t) for t in thumbs]]
-        before, carried = None, None
-        if state.exists:
-            last, shape, thumb, maps, count = state.get
-            if rows["frame_idx"].iloc[0] <= last:
-                raise ValueError(f"frame {rows['frame_idx'].iloc[0]} of {key[0]} came after frame {last}")
-            before = np.array(shape), np.frombuffer(thumb)
-            carried = np.frombuffer(maps).reshape(count, -1) if count else None
-        starts = _scene_starts(shapes, thumbs, before, scene_threshold)
-        results: list[np.ndarray] = []
-        edges = np.unique(np.r_[0, np.flatnonzero(starts), len(rows)])
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
-            stack = np.stack([np.asarray(p, float) for p in rows["p"].iloc[a:b]])
-            if starts[a] or carried is None:
-                carried = stack[:0]
-            out, carried = scene(stack, carried)
-            results += list(out)
-        state.update((int(rows["frame_idx"].iloc[-1]), shapes[-1].tolist(), thumbs[-1].tobytes(), carried.tobytes(), len(carried)))
-        if wait:
-            state.setTimeoutDuration(wait)
-        yield pd.DataFrame(
-            {
-                "group": key[0],
-                "run_id": key[1],
-                "frame_idx": rows["frame_idx"],
-                "p_height": rows["p_height"],
-                "p_width": rows["p_width"],
-                "was_reset": starts,
-                "p": results,
-            }
-        )
-
+    frames.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
     checked = frames.withColumn("p", checked_map("p", "p_height", "p_width"))
-    timeout = GroupStateTimeout.ProcessingTimeTimeout if wait else GroupStateTimeout.NoTimeout
-    return checked.groupBy("group", "run_id").applyInPandasWithState(update, OUTPUT, STATE, "append", timeout)
+    rule = Rule(mode, alpha, threshold, window, confirmed, scene_threshold)
+    return checked.groupBy("group", "run_id").transformWithStateInPandas(
+        TemporalFilter(rule, wait, CHUNK_BYTES), OUTPUT, "Append", "ProcessingTime" if wait else "None"
+    )
 
 
 def road_spans(filtered: DataFrame, mode: str = "ema", low: float = 0.40, high: float = 0.65) -> DataFrame:

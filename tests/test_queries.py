@@ -16,7 +16,7 @@ DATA = Path(os.environ.get("LANESPAN_DATA", "/root/testdata/sf0.001"))
 FAMILIES = (
     "split_audit calibration_sample pair_images provenance_status artifact_normalize every_n_frames legacy_cleanup "
     "label_components zone_shares branch_connectors evaluation_report backend_parity stage_summary ema suppress_duplicates "
-    "ema_stream valid_group track_branches choose_main dataset_merkle dataset_diff provenance_chains chain_status label_tiles"
+    "ema_stream ema_runs_stream valid_group track_branches choose_main dataset_merkle dataset_diff provenance_chains chain_status label_tiles"
 ).split()
 NAMES = sorted(contract.queries()) if os.environ.get("LANESPAN_ALL") else FAMILIES
 

@@ -188,6 +188,47 @@ def test_a_new_run_of_a_source_starts_clean(spark, feed):
     assert [round(r.p[0], 6) for r in out] == [0.9, 0.9, 0.2, 0.2]
 
 
+def test_runs_of_a_source_alternate_and_go_on_after_a_restart(spark, feed, monkeypatch):
+    build, run, _ = feed
+    # State rows of eight bytes: a map is carried in several.
+    monkeypatch.setattr("lanespan.streaming.temporal.CHUNK_BYTES", 8)
+    rows = [("g", i, 4, 4, 1, 3, [0.5], [float(i % 2), 0.25, i / 8]) for i in range(8)]
+    df = spark.createDataFrame(rows, FRAMES).withColumn("run_id", F.when(F.col("frame_idx") % 2 == 0, "a").otherwise("b"))
+    run(filter_stream(build(df, [0, 4])))
+    out = run(filter_stream(build(df, [4, 8]))).orderBy("frame_idx").collect()
+    assert [r.was_reset for r in out] == [True, True] + 6 * [False]
+    for k in (0, 1):
+        carried = np.array(rows[k][-1])
+        for r in out[k::2]:
+            carried = carried if r.frame_idx == k else 0.7 * np.array(rows[r.frame_idx][-1]) + 0.3 * carried
+            np.testing.assert_allclose(r.p, carried, atol=1e-14)
+
+
+def test_an_idle_run_is_forgotten(spark, feed):
+    build, _, folder = feed
+    rows = [("g", i, 4, 4, 1, 1, [0.5], [0.9]) for i in range(3)]
+    df = spark.createDataFrame(rows, FRAMES).withColumn("run_id", F.lit("a"))
+    live = filter_stream(build(df, [0, 1]), idle="3 seconds")
+    query = lossless_intake(live, str(folder / "out"), str(folder / "cp")).trigger(processingTime="1 second").start()
+
+    def reset(frame):
+        for _ in range(120):
+            if (folder / "out").exists():
+                found = spark.read.schema(live.schema).parquet(str(folder / "out")).filter(F.col("frame_idx") == frame).collect()
+                if found:
+                    return found[0].was_reset
+            time.sleep(0.5)
+        raise AssertionError(f"frame {frame} never came out")
+
+    try:
+        assert reset(0)
+        time.sleep(15)
+        build(df, [1, 2])
+        assert reset(1)
+    finally:
+        query.stop()
+
+
 def test_a_step_back_is_refused(spark, feed):
     build, run, _ = feed
     rows = [("g", i, 4, 4, 1, 1, [0.5], [0.9]) for i in range(4)]
