@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lanespan.functions.exprs import SPLITS, is_image_path, valid_extraction_group
+from lanespan.sources import versions
 
 GROUPS_SCHEMA = "groups array<struct<group:string, images_dir:string, masks_dir:string>>"
 _SAMPLES = "array<struct<image:string, mask:string, group:string>>"
@@ -87,10 +88,11 @@ def scan_manifest(spark: SparkSession, path: str) -> DataFrame:
     """Samples of a split document as ``(split, pos, group, image, mask)`` with resolved paths.
 
     A path that does not end in ``.json`` is a manifest written by :func:`lanespan.sources.sinks.write_manifest`: rows of
-    any number instead of one document.
+    any number instead of one document, of the version published last. Without a log it is a folder of such rows.
     """
     if not path.endswith(".json"):
-        rows = spark.read.schema(MANIFEST_ROWS).json(path)
+        last = versions.latest(spark, path)
+        rows = spark.read.schema(MANIFEST_ROWS).json(last.folder if last else path)
         known = F.when(F.col("split").isin(*SPLITS), F.col("split"))
         split = F.coalesce(known, F.raise_error(F.concat(F.lit("unknown split: "), F.coalesce("split", F.lit("null")))).cast("string"))
         return _checked_samples(rows.withColumn("split", split), F.lit(None).cast("string"))

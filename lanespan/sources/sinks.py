@@ -2,41 +2,37 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lanespan.functions.ordered import with_position
 from lanespan.operators.audit import require_clean
+from lanespan.sources import versions
 
 
-def _rename(spark: SparkSession, source: str, target: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    fs = path(target).getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.exists(path(target)):
-        raise FileExistsError(target)
-    fs.mkdirs(path(target).getParent())
-    if not fs.rename(path(source), path(target)):
-        raise IOError(f"cannot publish {target}")
-
-
-def write_manifest(samples: DataFrame, path: str, require_negatives: bool = True) -> DataFrame:
-    """Write the split samples next to ``path``, audit what was written, then rename.
+def write_manifest(samples: DataFrame, path: str, require_negatives: bool = True, replaces: int = 0) -> DataFrame:
+    """Write the split samples, audit what was written, then publish it as the version after ``replaces`` (0: the first).
 
-    Readers of ``path`` never see a manifest that failed its audit. The rows are those of
-    :func:`lanespan.sources.files.scan_manifest`, ``pos`` is the place inside the split, and the audited columns follow.
+    Readers of ``path`` never see a manifest that failed its audit, and see the version before until the new one is published.
+    A manifest that is at another version, or for which another writer was first, is an error (:mod:`lanespan.sources.versions`).
+    The rows are those of :func:`lanespan.sources.files.scan_manifest`, ``pos`` is the place inside the split, and the audited
+    columns follow.
     """
     spark = samples.sparkSession
-    staging = f"{path.rstrip('/')}.staging-{uuid.uuid4().hex}"
+    versions.require_latest(spark, path, replaces)
+    folder = versions.new_folder(path)
     keyed = samples.drop("pos").withColumn("_key", F.sha2(F.concat_ws("|", "group", "image", "mask"), 256))
     placed = with_position(keyed, ["split"], ["_key", "image", "mask"], F.substring("_key", 1, 4)).drop("_key")
-    placed.write.json(staging)
-    written = spark.read.schema(placed.schema).json(staging)
-    require_clean(written, require_negatives)
-    _rename(spark, staging, path)
-    return spark.read.schema(placed.schema).json(path)
+    try:
+        placed.write.json(folder)
+        written = spark.read.schema(placed.schema).json(folder)
+        require_clean(written, require_negatives)
+        versions.publish(spark, path, folder, replaces)
+    except Exception:
+        versions.discard(spark, folder)
+        raise
+    return written
 
 
 def _finite(value: Column, kind: T.DataType, name: str) -> Column:

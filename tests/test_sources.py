@@ -2,13 +2,16 @@
 
 import hashlib
 import json
+import threading
+from concurrent.futures import ThreadPoolExecutor
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from lanespan.functions import exprs
 from lanespan.operators import audit, splitting
-from lanespan.sources import files, sinks
+from lanespan.sources import files, sinks, versions
 
 
 @pytest.fixture
@@ -79,6 +82,65 @@ def test_manifest_is_published_only_after_its_audit(spark, tmp_path):
         assert places == list(range(len(places)))
 
 
+def test_manifest_versions(spark, tmp_path, monkeypatch):
+    def samples(n):
+        rows = [(f"g{i % 6}", f"i{i}", f"m{i}", f"h{i}", "k", i % 2 == 0) for i in range(n)]
+        df = spark.createDataFrame(rows, "group string, image string, mask string, image_hash string, mask_hash string, negative boolean")
+        return splitting.apply_split(df, splitting.assign_groups(df))
+
+    out = str(tmp_path / "manifest")
+    write = lambda n, replaces: sinks.write_manifest(samples(n), out, False, replaces)
+    count = lambda: files.scan_manifest(spark, out).count()
+    write(24, 0)
+    assert write(30, 1).count() == 30 and count() == 30
+    with pytest.raises(FileExistsError):
+        write(36, 1)
+
+    # Both writers have seen version 2; whichever publishes first wins, and the other's rows are removed.
+    both, publish = threading.Barrier(2), versions.publish
+
+    def together(*args):
+        both.wait(120)
+        publish(*args)
+
+    monkeypatch.setattr(versions, "publish", together)
+    won, lost = [], []
+
+    def writer(n):
+        try:
+            write(n, 2)
+            won.append(n)
+        except FileExistsError:
+            lost.append(n)
+
+    threads = [threading.Thread(target=writer, args=(n,)) for n in (42, 48)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert len(won) == len(lost) == 1 and count() == won[0]
+    assert len(list((tmp_path / "manifest.versions").iterdir())) == 3
+
+    def crash(*args):
+        raise OSError("lost")
+
+    monkeypatch.setattr(versions, "publish", crash)
+    with pytest.raises(OSError, match="lost"):
+        write(54, 3)
+    assert count() == won[0]
+    monkeypatch.setattr(versions, "publish", publish)
+    write(54, 3)
+    assert count() == 54 and versions.latest(spark, out).version == 4
+
+
+def test_one_of_many_writers_puts_a_file(spark, tmp_path):
+    path = str(tmp_path / "log" / "1.json")
+    with ThreadPoolExecutor(16) as pool:
+        got = list(pool.map(lambda k: versions.put_if_absent(spark, path, str(k)), range(64)))
+    assert sum(got) == 1 and Path(path).read_text() == str(got.index(True))
+    assert [p.name for p in Path(path).parent.iterdir() if not p.name.endswith(".crc")] == ["1.json"]
+
+
 def test_report_refuses_nan(spark, tmp_path):
     df = spark.createDataFrame([(1.0, None)], "a double, b double")
     sinks.write_report(df, str(tmp_path / "ok"))
