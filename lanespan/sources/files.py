@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -127,13 +133,38 @@ def _checked_samples(rows: DataFrame, base: Column) -> DataFrame:
     )
 
 
-def scan_artifacts(spark: SparkSession, folder: str, model_glob: str = "*.onnx") -> DataFrame:
-    """Model files with the metadata beside them and the first fault found.
+#: Bytes of a file that are held at a time while its digest is taken.
+PIECE = 1 << 20
 
-    The digest is taken where the file is read; contents never leave that task.
-    """
-    models = spark.read.format("binaryFile").option("pathGlobFilter", model_glob).load(folder)
-    digests = models.select("path", "length", F.sha2("content", 256).alias("actual_sha256"))
+
+def _opened(path: str):
+    """A file as a stream; the local file system, HDFS, S3 and GCS are known."""
+    if path.startswith("file:") or path.startswith("/"):
+        return open(re.sub("^file:/+", "/", path), "rb")
+    system, place = pyarrow.fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", path))
+    return system.open_input_stream(place)
+
+
+def file_digests(files: DataFrame) -> DataFrame:
+    """Add ``actual_sha256`` to rows of ``path, length``. Files of any size are read in pieces where Spark put their row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for path in batch.column("path").to_pylist():
+                digest = hashlib.sha256()
+                with _opened(path) as stream:
+                    while piece := stream.read(PIECE):
+                        digest.update(piece)
+                found.append(digest.hexdigest())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], ["path", "length", "actual_sha256"])
+
+    return files.select("path", "length").mapInArrow(run, "path string, length bigint, actual_sha256 string")
+
+
+def scan_artifacts(spark: SparkSession, folder: str, model_glob: str = "*.onnx") -> DataFrame:
+    """Model files with the metadata beside them and the first fault found. Contents are never a column (:func:`file_digests`)."""
+    digests = file_digests(spark.read.format("binaryFile").option("pathGlobFilter", model_glob).load(folder))
     sidecars = (
         spark.read.schema(ARTIFACT_SCHEMA)
         .option("pathGlobFilter", f"{model_glob}.json")

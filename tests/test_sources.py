@@ -177,6 +177,21 @@ def test_artifacts_and_their_sidecars(spark, tmp_path):
     assert rows["good.onnx"].training_groups == ["a"] and rows["good.onnx"].length == 4
 
 
+def test_digest_of_a_file_that_no_cell_could_hold(spark, tmp_path):
+    size, tail = (1 << 31) + 5, b"end"
+    with open(tmp_path / "big.onnx", "wb") as file:
+        file.seek(size)
+        file.write(tail)
+    (tmp_path / "a b.onnx").write_bytes(b"x")
+    want, zeros = hashlib.sha256(), bytes(1 << 20)
+    for _ in range(size >> 20):
+        want.update(zeros)
+    want.update(bytes(size & ((1 << 20) - 1)) + tail)
+    rows = {r.path.rsplit("/", 1)[-1]: r for r in files.scan_artifacts(spark, str(tmp_path)).collect()}
+    assert (rows["big.onnx"].length, rows["big.onnx"].actual_sha256) == (size + 3, want.hexdigest())
+    assert rows["a b.onnx"].actual_sha256 == hashlib.sha256(b"x").hexdigest()
+
+
 def test_frame_extraction(spark):
     df = spark.range(25).select(F.lit("trip_1").alias("group"), (F.col("id") * 100000).alias("frame_idx"))
     out = files.extract_every_n(df, 1000000).orderBy("frame_idx").collect()
