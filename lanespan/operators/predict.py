@@ -41,24 +41,29 @@ def score_frames(
     output_kind: str = "logits",
     batch_size: int = 16,
     channels: int = 3,
+    precision: str = "float",
 ) -> DataFrame:
     """Add the probability map ``p`` of each frame.
 
-    ``make_predict`` loads a model once per Python worker and returns a function from a float32
-    array of shape (n, channels, height, width) to one of shape (n, height * width).
+    ``make_predict`` loads a model once per Python worker and returns a function from an array of shape
+    (n, channels, height, width) to one of shape (n, height * width). Both hold float32, or float64 with the
+    ``precision`` ``double``.
     """
     if output_kind not in ("logits", "probabilities"):
         raise ValueError("output_kind must be logits or probabilities")
+    if precision not in ("float", "double"):
+        raise ValueError("precision must be float or double")
+    kind = f"array<{precision}>"
     fault = input_fault(tensor, height, width, channels)
     checked = frames.withColumn(
         "_tensor",
-        F.when(fault.isNull(), F.col(tensor).cast("array<float>")).otherwise(
-            F.raise_error(F.concat(F.lit("bad predictor input: "), fault)).cast("array<float>")
+        F.when(fault.isNull(), F.col(tensor).cast(kind)).otherwise(
+            F.raise_error(F.concat(F.lit("bad predictor input: "), fault)).cast(kind)
         ),
     )
     run = predict_batch_udf(
         make_predict,
-        return_type=T.ArrayType(T.FloatType()),
+        return_type=T.ArrayType(T.FloatType() if precision == "float" else T.DoubleType()),
         batch_size=batch_size,
         input_tensor_shapes=[[channels, height, width]],
     )

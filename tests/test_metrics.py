@@ -2,6 +2,7 @@
 
 import math
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from lanespan.functions.ordered import block_of, running_total, with_position
 from lanespan.functions import quantiles
 from lanespan.functions.quantiles import exact_percentiles
 from lanespan.operators import predict, scoring, telemetry
+from lanespan.plans import ORACLES, QUERIES
 from tests.conftest import DIMS, RUNS
 
 
@@ -170,6 +172,25 @@ def test_predictor_contract(spark):
             predict.score_frames(spark.createDataFrame([(bad,)], "tensor array<double>"), negate, 2, 3, channels=1).collect()
 
 
+def test_a_predictor_may_compute_in_doubles(spark):
+    value = 0.1 + 2.0**-40
+    df = spark.createDataFrame([([value] * 6,)], "tensor array<double>")
+    same = lambda: lambda images: images.reshape(len(images), -1)
+    kept = lambda p: predict.score_frames(df, same, 2, 3, output_kind="probabilities", channels=1, precision=p).first().p
+    assert kept("double") == [value] * 6
+    assert kept("float") == [float(np.float32(value))] * 6
+    with pytest.raises(ValueError):
+        kept("half")
+
+
+def test_scored_frames_equal_the_sql(spark):
+    scored = QUERIES["score_frames"](spark, "/root/testdata/sf0.1").collect()
+    con = duckdb.connect()
+    con.execute("CREATE VIEW embeddings AS SELECT * FROM '/root/testdata/sf0.1/embeddings.parquet'")
+    expected = con.execute(ORACLES["score_frames"]).fetchall()
+    assert {(r["group"], r.frame_idx): r.p for r in scored} == {(g, i): p for g, i, p in expected}
+
+
 # ---------------------------------------------------------------- telemetry
 
 
