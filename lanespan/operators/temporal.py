@@ -8,6 +8,8 @@ before it, so sources of any length spread over tasks.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +17,7 @@ from lanespan.functions.ordered import block_of, running_total, with_halo, with_
 from lanespan.functions.scan import block_entries
 from lanespan.operators.components import hysteresis
 from lanespan.operators.runs import checked_map, pixels_to_runs
+from lanespan.session import materialize
 
 SOURCE = ("group",)
 # Frames per block where whole maps are held together in memory.
@@ -22,6 +25,11 @@ MAP_BLOCK = 64
 _SHAPE = ("height", "width", "p_height", "p_width")
 
 
+def old_share(alpha: float) -> float:
+    """Weight of the value before, beside ``alpha``, in the decimal digits of ``alpha``: 0.3 beside 0.7, where ``1 - 0.7`` is 0.30000000000000004."""
+    return float(1 - Decimal(repr(float(alpha))))
+
+
 def consecutive(frames: DataFrame, name: str = "pos") -> DataFrame:
     """Number the frames of each source without gaps, for sources whose indices have gaps."""
     return with_position(frames, SOURCE, ["frame_idx"], block_of("frame_idx"), name)
@@ -64,10 +72,13 @@ def smooth(
 
     The recurrence is linear, so a block acts on the map before it as "weigh by a factor and add a map": the map is the
     block's own fold from zero, the factor is zero after a reset. A tree over the blocks finds the map each block starts
-    from; then every block is folded once more from there. A block's map is written once.
+    from, but for the last bits: it adds in another order. So every block is folded from there, and those that started from another
+    map than the block before ends with are folded again from that, until none is left. The result is the one of a single
+    run, bit by bit. Old differences fade, so few blocks need a second time unless ``alpha`` is very small.
     """
     if not 0 < alpha <= 1:
         raise ValueError("alpha must lie in (0, 1]")
+    rest = old_share(alpha)
     checked = frames.withColumn("p", checked_map("p", "p_height", "p_width"))
     spread, w, home = with_halo(checked, SOURCE, pos, 1, block)
     flagged = spread.select(
@@ -81,16 +92,16 @@ def smooth(
         home.alias("_home"),
     ).filter("_home")
     row = F.struct("_pos", "was_reset", "frame_idx", *_SHAPE, "p")
-    rows = flagged.groupBy(*SOURCE, "_block").agg(F.sort_array(F.collect_list(row)).alias("_rows"))
+    rows = materialize(flagged.groupBy(*SOURCE, "_block").agg(F.sort_array(F.collect_list(row)).alias("_rows")))
     none = F.lit(None).cast("array<double>")
 
     def mixed(r: Column, last: Column) -> Column:
-        weighed = F.zip_with(r["p"], last, lambda now, before: alpha * now + (1 - alpha) * before)
+        weighed = F.zip_with(r["p"], last, lambda now, before: alpha * now + rest * before)
         from_zero = F.transform(r["p"], lambda now: alpha * now)
         return F.when(r["was_reset"], r["p"]).when(last.isNull(), from_zero).otherwise(weighed)
 
     def end(state: Column, r: Column) -> Column:
-        factor = F.when(r["was_reset"], F.lit(0.0)).otherwise(state["factor"] * (1 - alpha))
+        factor = F.when(r["was_reset"], F.lit(0.0)).otherwise(state["factor"] * rest)
         return F.struct(mixed(r, state["map"]).alias("map"), factor.alias("factor"))
 
     begin = F.struct(none.alias("map"), F.lit(1.0).alias("factor"))
@@ -104,7 +115,9 @@ def smooth(
     def compose(first: Column, then: Column) -> Column:
         return F.struct(apply(then, first["map"]).alias("map"), (first["factor"] * then["factor"]).alias("factor"))
 
-    entered = block_entries(effects, SOURCE, compose, apply, none, "array<double>").withColumnRenamed("_entry", "_last")
+    guessed = block_entries(effects, SOURCE, compose, apply, none, "array<double>").withColumnRenamed("_entry", "_last")
+    last_map = F.aggregate("_rows", F.col("_last"), lambda last, r: mixed(r, last))
+    entered = _settled(rows, guessed, last_map)
     done = F.array().cast(
         "array<struct<frame_idx:bigint,height:int,width:int,p_height:int,p_width:int,was_reset:boolean,p:array<double>>>"
     )
@@ -128,6 +141,26 @@ def smooth(
     return each.select(*SOURCE, "_o.*")
 
 
+def _settled(rows: DataFrame, guessed: DataFrame, last_map: Column) -> DataFrame:
+    """``_last``, the map each block starts from, such that it is the one the block before ends with.
+
+    ``last_map`` is the map a block of ``rows`` ends with. A source's first block starts from nothing and is right, so every
+    round settles one more block at least.
+    """
+    unit = [*SOURCE, "_block"]
+    entered, changed = materialize(guessed), rows
+    while True:
+        ends = changed.join(entered, unit).select(*SOURCE, (F.col("_block") + 1).alias("_block"), last_map.alias("_end"))
+        wrong = materialize(
+            entered.join(ends, unit).filter(~F.col("_end").eqNullSafe(F.col("_last"))).select(*unit, F.col("_end").alias("_last"))
+        )
+        if wrong.isEmpty():
+            return entered
+        units = wrong.select(*unit)
+        entered = materialize(entered.join(units, unit, "left_anti").unionByName(wrong))
+        changed = rows.join(units, unit, "left_semi")
+
+
 def vote(
     frames: DataFrame,
     threshold: float = 0.55,

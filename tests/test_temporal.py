@@ -11,7 +11,7 @@ from lanespan.operators.components import hysteresis
 from lanespan.operators.runs import pixels_to_runs
 from lanespan.sources.frames import stream_frames
 from lanespan.streaming.intake import camera_intake, lossless_intake, run_to_end
-from lanespan.streaming.temporal import filter_stream
+from lanespan.streaming.temporal import _smoothed, filter_stream
 from lanespan.streaming.tracks import track_stream
 from tests.conftest import DIMS
 
@@ -94,6 +94,39 @@ def test_smoothing_keeps_all_history(spark, alpha):
         assert (got[~kept] <= 1e-289).all()
 
 
+def stepwise(maps, resets, alpha, rest):
+    """The recurrence, one frame after the other."""
+    last, out = None, []
+    for p, r in zip(maps, resets, strict=True):
+        last = p if r or last is None else alpha * p + rest * last
+        out.append(last)
+    return np.array(out)
+
+
+def test_batch_and_stream_smooth_bit_by_bit(spark):
+    """Every block starts from the very bits the block before ends with, and the weights are 0.7 and 0.3."""
+    rng = np.random.default_rng(5)
+    maps = np.repeat(rng.integers(0, 101, (60, 8)) / 100, 12, axis=0)
+    still = np.zeros((len(maps), 2), np.float32)
+    expected = stepwise(maps, np.arange(len(maps)) == 0, 0.7, 0.3)
+    df = spark.createDataFrame(frame_rows(still, maps, np.zeros(len(maps), bool)), FRAMES).repartition(4)
+    for block in (1, 16, 64):
+        rows = temporal.smooth(df, block=block).orderBy("frame_idx").collect()
+        assert np.array_equal([r.p for r in rows], expected)
+    found = np.vstack([_smoothed(maps[:7], maps[:0], 0.7), maps[:0]])
+    found = np.vstack([found, _smoothed(maps[7:], found[-1:], 0.7)])
+    assert np.array_equal(found, expected)
+
+
+@pytest.mark.parametrize("alpha", [0.01, 0.3])
+def test_slow_smoothing_is_exact_too(spark, alpha):
+    thumbs, maps, resized = sequence(200, seed=9)
+    expected = stepwise(maps, expected_resets(thumbs, resized), alpha, {0.01: 0.99, 0.3: 0.7}[alpha])
+    df = spark.createDataFrame(frame_rows(thumbs, maps, resized), FRAMES).repartition(4)
+    rows = temporal.smooth(df, alpha, block=16).orderBy("frame_idx").collect()
+    assert np.array_equal([r.p for r in rows], expected)
+
+
 def test_gaps_and_bad_maps_are_refused(spark):
     thumbs, maps, resized = sequence(40)
     good = spark.createDataFrame(frame_rows(thumbs, maps, resized), FRAMES)
