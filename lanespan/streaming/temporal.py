@@ -18,6 +18,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from lanespan.operators.components import hysteresis
 from lanespan.operators.runs import checked_map, pixels_to_runs
+from lanespan.operators.temporal import old_share
 
 OUTPUT = "group string, run_id string, frame_idx bigint, p_height int, p_width int, was_reset boolean, p array<double>"
 LAST = "frame_idx bigint, shape array<int>, thumb binary, rows int"
@@ -45,10 +46,11 @@ def _scene_starts(shapes: np.ndarray, thumbs: list[np.ndarray], before: tuple |
 
 def _smoothed(maps: np.ndarray, carried: np.ndarray, alpha: float) -> np.ndarray:
     """Running mixture down a scene; ``carried`` has the last mixture before it, or no row."""
+    rest = old_share(alpha)
     stack = np.vstack([carried, maps])
     fresh = np.where(np.arange(len(stack)) == 0, 1.0, alpha)[:, None] * stack
     for i in range(1, len(stack)):
-        fresh[i] += (1 - alpha) * fresh[i - 1]
+        fresh[i] += rest * fresh[i - 1]
     return fresh[len(carried) :]
 
 
