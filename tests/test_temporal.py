@@ -463,3 +463,19 @@ def test_track_stream_has_the_frames_before_the_first_day(spark, tmp_path):
     batch = {tuple(r) for r in QUERIES["track_branches"](spark, str(tmp_path)).collect()}
     stream = {tuple(r[n] for n in TRACK_COLUMNS) for r in QUERIES["track_stream"](spark, str(tmp_path)).collect()}
     assert stream == batch and min(r[1] for r in batch) < 0
+
+
+def test_the_stream_makes_no_table_per_frame(monkeypatch):
+    """A table per frame costs more than the tracking; equal scores go to the first detection."""
+    monkeypatch.setattr(tracks, "pd", None)
+    seen = lambda k, number, end, missed=0: {
+        "track_id": number, "det_idx": k, "missed_frames": missed, "state": "missing" if missed else "candidate", "area": 10.0,
+        "start_x": 128.0, "start_y": 114.0, "end_x": end[0], "end_y": end[1],
+    }
+    route = tracks.Route()
+    assert route.follow([seen(1, 1, (128.0, 20.0)), seen(0, 2, (128.0, 10.0))]) == 2
+    assert (route.hx, route.hy) == (0.0, -1.0)
+    assert route.follow([seen(0, 1, (128.0, 20.0)), seen(1, 2, (130.0, 10.0))]) == 2
+    assert route.follow([seen(1, 2, (130.0, 10.0), missed=1)]) == 2
+    assert route.follow([seen(0, 1, (128.0, 20.0), missed=1)]) is None
+    assert route.follow([seen(0, 3, (128.0, 114.0))]) == 3 and (route.hx, route.hy) == (0.0, -1.0)
