@@ -13,6 +13,8 @@ from lanespan.operators.tracks import per_frame
 
 MASK_H, MASK_W = 36, 64
 ROAD_H, ROAD_W = 144, 256
+#: Road frames of one partition.
+ROAD_FRAMES = 512
 MAP_SIDE = 8
 DET_H, DET_W = 115, 256
 
@@ -324,8 +326,12 @@ def px_runs(name: str, pixels: str, extra: str = "") -> str:
 
 
 def roads(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Road shapes parametrised by supplier: a trunk that forks above a row, some cut by the frame side."""
+    """Road shapes parametrised by supplier: a trunk that forks above a row, some cut by the frame side.
+
+    Frames are placed before they become a few hundred spans each, so a partition is bounded by its frames, not by its bytes.
+    """
     suppliers = table(spark, sf_dir, "supplier")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), suppliers.count() // ROAD_FRAMES + 1)
     base = suppliers.select(
         F.concat(F.lit("trip"), F.col("s_nationkey")).alias("group"),
         F.col("s_suppkey").alias("frame_idx"),
@@ -333,7 +339,7 @@ def roads(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
         F.expr("40 + s_suppkey % 60").alias("split_y"),
         F.expr("70 + s_suppkey * 7 % 120").alias("cx"),
         F.expr("18 + s_suppkey % 9").alias("half"),
-    ).repartition("group", "frame_idx")
+    ).repartition(parts, "group", "frame_idx")
     dims = base.select("group", "frame_idx", F.lit(ROAD_H).alias("height"), F.lit(ROAD_W).alias("width"))
     rows = base.withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(ROAD_H - 1))))
     forked = "kind <> 0 AND y < split_y"

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lanespan.functions.exprs import letterbox_plan
 from lanespan.operators import augment, components, runs, zones
+from lanespan.plans import views
 from tests.conftest import DIMS, RUNS, spans_of
 
 SHAPES = [(9, 14), (12, 10), (7, 7), (16, 20), (11, 30), (20, 9)]
@@ -429,3 +430,21 @@ def test_one_very_large_frame_is_many_tasks(spark):
     sizes = {r.component: r["count"] for r in found.groupBy("component").count().collect()}
     # The ladders are one by the last row; the spots in every fourth row are one each.
     assert len(sizes) == 5001 and sizes[1] == 10_000 + 2 * (20_000 - 5_000 - 1) + 1 and sizes[2] == 1
+
+
+def test_road_frames_are_placed_by_their_number(spark, tmp_path, monkeypatch):
+    """A frame becomes hundreds of spans, so the few bytes of its supplier must not put all frames into one task."""
+    rows = [(i, "s", i % 25, 0.0) for i in range(64)]
+    spark.createDataFrame(rows, "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double").write.parquet(str(tmp_path / "supplier.parquet"))
+    monkeypatch.setattr(views, "ROAD_FRAMES", 4)
+    table, dims = views.roads(spark, str(tmp_path))
+    place = lambda df: df.select("frame_idx", F.spark_partition_id().alias("p")).distinct().collect()
+    assert len({r.p for r in place(table)}) > 8
+    assert len(place(table)) == 64
+    assert len({r.p for r in place(zones.split_rows(table, dims))}) > 8
+
+
+def test_equal_clipped_spans_stay(spark):
+    table = spark.createDataFrame([("g", 0, 2, 0, 10), ("g", 0, 2, 0, 10), ("g", 0, 3, 5, 45)], RUNS)
+    dims = spark.createDataFrame([("g", 0, 8, 64)], DIMS)
+    assert [(r.y, r.full_width) for r in zones.nearest_full_span(table, dims).collect()] == [(2, 40), (2, 40)]
