@@ -237,6 +237,22 @@ def test_runs_of_a_source_alternate_and_go_on_after_a_restart(spark, feed, monke
             np.testing.assert_allclose(r.p, carried, atol=1e-14)
 
 
+@pytest.mark.parametrize("mode", ["ema", "legacy", "none"])
+def test_sources_that_share_a_lane_stay_apart(spark, feed, mode):
+    build, run, _ = feed
+    kinds = [sequence(24, 1 + k % 3, seed=k) for k in range(9)]
+    rows = [r for k, (thumbs, maps, resized) in enumerate(kinds) for r in frame_rows(thumbs, maps, resized, f"s{k}")]
+    df = spark.createDataFrame(rows, FRAMES)
+    batch = {"ema": temporal.smooth, "legacy": lambda f: temporal.vote(f, 0.3), "none": lambda f: f}[mode](df)
+    live = build(df.withColumn("run_id", F.lit("r1")), [0, 7, 8, 24])
+    out = run(filter_stream(live, mode, threshold=0.3, lanes=1)).orderBy("group", "frame_idx").collect()
+    for a, b in zip(out, batch.orderBy("group", "frame_idx").collect(), strict=True):
+        assert (a.group, a.frame_idx, list(a.p)) == (b.group, b.frame_idx, list(b.p))
+        assert mode == "none" or a.was_reset == b.was_reset
+    with pytest.raises(ValueError):
+        filter_stream(live, lanes=0)
+
+
 def test_an_idle_run_is_forgotten(spark, feed):
     build, _, folder = feed
     rows = [("g", i, 4, 4, 1, 1, [0.5], [0.9]) for i in range(3)]
