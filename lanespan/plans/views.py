@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lanespan.functions.ordered import even_width, with_position
-from lanespan.operators.tracks import per_frame
+from lanespan.operators.tracks import fill_blank
 
 MASK_H, MASK_W = 36, 64
 ROAD_H, ROAD_W = 144, 256
@@ -412,10 +412,9 @@ PAIRS = """pair_px AS (
 FIRST_DAY = "2024-01-01"
 
 
-def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events of one user and day are the branch detections of one frame; days count on from the first one."""
-    events = table(spark, sf_dir, "events")
-    rows = events.select(
+def _detected(events: DataFrame) -> DataFrame:
+    """Source, frame, order and measures of each event as a detection."""
+    return events.select(
         "user_id",
         micros(events).alias("us"),
         "event_id",
@@ -425,27 +424,35 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("event_id") * 11 % DET_H).cast("double").alias("end_y"),
         (5 + F.col("value") % 20).alias("width_px"),
     )
-    ranked = _positions(rows, ["group", "frame_idx"], "_pos")
-    dx, dy = F.col("end_x") - 128, F.col("end_y") - 80
+
+
+def _shape(end_x: Column, end_y: Column, width_px: Column, det_idx: Column) -> list[Column]:
+    """Columns of a detection."""
+    dx, dy = end_x - 128, end_y - 80
     length = F.sqrt(dx * dx + dy * dy)
     unit = lambda v, zero: F.when(length == 0, F.lit(zero)).otherwise(v / length)
-    return ranked.select(
-        "group",
-        "frame_idx",
-        F.lit(DET_H).alias("height"),
-        F.lit(DET_W).alias("width"),
-        F.col("_pos").cast("int").alias("det_idx"),
+    return [
+        det_idx.cast("int").alias("det_idx"),
         F.lit(128.0).alias("split_x"),
         F.lit(80.0).alias("split_y"),
         F.lit(128.0).alias("start_x"),
         F.lit(114.0).alias("start_y"),
-        "end_x",
-        "end_y",
+        end_x.alias("end_x"),
+        end_y.alias("end_y"),
         unit(dx, 0.0).alias("dir_x"),
         unit(dy, -1.0).alias("dir_y"),
         length.alias("length"),
-        "width_px",
-        (length * F.col("width_px")).alias("area"),
+        width_px.alias("width_px"),
+        (length * width_px).alias("area"),
+    ]
+
+
+def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of one user and day are the branch detections of one frame; days count on from the first one."""
+    ranked = _positions(_detected(table(spark, sf_dir, "events")), ["group", "frame_idx"], "_pos")
+    c = F.col
+    return ranked.select(
+        "group", "frame_idx", F.lit(DET_H).alias("height"), F.lit(DET_W).alias("width"), *_shape(c("end_x"), c("end_y"), c("width_px"), c("_pos"))
     )
 
 
@@ -466,7 +473,12 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.lit(False).alias("reset"),
         )
     )
-    return per_frame(detections(spark, sf_dir).drop("height", "width"), frames)
+    # A frame's detections are one array anyway, so they are numbered in it.
+    listed = _detected(events).groupBy("group", "frame_idx").agg(
+        F.sort_array(F.collect_list(F.struct("us", "event_id", "end_x", "end_y", "width_px"))).alias("dets")
+    )
+    shaped = F.transform("dets", lambda e, i: F.struct(*_shape(e["end_x"], e["end_y"], e["width_px"], i)))
+    return fill_blank(frames, listed.withColumn("dets", shaped))
 
 
 DETECTIONS = f"""detections AS (

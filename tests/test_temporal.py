@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lanespan.operators import temporal, tracks
 from lanespan.operators.components import hysteresis
 from lanespan.operators.runs import pixels_to_runs
+from lanespan.plans import views
 from lanespan.sources.frames import stream_frames
 from lanespan.streaming.intake import camera_intake, lossless_intake, run_to_end
 from lanespan.streaming.temporal import _smoothed, filter_stream
@@ -481,6 +482,35 @@ def test_track_stream_has_the_frames_before_the_first_day(spark, tmp_path):
     assert stream == batch and min(r[1] for r in batch) < 0
 
 
+def test_tracks_keep_their_detections_over_arrow_batches(spark):
+    rng = np.random.default_rng(3)
+    ends = [(float(rng.integers(0, 128)), float(rng.integers(0, 40))) for _ in range(6)]
+    frames = [[branch(j, e) for j, e in enumerate(ends[: 2 + i % 3])] if i % 4 else [] for i in range(30)]
+    df = spark.createDataFrame([("g", i, 100, 128, i == 17, d) for i, d in enumerate(frames)], OBS)
+
+    def rows(size):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            return sorted(tracks.track_branches(df).collect())
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+    whole = rows(10000)
+    assert whole and rows(3) == whole and sorted(tracks.track_branches(df, block=4).collect()) == whole
+    for r in whole:
+        shown = frames[r.frame_idx - r.missed_frames][r.det_idx]
+        assert (r.end_x, r.end_y, r.area) == (shown[5], shown[6], shown[11])
+
+
+def test_detections_are_numbered_within_their_frame_array(spark):
+    sf = "/root/testdata/sf0.001"
+    seen = views.observations(spark, sf)
+    assert "Window" not in seen._jdf.queryExecution().optimizedPlan().toString()
+    listed = seen.select("group", "frame_idx", F.explode("dets").alias("d")).select("group", "frame_idx", "d.*")
+    single = views.detections(spark, sf).select(*listed.columns)
+    assert sorted(listed.collect()) == sorted(single.collect())
+
+
 def test_the_stream_makes_no_table_per_frame(monkeypatch):
     """A table per frame costs more than the tracking; equal scores go to the first detection."""
     monkeypatch.setattr(tracks, "pd", None)
